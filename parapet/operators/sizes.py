@@ -1,0 +1,30 @@
+"""Broadcast hints behind a check of the size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast if the table has few rows; else leave it to a shuffled
+    join, whose hot keys adaptive execution splits.
+
+    Counts the rows: meant for stored or aggregated tables with short rows.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the input comes in fewer pieces.
+
+    One file with one row group is one task, however many cores there are.  A
+    table of many files is left as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted)
