@@ -6,11 +6,11 @@ their own tests instead (trained models, hashed vectors).
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from checks import fragments as sql
 from parapet import fixed_values as fv
@@ -27,14 +27,17 @@ from parapet.plans import evaluate
 from parapet.plans.detect import detect, score_texts
 from parapet.plans.layers import (
     Layers, classifier_from_column, classifier_from_model, constant_drift, drift_from_column,
-    drift_from_text, keyword_classifier, rule_layer,
+    drift_from_text,
 )
-from parapet.schemas import AUDIT
+from parapet.schemas import AUDIT, DATASET_COLUMNS
+from parapet.operators.corpus import with_agents
+from parapet.operators.sizes import spread_out
 from parapet.sources import files
 from parapet.sources.tables import (
-    conversation_messages, handoff_messages, planted_conversations, planted_messages, table,
-    texts, trade_messages,
+    conversation_messages, handoff_messages, plant, planted_conversations, planted_messages,
+    table, texts, trade_messages,
 )
+from parapet.streaming.screen import StreamScreening, start_screening, stream_score
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,17 +55,8 @@ def query(name: str, compared_with: str | None = None):
 
 
 def run_folder(spark: SparkSession) -> str:
-    """A new folder for one run, under the shared one."""
-    shared = shared_dir(spark)
-    if shared.startswith("file:") or "://" not in shared:
-        base = shared.removeprefix("file:")
-        import os
-
-        os.makedirs(base, exist_ok=True)
-        return tempfile.mkdtemp(prefix="run-", dir=base)
-    import uuid
-
-    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
+    """The name of a new folder for one run, under the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
 def planted(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,10 +85,6 @@ def vector_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Planted documents with the vector of the same number, where there is one."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     documents = table(spark, sf, "documents").join(vectors, "doc_id", "left")
-    from parapet.operators.corpus import with_agents
-    from parapet.operators.sizes import spread_out
-    from parapet.sources.tables import plant
-
     rows = plant(spread_out(documents), "doc_id", "text").select(
         "doc_id", F.col("doc_id").cast("string").alias("message_id"),
         F.col("doc_id").alias("seq"), "source", "content", "label", "attack_type", "embedding",
@@ -120,12 +110,8 @@ def detected_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("read_messages", "SELECT conv_id, turn, role, text FROM conversations")
 def _(spark, sf):
-    schema = "conv_id bigint, turn bigint, role string, text string"
-    from pyspark.sql.types import _parse_datatype_string
-
-    return files.read_messages(
-        spark, f"{sf}/conversations.parquet", schema=_parse_datatype_string(schema)
-    )
+    schema = StructType.fromDDL("conv_id bigint, turn bigint, role string, text string")
+    return files.read_messages(spark, f"{sf}/conversations.parquet", schema=schema)
 
 
 @query("normalise_labels", """
@@ -200,8 +186,6 @@ def _(spark, sf):
         'unknown' AS to_agent, 'unknown' AS label, 'unknown' AS attack_type
     FROM pages""")
 def _(spark, sf):
-    from parapet.schemas import DATASET_COLUMNS
-
     pages = table(spark, sf, "pages").select(
         F.col("page_id").cast("string").alias("message_id"), F.col("html").alias("content")
     )
@@ -264,9 +248,7 @@ def _(spark, sf):
     path = f"{run_folder(spark)}/dataset"
     rows = planted_turns(spark, sf)
     files.write_dataset(rows, path, "csv")
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = _parse_datatype_string(
+    schema = StructType.fromDDL(
         "message_id string, content string, from_agent string, to_agent string, "
         "label int, attack_type string"
     )
@@ -279,7 +261,7 @@ _AUDIT_SQL = f"""
     FROM detected WHERE is_injected"""
 
 
-@query("write_audit", f"WITH {sql.DETECTED_TURNS} {_AUDIT_SQL}")
+@query("write_audit", f"WITH RECURSIVE {sql.DETECTED_TURNS} {_AUDIT_SQL}")
 def _(spark, sf):
     path = f"{run_folder(spark)}/audit"
     files.write_audit(routing.audit_entries(detected_turns(spark, sf)), path)
@@ -814,7 +796,7 @@ _ALERT = f"""'[ALERT] Injection blocked.' || chr(10) || 'Attack type : ' || pred
     || 'Reason      : ' || explanation"""
 
 
-@query("guard_last_message", _DETECTED_TURNS.replace("FROM planted\n    WHERE", "FROM planted\n    WHERE") + f"""
+@query("guard_last_message", _DETECTED_TURNS + f"""
     SELECT conv_id, message_id, is_injected AND length(content) > 0 AS blocked,
         CASE WHEN is_injected AND length(content) > 0 THEN {_ALERT} END AS reply
     FROM detected QUALIFY turn = max(turn) OVER (PARTITION BY conv_id)""")
@@ -1046,3 +1028,99 @@ def _(spark, sf):
         texts(spark, sf, "documents"), "text", rules_from_table(rows), periodic=False
     )
     return found.select("doc_id", F.size("rule_hits").alias("total"))
+
+
+# -- streaming ----------------------------------------------------------------
+
+def _stream(spark, sf, name):
+    return files.stream_messages(
+        spark, sf, table(spark, sf, name).schema, glob=f"{name}.parquet"
+    )
+
+
+def turn_stream(spark, sf) -> DataFrame:
+    """Planted conversation turns; users and systems speak to the assistant."""
+    rows = _stream(spark, sf, "conversations").withColumn(
+        "seq", F.col("conv_id") * 1000 + F.col("turn")
+    )
+    planted_rows = plant(rows, "seq", "text")
+    return planted_rows.select(
+        F.col("seq").cast("string").alias("message_id"), "seq", "content",
+        F.col("role").alias("from_agent"),
+        F.when(F.col("role") == "assistant", "user").otherwise("assistant").alias("to_agent"),
+        "label", "attack_type",
+    )
+
+
+_TURN_STREAM = "turns AS MATERIALIZED (" + f"""
+    SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS message_id, conv_id * 1000 + turn AS seq, text,
+        role AS from_agent, CASE WHEN role = 'assistant' THEN 'user' ELSE 'assistant' END AS to_agent
+    FROM conversations
+), planted AS MATERIALIZED (
+    {sql.planted("turns", "seq", "text", "message_id, seq, from_agent, to_agent")}
+)"""
+
+
+@query("stream_score", f"""WITH {_TURN_STREAM}, {sql.rules()}
+    SELECT message_id, rule_score, rule_type, {sql.rounded(sql.keyword_share(), 4)} AS classifier_score
+    FROM scored""")
+def _(spark, sf):
+    folder = run_folder(spark)
+    scored = stream_score(turn_stream(spark, sf), Layers(drift=constant_drift())).select(
+        "message_id", "rule_score", "rule_type",
+        round_to(F.col("classifier_score"), 4).alias("classifier_score"),
+    )
+    scored.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").option(
+        "path", f"{folder}/scored"
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(scored.schema).parquet(f"{folder}/scored")
+
+
+def _screened_handoffs(spark, sf) -> DataFrame:
+    sink = StreamScreening(run_folder(spark))
+    messages = handoff_messages(_stream(spark, sf, "events"))
+    start_screening(messages, sink, available_now=True).awaitTermination()
+    return sink.detections(spark)
+
+
+@query("stream_history", SQL["suspicion_history"])
+def _(spark, sf):
+    return _screened_handoffs(spark, sf).select(
+        "message_id", round_to(F.col("suspicion_history"), 4).alias("suspicion_history")
+    )
+
+
+@query("stream_graph", SQL["cascade_potential_asof"])
+def _(spark, sf):
+    return _screened_handoffs(spark, sf).select(
+        "message_id", round_to(F.col("cascade_potential"), 4).alias("cascade_potential")
+    )
+
+
+@query("stream_quarantine", f"""WITH RECURSIVE {_TURN_STREAM}, {sql.screened("planted", "0.5e0")}
+    {_AUDIT_SQL}""")
+def _(spark, sf):
+    sink = StreamScreening(run_folder(spark), Layers(drift=constant_drift()))
+    start_screening(turn_stream(spark, sf), sink, available_now=True).awaitTermination()
+    return sink.audit(spark).drop("ts", "batch")
+
+
+@query("stream_quarantine_rate", SQL["quarantine_rate"])
+def _(spark, sf):
+    """Tumbling windows over the event stream."""
+    folder = run_folder(spark)
+    rows = handoff_messages(_stream(spark, sf, "events")).select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("predicted_type"),
+        (F.col("base_suspicion") >= 0.5).alias("quarantined"),
+    )
+    counts = routing.quarantine_rate(rows, watermark="1 hour").withColumn(
+        "window_start", F.col("window_start").cast("timestamp_ntz")
+    )
+
+    def keep_latest(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rate")
+
+    counts.writeStream.outputMode("complete").foreachBatch(keep_latest).option(
+        "checkpointLocation", f"{folder}/progress"
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{folder}/rate")

@@ -149,25 +149,48 @@ def periodic(source: str) -> str:
     def same(start: str, size: str) -> str:
         return f"substr(t, {start} + 1, {size}) = substr(t, {start} + p + 1, {size})"
 
-    return f"""folded AS MATERIALIZED (
-    SELECT message_id, lower(content) AS t, length(content) AS n FROM {source}
-    WHERE length(content) >= 105
-), periods AS (
-    SELECT message_id, t, n, unnest(range(5, n // 21 + 1)) AS p FROM folded
-), anchors AS (
-    SELECT message_id, t, n, p, unnest(range(20 * p - 1, n - p, 20 * p)) AS a FROM periods
-), near AS MATERIALIZED (
-    SELECT message_id, t, n, p, a FROM anchors
+    def near(anchors: str) -> str:
+        return f"""SELECT message_id, t, n, p, a FROM {anchors}
     WHERE {same("a", "1")}
       AND (CASE WHEN {same("a", "10 * p")} AND a + 11 * p <= n THEN true
-           WHEN a >= 10 * p THEN {same("(a - 10 * p)", "10 * p")} ELSE false END)
-), direct AS MATERIALIZED (
-    SELECT DISTINCT message_id FROM near
+           WHEN a >= 10 * p THEN {same("(a - 10 * p)", "10 * p")} ELSE false END)"""
+
+    def direct(rows: str) -> str:
+        return f"""SELECT DISTINCT message_id FROM {rows}
     WHERE (a + 21 * p <= n AND {same("a", "20 * p")})
-       OR (a + 1 >= 20 * p AND {same("(a + 1 - 20 * p)", "20 * p")})
+       OR (a + 1 >= 20 * p AND {same("(a + 1 - 20 * p)", "20 * p")})"""
+
+    bounds, stages = [(5, "8"), (9, "50"), (51, "n")], []
+    for k, (low, high) in enumerate(bounds):
+        settled = "".join(
+            f" AND message_id NOT IN (SELECT message_id FROM direct_{e})" for e in range(k)
+        )
+        stages.append(f""", periods_{k} AS (
+    SELECT message_id, t, n, unnest(range({low}, least({high}, n // 21) + 1)) AS p
+    FROM folded WHERE true{settled}
+), anchors_{k} AS (
+    SELECT message_id, t, n, p, unnest(range(20 * p - 1, n - p, 20 * p)) AS a FROM periods_{k}
+), near_{k} AS MATERIALIZED ({near(f"anchors_{k}")}
+), direct_{k} AS MATERIALIZED ({direct(f"near_{k}")}
+)""")
+    # A run covers a multiple of 85 whose 16 characters come back within n / 21:
+    # texts without such a place are settled.  Then short units before long ones.
+    return f"""lowered AS MATERIALIZED (
+    SELECT message_id, lower(content) AS t, length(content) AS n FROM {source}
+    WHERE length(content) >= 105
+), probes AS (
+    SELECT message_id, t, n, unnest(range(0, n - 16, 85)) AS a FROM lowered
+), folded AS MATERIALIZED (
+    SELECT * FROM lowered WHERE message_id IN (
+        SELECT message_id FROM probes
+        WHERE contains(substr(t, a + 6, n // 21 + 11), substr(t, a + 1, 16)))
+)""" + "".join(stages) + f""", direct AS MATERIALIZED (
+    {" UNION ".join(f"SELECT message_id FROM direct_{k}" for k in range(len(bounds)))}
+), undecided AS (
+    SELECT * FROM ({" UNION ALL ".join(f"SELECT * FROM near_{k}" for k in range(len(bounds)))})
+    WHERE message_id NOT IN (SELECT message_id FROM direct)
 ), shifted AS (
-    SELECT message_id, t, n, p, unnest(range(greatest(0, a - 20 * p + 1), a + 1)) AS s
-    FROM near WHERE message_id NOT IN (SELECT message_id FROM direct)
+    SELECT message_id, t, n, p, unnest(range(greatest(0, a - 20 * p + 1), a + 1)) AS s FROM undecided
 ), repeated AS MATERIALIZED (
     SELECT message_id FROM direct
     UNION

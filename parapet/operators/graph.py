@@ -49,8 +49,24 @@ def reachable_pairs(edges: DataFrame, known: DataFrame | None = None) -> DataFra
     )
     pairs = steps.select("src", "dst", "first_seen", F.lit(True).alias("changed"))
     if known is not None:
+        # a new edge first lengthens the paths that lead to it
         earlier = known.select("src", "dst", "first_seen")
         pairs = cut_lineage(_merge(earlier, steps))
+        into = earlier.select("src", F.col("dst").alias("mid"), "first_seen")
+        new = pairs.where("changed").select(
+            F.col("src").alias("mid"), "dst", F.col("first_seen").alias("edge_seen")
+        )
+        longer = into.join(new, "mid").where(F.col("src") != F.col("dst")).select(
+            "src", "dst", F.greatest("first_seen", "edge_seen").alias("first_seen")
+        )
+        grown = _merge(pairs, longer)
+        fresh = pairs.where("changed").select("src", "dst", F.lit(True).alias("fresh"))
+        pairs = cut_lineage(
+            grown.join(fresh, ["src", "dst"], "left").select(
+                "src", "dst", "first_seen",
+                (F.col("changed") | F.coalesce("fresh", F.lit(False))).alias("changed"),
+            )
+        )
     extend = steps.select(
         F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("first_seen").alias("edge_seen")
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
@@ -10,7 +9,7 @@ from pyspark.ml.feature import (
     IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
+from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window, functions as F
@@ -97,14 +96,20 @@ class SublinearCounts(
 
     def _transform(self, dataset):
         import numpy as np
-
-        def damp(vectors: pd.Series) -> pd.Series:
-            return vectors.map(
-                lambda v: SparseVector(v.size, v.indices, 1.0 + np.log(v.values))
+        import pyarrow as pa
+
+        def damp(vectors: pa.Array) -> pa.Array:
+            values = vectors.field("values")
+            damped = 1.0 + np.log(values.flatten().to_numpy(zero_copy_only=False))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(values.value_lengths())]), pa.int32())
+            return pa.StructArray.from_arrays(
+                [vectors.field("type"), vectors.field("size"), vectors.field("indices"),
+                 pa.ListArray.from_arrays(offsets, pa.array(damped, pa.float64()))],
+                names=["type", "size", "indices", "values"],
             )
 
-        damp.__annotations__ = {"vectors": pd.Series, "return": pd.Series}
-        udf = F.pandas_udf(damp, VectorUDT())
+        damp.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
+        udf = F.arrow_udf(damp, VectorUDT())
         return dataset.withColumn(self.getOutputCol(), udf(self.getInputCol()))
 
 

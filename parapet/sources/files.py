@@ -46,7 +46,11 @@ def write_dataset(
     out = df.select(*columns) if len(columns) == len(DATASET_COLUMNS) else df
     writer = out.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        # texts are kept to the last blank
+        writer = (
+            writer.option("header", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="session")
@@ -25,6 +24,3 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(scope="session")
-def sf_dir():
-    return SF_DIR
