@@ -8,6 +8,7 @@ text, an order of magnitude cheaper than the regex, and leave the result as it i
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -102,26 +103,51 @@ DEFAULT_RULES = [
 ]
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern as Java sees it: white space and word characters are spelt
-    out, as Java's own ``\\s`` and ``\\w`` know ASCII only."""
-    spelt = (
+def spelt_out(pattern: str) -> str:
+    """White space and word characters as classes: Java's own ``\\s`` and
+    ``\\w`` know ASCII only."""
+    return (
         pattern.replace(r"[\s-]", f"[-{WHITESPACE}]")
         .replace(r"\s", f"[{WHITESPACE}]")
         .replace(r"\w", f"[{WORD_CHARACTERS}]")
     )
-    return f"(?isu){spelt}"
 
 
-def rule_condition(rule: Rule, content: Column, folded: Column) -> Column:
+def java_pattern(pattern: str) -> str:
+    """The pattern for texts as they are."""
+    return f"(?isu){spelt_out(pattern)}"
+
+
+def lowered_pattern(pattern: str) -> str | None:
+    """The pattern for lower-cased texts, or None if lowering it could change
+    what it means (escapes other than white space, words and punctuation)."""
+    if re.search(r"\\[A-Zabdefhkpux]|\(\?(?!:)", pattern):
+        return None
+    parts = re.split(r"(\\.)", pattern)
+    return f"(?s){spelt_out(''.join(p if p.startswith(chr(92)) else p.lower() for p in parts))}"
+
+
+def rule_condition(rule: Rule, content: Column, folded: Column, special: Column) -> Column:
+    """True if the rule matches.
+
+    Lower-cased text needs no case-insensitive search, which is much faster.
+    ``special`` marks the few texts with letters that lower to something else
+    than the ASCII letter they match; these are searched as they are.
+    """
     guards = [
         any_of([F.contains(folded, F.lit(word)) for word in group])
         for group in rule.guard_groups()
     ]
-    return all_of([*guards, content.rlike(java_pattern(rule.pattern))])
+    found = content.rlike(java_pattern(rule.pattern))
+    lowered = lowered_pattern(rule.pattern)
+    if lowered is not None:
+        found = F.when(special, found).otherwise(folded.rlike(lowered))
+    return all_of([*guards, found])
 
 
-def hits_by_type(rules: list[Rule], content: Column, folded: Column) -> dict[str, Column]:
+def hits_by_type(
+    rules: list[Rule], content: Column, folded: Column, special: Column
+) -> dict[str, Column]:
     """For every attack type, the array of names of the rules that match."""
     by_type: dict[str, list[Rule]] = {}
     for rule in rules:
@@ -129,7 +155,7 @@ def hits_by_type(rules: list[Rule], content: Column, folded: Column) -> dict[str
     return {
         attack_type: F.array_remove(
             F.array(*[
-                F.when(rule_condition(r, content, folded), F.lit(r.name)).otherwise(F.lit(""))
+                F.when(rule_condition(r, content, folded, special), F.lit(r.name)).otherwise(F.lit(""))
                 for r in members
             ]),
             "",

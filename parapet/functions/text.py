@@ -31,12 +31,21 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+# long s, dotless i and the dot that lower-casing splits off a dotted capital I
+_SPECIAL_LETTERS = "\u017f\u0131\u0307"
+
+
+def has_special_letters(lowered: Column) -> Column:
+    return any_of([F.contains(lowered, F.lit(c)) for c in _SPECIAL_LETTERS])
+
+
 def fold(content: Column) -> Column:
     """Lower-cased text in which every letter that matches an ASCII letter
-    case-insensitively has become that letter (long s, dotless i, dotted I)."""
+    case-insensitively has become that letter."""
     lowered = F.lower(content)
-    special = any_of([F.contains(lowered, F.lit(c)) for c in "\u017f\u0131\u0307"])
-    return F.when(special, F.translate(lowered, "\u017f\u0131\u0307", "si")).otherwise(lowered)
+    return F.when(
+        has_special_letters(lowered), F.translate(lowered, _SPECIAL_LETTERS, "si")
+    ).otherwise(lowered)
 
 
 def trimmed(content: Column) -> Column:

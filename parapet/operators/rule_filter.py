@@ -11,7 +11,7 @@ from parapet.config import DEFAULT, ScreeningConfig
 from parapet.functions.decoding import decode_scan
 from parapet.functions.repetition import flood_words, low_diversity, periodic_repeat
 from parapet.functions.rules import DEFAULT_RULES, Rule, hits_by_type
-from parapet.functions.text import fold
+from parapet.functions.text import fold, has_special_letters
 
 
 def count_column(attack_type: str) -> str:
@@ -37,8 +37,13 @@ def find_hits(
     Map-only.  The text is folded once; the next projection reads that column.
     """
     text = F.col(content)
-    prepared = df.withColumns({"_folded": fold(text), "_words": flood_words(text)})
-    by_type = hits_by_type(DEFAULT_RULES if rules is None else rules, text, F.col("_folded"))
+    prepared = df.withColumns({
+        "_folded": fold(text), "_special": has_special_letters(F.lower(text)),
+        "_words": flood_words(text),
+    })
+    by_type = hits_by_type(
+        DEFAULT_RULES if rules is None else rules, text, F.col("_folded"), F.col("_special")
+    )
     found = prepared.select(
         *df.columns,
         *[names.alias(f"_hits_{kind}") for kind, names in by_type.items()],

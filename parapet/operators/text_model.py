@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from parapet import fixed_values as fv
 from parapet.config import DEFAULT, ScreeningConfig
 from parapet.functions.text import WORD_CHARACTERS, terms
+from parapet.operators.lineage import cut_lineage
 from parapet.operators.metrics import metrics_by_group
 from parapet.operators.sizes import broadcast_if_small
 
@@ -31,11 +32,13 @@ def word_ngrams(df: DataFrame, content: str = "content", output: str = "ngrams")
     )
 
 
-def top_terms(counted: DataFrame, limit: int = fv.MAX_FEATURES) -> DataFrame:
-    """The terms with the highest corpus frequency, ties by term."""
+def top_terms(grams: DataFrame, limit: int = fv.MAX_FEATURES) -> DataFrame:
+    """The terms with the highest corpus frequency, ties by term.
+
+    Frequencies are summed up before the shuffle, whatever document they are from.
+    """
     return (
-        counted.groupBy("term")
-        .agg(F.sum("tf").alias("corpus_frequency"), F.count("*").alias("df"))
+        grams.groupBy("term").agg(F.count("*").alias("corpus_frequency"))
         .orderBy(F.desc("corpus_frequency"), "term")
         .limit(limit)
     )
@@ -48,18 +51,26 @@ def tfidf(
     limit: int = fv.MAX_FEATURES,
 ) -> DataFrame:
     """(id, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with
-    every document scaled to length 1."""
-    counted = (
-        word_ngrams(df.select(id_column, content), content)
-        .select(id_column, F.explode("ngrams").alias("term"))
+    every document scaled to length 1.
+
+    The vocabulary is stored first (at most ``limit`` terms); terms outside it
+    are dropped before anything is counted per document.
+    """
+    # A plain explode makes the optimizer check the array first, which computes
+    # all n-grams several times over; the outer form does not.
+    grams = word_ngrams(df.select(id_column, content), content).select(
+        id_column, F.explode_outer("ngrams").alias("term")
+    ).where(F.col("term").isNotNull())
+    vocabulary = cut_lineage(top_terms(grams, limit).select("term"))
+    counted = cut_lineage(
+        grams.join(broadcast_if_small(vocabulary), "term")
         .groupBy(id_column, "term").agg(F.count("*").alias("tf"))
     )
     documents = df.agg(F.count("*")).scalar()
-    vocabulary = top_terms(counted, limit).select(
+    frequencies = counted.groupBy("term").agg(F.count("*").alias("df")).select(
         "term", (F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0).alias("idf")
     )
-    # at most `limit` short rows
-    weighted = counted.join(F.broadcast(vocabulary), "term").withColumn(
+    weighted = counted.join(F.broadcast(frequencies), "term").withColumn(
         "raw", (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
     )
     norms = weighted.groupBy(id_column).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
@@ -148,7 +159,9 @@ def fit_logistic(
     """
     weighted = with_class_weight(train.select("content", "label"))
     counting = Pipeline(stages=_counting_stages(limit)).fit(weighted)
-    damped = counting.transform(weighted).select("label", "class_weight", "_counts", "_damped")
+    damped = cut_lineage(
+        counting.transform(weighted).select("label", "class_weight", "_counts", "_damped")
+    )
     # document frequencies; smoothed as ln((1 + n) / (1 + df)) + 1
     idf = IDF(inputCol="_counts", outputCol="_unused").fit(damped).idf.toArray() + 1.0
     scale = ElementwiseProduct(
