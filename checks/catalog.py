@@ -31,7 +31,6 @@ from parapet.plans.layers import (
 )
 from parapet.schemas import AUDIT, DATASET_COLUMNS
 from parapet.operators.corpus import with_agents
-from parapet.operators.sizes import spread_out
 from parapet.sources import files
 from parapet.sources.tables import (
     conversation_messages, handoff_messages, plant, planted_conversations, planted_messages,
@@ -84,8 +83,8 @@ def intent(spark: SparkSession, sf: str) -> list[float]:
 def vector_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Planted documents with the vector of the same number, where there is one."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    documents = table(spark, sf, "documents").join(vectors, "doc_id", "left")
-    rows = plant(spread_out(documents), "doc_id", "text").select(
+    documents = texts(spark, sf, "documents").join(vectors, "doc_id", "left")
+    rows = plant(documents, "doc_id", "text").select(
         "doc_id", F.col("doc_id").cast("string").alias("message_id"),
         F.col("doc_id").alias("seq"), "source", "content", "label", "attack_type", "embedding",
     )
@@ -796,13 +795,27 @@ _ALERT = f"""'[ALERT] Injection blocked.' || chr(10) || 'Attack type : ' || pred
     || 'Reason      : ' || explanation"""
 
 
-@query("guard_last_message", _DETECTED_TURNS + f"""
+@query("guard_last_message", f"WITH RECURSIVE {sql.DETECTED_NEWEST}" + f"""
     SELECT conv_id, message_id, is_injected AND length(content) > 0 AS blocked,
         CASE WHEN is_injected AND length(content) > 0 THEN {_ALERT} END AS reply
-    FROM detected QUALIFY turn = max(turn) OVER (PARTITION BY conv_id)""")
+    FROM detected""")
+def _(spark, sf):
+    """Only the newest message of each conversation is screened at all."""
+    messages = conversation_messages(texts(spark, sf, "conversations"))
+    newest = plant(routing.newest_messages(messages, "conv_id", "turn"), "seq", "content")
+    found = detect(newest, Layers(drift=constant_drift()), keep=newest.columns)
+    return routing.guard_last_message(found)
+
+
+@query("log_view", _DETECTED + f"""
+    SELECT step, sender, receiver, status, attack_pred, confidence, content FROM (
+        SELECT seq AS step, from_agent AS sender, to_agent AS receiver, 'BLOCKED' AS status,
+            predicted_type AS attack_pred, confidence, {sql.preview("content", 120)} AS content
+        FROM detected WHERE is_injected ORDER BY seq DESC LIMIT {fv.LOG_VIEW_LENGTH})""")
 def _(spark, sf):
-    newest = routing.newest_messages(detected_turns(spark, sf), "conv_id", "turn")
-    return routing.guard_last_message(newest)
+    """The newest 20 quarantined messages, as a log shows them."""
+    held = detected(spark, sf).where("quarantined")
+    return routing.result_view(held, count=fv.LOG_VIEW_LENGTH)
 
 
 @query("halt_downstream", _DETECTED_TURNS + """

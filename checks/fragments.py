@@ -363,6 +363,14 @@ DETECTED_TURNS = f"""{PLANTED_TURNS},
 {screened("planted", "0.5e0")}"""
 
 
+DETECTED_NEWEST = f"""{TURNS},
+newest AS (SELECT * FROM turns QUALIFY turn = max(turn) OVER (PARTITION BY conv_id)),
+planted AS MATERIALIZED (
+    {planted("newest", "seq", "text", "conv_id, turn, message_id, seq, from_agent, to_agent")}
+),
+{screened("planted", "0.5e0")}"""
+
+
 # -- metrics ------------------------------------------------------------------
 
 def cells(label: str, prediction: str) -> str:

@@ -7,11 +7,12 @@ on its own and gets the total of the buckets before it as an offset.
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from parapet.config import DEFAULT
 
 BUCKET = "_bucket"
+MAX_BUCKETS = 4096  # bounds are constants of the plan; buckets grow beyond that
 
 
 def bucket_bounds(
@@ -22,7 +23,7 @@ def bucket_bounds(
     Empty if one bucket is enough.  Only counts and quantiles reach the driver.
     """
     count = df.count()
-    buckets = -(-count // rows_per_bucket)
+    buckets = min(-(-count // rows_per_bucket), MAX_BUCKETS)
     if buckets <= 1:
         return []
     shares = [i / buckets for i in range(1, buckets)]

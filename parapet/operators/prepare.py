@@ -96,34 +96,31 @@ def fill_missing_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def dataset_statistics(df: DataFrame) -> DataFrame:
     """Counts and shares for all rows, per label, attack type and source.
 
-    One pass with grouping sets.  ``bar`` is the length of a count bar.
+    One pass over the rows, grouping sets over its counts.  ``bar`` is the
+    length of a count bar.
     """
     if "source" not in df.columns:
         df = df.withColumn("source", F.lit(None).cast("string"))
     keys = ["label", "attack_type", "source"]
-    counted = df.groupingSets(
+    counts = df.groupBy(*keys).agg(F.count("*").alias("rows"))
+    total = counts.agg(F.sum("rows")).scalar()
+    counted = counts.groupingSets(
         [[], [F.col("label")], [F.col("attack_type")], [F.col("source")]],
         *[F.col(k) for k in keys],
-    ).agg(F.grouping_id(*[F.col(k) for k in keys]).alias("level"), F.count("*").alias("n"))
-    total = F.max(F.when(F.col("level") == 7, F.col("n"))).over(_everything())
+    ).agg(F.grouping_id(*[F.col(k) for k in keys]).alias("level"), F.sum("rows").alias("n"))
+    # grouping_id has a bit for every column that is summed over
+    level = F.col("level")
     return counted.select(
-        F.when(F.col("level") == 7, "total").when(F.col("level") == 3, "label")
-        .when(F.col("level") == 5, "attack_type").otherwise("source").alias("kind"),
-        F.when(F.col("level") == 7, "all").when(F.col("level") == 3, F.col("label").cast("string"))
-        .when(F.col("level") == 5, F.col("attack_type")).otherwise(F.col("source")).alias("value"),
+        F.when(level == 7, "total").when(level == 3, "label").when(level == 5, "attack_type")
+        .otherwise("source").alias("kind"),
+        F.when(level == 7, "all").when(level == 3, F.col("label").cast("string"))
+        .when(level == 5, F.col("attack_type")).otherwise(F.col("source")).alias("value"),
         F.col("n"),
         (F.col("n") * 100.0 / total).alias("percent"),
         F.floor(F.col("n") * fv.BAR_LENGTH / total).alias("bar"),
     )
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    # over one row per distinct label, type and source: small by nature
-    return Window.partitionBy(F.lit(0))
-
-
 def type_histogram(df: DataFrame, column: str = "attack_type") -> DataFrame:
     """Counts per value, largest first, ties by name."""
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)

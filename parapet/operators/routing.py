@@ -116,12 +116,15 @@ def result_view(detections: DataFrame, order: str = "seq", count: int | None = N
     """Rows for a step or log table; with ``count`` only the newest."""
     if count is not None:
         detections = detections.orderBy(F.desc(order)).limit(count)
+    if "content" in detections.columns:
+        text = preview(F.col("content"), fv.STEP_PREVIEW_CHARS)
+    else:
+        text = F.col("content_preview")
     return detections.select(
         F.col(order).alias("step"), F.col("from_agent").alias("sender"),
         F.col("to_agent").alias("receiver"),
         F.when(F.col("is_injected"), "BLOCKED").otherwise("PASSED").alias("status"),
-        F.col("predicted_type").alias("attack_pred"), "confidence",
-        preview(F.col("content"), fv.STEP_PREVIEW_CHARS).alias("content"),
+        F.col("predicted_type").alias("attack_pred"), "confidence", text.alias("content"),
     )
 
 

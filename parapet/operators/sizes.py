@@ -22,7 +22,8 @@ def spread_out(df: DataFrame) -> DataFrame:
     """Deal rows out to all cores if the input comes in fewer pieces.
 
     One file with one row group is one task, however many cores there are.  A
-    table of many files is left as it is.
+    table of many files is left as it is.  Meant for plain scans: asking for the
+    number of pieces would run the shuffles of a larger plan.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= wanted:
