@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from parapet import fixed_values as fv
 from parapet.functions.rules import DEFAULT_RULES
-from parapet.functions.text import WHITESPACE_CHARACTERS
 from parapet.sources import tables as tb
 
 

@@ -235,7 +235,6 @@ def cascade_context(
     if bounds:
         messages = cut_lineage(messages)
     if not as_of:
-        pairs = pairs.withColumn("first_seen", F.lit(None).cast("bigint"))
         return _static_context(messages, agents, pairs, sender, order, suspicion, config, bounds)
     timed = sender_context(
         messages, sender, order, suspicion, pairs, config=config, bounds=bounds
