@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its terms.  Its logit is a bias, a weight per term, and a
+A text is the set of its terms: words, and the heads of longer ones.  Its logit is a bias, a weight per term, and a
 product of factor vectors per pair of terms: pairs such as an insult next to the
 mention of a group count more than their parts.  Terms are 64-bit hashes; the
 model holds those that separate the classes best.
@@ -21,6 +21,8 @@ FACTORS = 4
 ROWS_PER_CLASS = 10_000
 MIN_DOCS = 5
 THRESHOLD = 0.3
+#: Besides whole words, their first bytes count, so that inflected and compound forms share a term.
+STEMS = (5, 7)
 
 _SLOT_BITS = 20
 _BLANK = np.ones(256, bool)
@@ -69,7 +71,12 @@ def terms_of(texts) -> tuple[np.ndarray, np.ndarray, int, int]:
     for first, last, data, offsets in chunks(texts):
         data = _FOLD[data]
         starts, ends, of = find_words(data, offsets, _BLANK)
-        yield hash_words(data, starts, ends), of, first, last - first
+        found, rows = [hash_words(data, starts, ends)], [of]
+        for size in STEMS:  # the head of a longer word is a term of its own
+            long = np.flatnonzero(ends - starts > size)
+            found.append(hash_words(data, starts[long], starts[long] + size) ^ np.uint64(size))
+            rows.append(of[long])
+        yield np.concatenate(found), np.concatenate(rows), first, last - first
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int, seed: int) -> DataFrame:
@@ -89,7 +96,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int, seed:
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", terms: int = TERMS,
         factors: int = FACTORS, rows_per_class: int = ROWS_PER_CLASS, min_docs: int = MIN_DOCS,
-        epochs: int = 12, seed: int = 5) -> Machine:
+        epochs: int = 24, seed: int = 5) -> Machine:
     """Fit on labelled rows that are not held out, a bounded sample of each class.
 
     Without labelled rows of both classes the model is its bias.
@@ -126,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", terms: int =
 
 
 def fit_rows(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, terms: int = TERMS,
-             factors: int = FACTORS, min_docs: int = MIN_DOCS, epochs: int = 12, seed: int = 5) -> Machine:
+             factors: int = FACTORS, min_docs: int = MIN_DOCS, epochs: int = 24, seed: int = 5) -> Machine:
     """Fit on sets of term hashes; ``weights`` say how many rows each stands for."""
     total = weights.sum()
     rate = float((labels * weights).sum() / total) if total else 0.0
@@ -155,7 +162,7 @@ def fit_rows(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, te
 
 
 def _descend(m: Machine, of: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray,
-             epochs: int, seed: int, batch: int = 256, step: float = 0.15, decay: float = 2e-4) -> Machine:
+             epochs: int, seed: int, batch: int = 256, step: float = 0.3, decay: float = 1e-4) -> Machine:
     """AdaGrad on the weighted log loss with weight decay."""
     rng = np.random.default_rng(seed)
     m.factors = rng.normal(0, 0.02, m.factors.shape)
