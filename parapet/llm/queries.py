@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parapet.llm import exact_dedup, html_text, language, mixing, near_dedup, neighbours, packing, toxicity
+from parapet.llm import (
+    exact_dedup, html_text, language, licences, mixing, near_dedup, neighbours, packing, quality, toxicity,
+)
 from parapet.llm.shared import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +20,13 @@ def _query(function):
     return function
 
 
+@_query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(docs, labels.where("quality = 1"))
+
+
 @_query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -38,6 +47,28 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs, near_dedup.Rule(words=3, percent=85))
 
 
+@_query
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("dice", F.round("dice", 9))
+
+
+SQL["op5_licences"] = f"""
+WITH t AS (SELECT * FROM (VALUES {", ".join("('%s', '%s')" % (a, b.replace("'", "''")) for a, b in licences.TEMPLATES)})
+           AS v(licence, body)),
+tw AS (SELECT row_number() OVER () AS k, licence, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM t),
+tb AS (SELECT k, licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own FROM tw),
+u AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)),
+                                     string_split_regex(coalesce(text, ''), '\\n\\s*\\n'))) AS unit FROM documents),
+uw AS (SELECT doc_id, unit, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM u),
+ub AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own
+       FROM uw WHERE len(w) BETWEEN 2 AND 60),
+m AS (SELECT doc_id, unit, licence, 2.0 * len(list_intersect(ub.own, tb.own)) / (len(ub.own) + len(tb.own)) AS dice
+      FROM ub JOIN tb ON len(ub.own) <= 1.5 * len(tb.own) AND len(tb.own) <= 1.5 * len(ub.own))
+SELECT doc_id, licence, round(max(dice), 9) AS dice, count(DISTINCT unit) AS units
+FROM m WHERE dice >= {licences.THRESHOLD} GROUP BY doc_id, licence
+"""
+
+
 @_query
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
