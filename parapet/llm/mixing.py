@@ -130,7 +130,7 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = SHARE, repeat:
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = stored(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    sized = stored(docs.select("doc_id", "source", size.alias("size"), _mark(docs).alias("mark")), "mix-sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     sizes = {r["source"]: int(r["size"]) for r in found}
     rows = sum(r["n"] for r in found)
@@ -153,7 +153,7 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = SHARE, repeat:
         F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     documents = placed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
         offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b"))
-    ).select("doc_id", "source", "size", (F.col("_inside") + F.col("_offset")).alias("first"))
+    ).withColumn("copy", _copy()).select("doc_id", "mark", "copy", "source", "size", (F.col("_inside") + F.col("_offset")).alias("first"))
     documents = stored(documents, "mix-documents")
 
     number = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(x["source"])), x["number"])
@@ -164,12 +164,21 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = SHARE, repeat:
         .withColumn("block", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(first + size - 1) div {block}"))))
         .withColumn("_from", F.greatest(F.col("first"), F.col("block") * block))
         .withColumn("length", F.least(last, (F.col("block") + 1) * block) - F.col("_from"))
-        .select("number", "block", "doc_id", "source", "first", "size",
+        .select("number", "block", "doc_id", "mark", "copy", "source", "first", "size",
                 (F.col("_from") - F.col("first")).alias("start"), "length")
     )
     return Mix(sources, documents, pieces, _draw(spark, sources, seed))
 
 
+def _mark(docs: DataFrame):
+    """Tells rows that share an id apart, with ``_copy`` also equal ones."""
+    return F.xxhash64("text", "source")
+
+
+def _copy():
+    return F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("source"))
+
+
 def _draw(spark, sources: list[dict], seed: int) -> DataFrame:
     totals = np.array([x["slots"] for x in sources], np.int64)
     blocks = np.array([x["blocks"] for x in sources], np.int64)
@@ -214,7 +223,7 @@ def taken(plan: Mix) -> DataFrame:
 def mixed_pieces(plan: Mix) -> DataFrame:
     """The mix itself: shard, slot, source, block, pass, doc_id, start, length."""
     return plan.slots.join(plan.pieces, ["number", "block"]).select(
-        "shard", "slot", "source", "block", "pass", "doc_id", "start", "length", "first")
+        "shard", "slot", "source", "block", "pass", "doc_id", "mark", "copy", "start", "length")
 
 
 def mixed_documents(docs: DataFrame, plan: Mix) -> DataFrame:
@@ -223,13 +232,17 @@ def mixed_documents(docs: DataFrame, plan: Mix) -> DataFrame:
     Words of neighbouring blocks stay as they were in the text; parts that were
     not next to each other join by a line break.  Other columns are kept; a
     document of which nothing is taken has no row.  doc_id repeats where a
-    document is taken twice, and must not repeat in ``docs``.
+    document is taken twice.
     """
     columns = docs.columns
-    spans = mixed_pieces(plan).groupBy("doc_id", "pass").agg(
-        F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans")  # bounded by the text
-    ).withColumnRenamed("doc_id", "_doc")
-    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_doc"])).select(*[docs[c] for c in columns], "_spans")
+    keys = ["doc_id", "mark", "copy"]
+    spans = mixed_pieces(plan).groupBy(*keys, "pass").agg(
+        F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans"))  # bounded by the text
+    spans = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_spans")
+    rows = docs.withColumn("_mark", _mark(docs))
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy("source")))
+    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_k0")) & (F.col("_mark") == F.col("_k1"))
+                     & (F.col("_copy") == F.col("_k2"))).select(*columns, "_spans")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
