@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -31,6 +32,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("parapet-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="parapet-bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -38,8 +40,11 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    from checks import catalog
     from checks.catalog import QUERIES
 
+    catalog.PIECES = int(cpus)
+
     chosen = sys.argv[1:] or HEADLINE
     QUERIES["type_histogram"](spark, folder).collect()  # start the workers
     times = {}

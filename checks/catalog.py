@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -34,7 +35,7 @@ from parapet.operators.corpus import with_agents
 from parapet.sources import files
 from parapet.sources.tables import (
     conversation_messages, handoff_messages, plant, planted_conversations, planted_messages,
-    table, texts, trade_messages,
+    table, texts as read_texts, trade_messages, turn_order,
 )
 from parapet.streaming.screen import StreamScreening, start_screening, stream_score
 
@@ -58,6 +59,15 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
+#: The test tables are one small file each; whoever runs the queries on them may deal
+#: their rows out to so many tasks.  Larger tables come in many pieces anyway.
+PIECES: int | None = None
+
+
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return read_texts(spark, sf, name, PIECES)
+
+
 def planted(spark: SparkSession, sf: str) -> DataFrame:
     return planted_messages(texts(spark, sf, "documents"))
 
@@ -173,8 +183,11 @@ def _(spark, sf):
     def absent():
         return prepare.normalise_source(table(spark, sf, "no_such_table"), "text", "id", "absent")
 
-    union = prepare.union_sources([lambda: _documents_source(spark, sf), harmful, absent, pages])
-    return union.groupBy("source").agg(
+    union = prepare.union_sources({
+        "documents": lambda: _documents_source(spark, sf), "benchmark": harmful,
+        "absent": absent, "pages": pages,
+    })
+    return union.rows.groupBy("source").agg(
         F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("injected"),
         F.count_if(F.col("label") == 0).alias("benign"),
     )
@@ -182,7 +195,7 @@ def _(spark, sf):
 
 @query("fill_missing_columns", """
     SELECT CAST(page_id AS VARCHAR) AS message_id, html AS content, 'unknown' AS from_agent,
-        'unknown' AS to_agent, 'unknown' AS label, 'unknown' AS attack_type
+        'unknown' AS to_agent, 1 AS label, 'unknown' AS attack_type
     FROM pages""")
 def _(spark, sf):
     pages = table(spark, sf, "pages").select(
@@ -352,22 +365,17 @@ for _name, _kind in [
 
 def _augment_sql(text: str, row_id: str, seed: str) -> str:
     return f"""CASE {sql.pick_number(row_id, f"{seed}-augment", 10)}
-        WHEN 0 THEN upper({text}) WHEN 1 THEN lower({text}) WHEN 2 THEN replace({text}, '.', '..')
+        WHEN 0 THEN replace(upper({text}), 'ẞ', 'SS') WHEN 1 THEN lower({text}) WHEN 2 THEN replace({text}, '.', '..')
         WHEN 3 THEN replace({text}, ' ', '  ') WHEN 4 THEN '>>> ' || {text}
         WHEN 5 THEN {text} || ' <<<' WHEN 6 THEN replace({text}, ',', ';')
         WHEN 7 THEN chr(10) || {text} || chr(10) ELSE {text} END"""
 
 
 @query("augment_text", f"""
-    SELECT vec_id, {_augment_sql("content", "vec_id", "9")} AS content
-    FROM (SELECT vec_id, {_text_sql("indirect_chain_poisoning", "9", "vec_id")} AS content
-        FROM embeddings)""")
+    SELECT doc_id, {_augment_sql("text", "doc_id", "9")} AS content FROM documents""")
 def _(spark, sf):
-    rows = table(spark, sf, "embeddings").select(
-        "vec_id", corpus.chain_text(F.col("vec_id"), "9").alias("content")
-    )
-    return rows.select(
-        "vec_id", corpus.augment_text(F.col("content"), F.col("vec_id"), "9").alias("content")
+    return texts(spark, sf, "documents").select(
+        "doc_id", corpus.augment_text(F.col("text"), F.col("doc_id"), "9").alias("content")
     )
 
 
@@ -667,9 +675,8 @@ def _(spark, sf):
 
 
 def labelled_corpus(spark, sf) -> dict[str, DataFrame]:
-    """A corpus with one message per document id, stored, by split part."""
-    messages = selection.split_ratio(corpus.build_corpus_for_ids(_ids(spark, sf), "doc_id"))
-    stored = cut_lineage(messages)
+    """Labelled documents as messages, attacks being the toxic ones, by split part."""
+    stored = cut_lineage(selection.split_ratio(_documents_source(spark, sf)))
     return {part: stored.where(F.col("split") == part).drop("split")
             for part in ["train", "validation", "test"]}
 
@@ -1045,20 +1052,29 @@ def _(spark, sf):
 
 # -- streaming ----------------------------------------------------------------
 
-def _stream(spark, sf, name):
-    return files.stream_messages(
-        spark, sf, table(spark, sf, name).schema, glob=f"{name}.parquet"
-    )
+def _stream(spark, sf, name, order, pieces=3):
+    """The table as files that arrive one after the other, a micro-batch each."""
+    rows = table(spark, sf, name)
+    folder = f"{run_folder(spark)}/{name}"
+    cuts = rows.agg(F.percentile_approx(
+        order, [i / pieces for i in range(1, pieces)], 10_000).alias("q")).first()["q"]
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = rows if low is None else rows.where(order > low)
+        part = part if high is None else part.where(order <= high)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return files.stream_messages(spark, folder, rows.schema, files_per_trigger=1)
 
 
 def turn_stream(spark, sf) -> DataFrame:
     """Planted conversation turns; users and systems speak to the assistant."""
-    rows = _stream(spark, sf, "conversations").withColumn(
-        "seq", F.col("conv_id") * 1000 + F.col("turn")
+    order = turn_order(F.col("conv_id"), F.col("turn"))
+    rows = _stream(spark, sf, "conversations", order).withColumn(
+        "seq", order
     )
     planted_rows = plant(rows, "seq", "text")
     return planted_rows.select(
-        F.col("seq").cast("string").alias("message_id"), "seq", "content",
+        F.concat_ws(":", "conv_id", "turn").alias("message_id"), "seq", "content",
         F.col("role").alias("from_agent"),
         F.when(F.col("role") == "assistant", "user").otherwise("assistant").alias("to_agent"),
         "label", "attack_type",
@@ -1066,7 +1082,7 @@ def turn_stream(spark, sf) -> DataFrame:
 
 
 _TURN_STREAM = "turns AS MATERIALIZED (" + f"""
-    SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS message_id, conv_id * 1000 + turn AS seq, text,
+    SELECT format('{{}}:{{}}', conv_id, turn) AS message_id, (conv_id << 32) | turn AS seq, text,
         role AS from_agent, CASE WHEN role = 'assistant' THEN 'user' ELSE 'assistant' END AS to_agent
     FROM conversations
 ), planted AS MATERIALIZED (
@@ -1091,7 +1107,7 @@ def _(spark, sf):
 
 def _screened_handoffs(spark, sf) -> DataFrame:
     sink = StreamScreening(run_folder(spark))
-    messages = handoff_messages(_stream(spark, sf, "events"))
+    messages = handoff_messages(_stream(spark, sf, "events", F.col("event_id")))
     start_screening(messages, sink, available_now=True).awaitTermination()
     return sink.detections(spark)
 
@@ -1122,7 +1138,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Tumbling windows over the event stream."""
     folder = run_folder(spark)
-    rows = handoff_messages(_stream(spark, sf, "events")).select(
+    rows = handoff_messages(_stream(spark, sf, "events", F.col("event_id"))).select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("predicted_type"),
         (F.col("base_suspicion") >= 0.5).alias("quarantined"),
     )
@@ -1130,10 +1146,31 @@ def _(spark, sf):
         "window_start", F.col("window_start").cast("timestamp_ntz")
     )
 
-    def keep_latest(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rate")
+    def keep_changed(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rate/batch={number}")
 
-    counts.writeStream.outputMode("complete").foreachBatch(keep_latest).option(
+    counts.writeStream.outputMode("update").foreachBatch(keep_changed).option(
         "checkpointLocation", f"{folder}/progress"
     ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{folder}/rate")
+    keys = ["window_start", "predicted_type"]
+    newest = F.max_by(F.struct("n", "quarantined"), F.col("batch")).alias("x")
+    return spark.read.parquet(f"{folder}/rate").groupBy(*keys).agg(newest).select(*keys, "x.*")
+
+
+# -- a layer of one's own -----------------------------------------------------
+
+@query("plugged_in_classifier", f"""
+    WITH {sql.MESSAGES} SELECT message_id, {sql.rounded("""length(regexp_replace(lower(content), '[^aeiou]', '', 'g'))
+        / CAST(greatest(length(content), 1) AS DOUBLE)""", 4)} AS classifier_score
+    FROM planted""")
+def _(spark, sf):
+    """A model in Python, batch by batch, in place of the built-in classifier."""
+    @F.pandas_udf("double")
+    def vowel_share(content: pd.Series) -> pd.Series:
+        lowered = content.fillna("").str.lower()
+        return lowered.str.count("[aeiou]") / lowered.str.len().clip(lower=1)
+
+    layers = Layers(classifier=classifier_from_column(vowel_share(F.col("content"))), drift=constant_drift())
+    return score_texts(planted(spark, sf), layers).select(
+        "message_id", round_to(F.col("classifier_score"), 4).alias("classifier_score")
+    )

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import math
+import tempfile
 import time
 
 import duckdb
@@ -80,6 +81,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="parapet-compare-"))
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )

@@ -16,7 +16,8 @@ def array(values: list[str]) -> str:
 
 
 def rounded(value: str, digits: int) -> str:
-    return f"(floor(({value}) * 1e{digits} + 0.5000001e0) / 1e{digits})"
+    # the engine's own rounding; the small term as in the library: sums may differ in a last bit
+    return f"round(CAST({value} AS DOUBLE) + 1e-{digits + 7}, {digits})"
 
 
 def hash_key(row_id: str, seed: str) -> str:
@@ -85,8 +86,8 @@ MESSAGES = f"""planted AS MATERIALIZED (
 )"""
 
 TURNS = """turns AS MATERIALIZED (
-    SELECT conv_id, turn, CAST(conv_id * 1000 + turn AS VARCHAR) AS message_id,
-        conv_id * 1000 + turn AS seq, text, role AS from_agent,
+    SELECT conv_id, turn, format('{}:{}', conv_id, turn) AS message_id,
+        (conv_id << 32) | turn AS seq, text, role AS from_agent,
         coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), 'sink') AS to_agent
     FROM conversations
 )"""

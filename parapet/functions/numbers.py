@@ -10,9 +10,13 @@ def round_to(value: Column, digits: int) -> Column:
 
     Sums taken in another order may differ in their last bit; the small term
     makes such values round alike, so results do not depend on partitioning.
+    A value too large to have so many digits is returned as it is.
     """
     scale = float(10 ** digits)
-    return F.floor(value * scale + F.lit(0.5 + 1e-7)) / F.lit(scale)
+    scaled = value * scale
+    return F.when(
+        F.abs(scaled) < float(2 ** 52), F.floor(scaled + F.lit(0.5 + 1e-7)) / F.lit(scale)
+    ).otherwise(value.cast("double"))
 
 
 def ratio(part: Column, whole: Column) -> Column:

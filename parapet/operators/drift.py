@@ -43,7 +43,7 @@ def embed_text(
 
 
 def intent_from_text(
-    spark: SparkSession, text: str = fv.INTENT_TEXT, size: int = VECTOR_SIZE
+    spark: SparkSession, text: str = fv.DEFAULT_INTENT_TEXT, size: int = VECTOR_SIZE
 ) -> list[float]:
     """The vector of one task description, computed once and used as a constant."""
     row = embed_text(spark.range(1).select(F.lit(text).alias("content")), size=size).first()

@@ -39,50 +39,39 @@ def reachable_pairs(edges: DataFrame, known: DataFrame | None = None) -> DataFra
     """All (src, dst) with a path from src to dst, src itself left out.
 
     ``first_seen`` is the order value from which on the path exists: over all
-    paths, the smallest of their latest edges.  Each round extends the pairs
-    found or improved in the round before by one edge; the number of rounds is
-    the graph's diameter.  ``known`` holds pairs of an earlier, smaller graph.
+    paths, the smallest of their latest edges.  Each round joins the pairs found
+    or improved in the round before with all pairs, on either side, so paths
+    double in length and the rounds grow with the logarithm of the longest.
+    ``known`` holds pairs of an earlier, smaller graph; only what new edges add
+    is followed.
     """
-    steps = cut_lineage(
+    steps = (
         edges.where(F.col("src") != F.col("dst"))
         .groupBy("src", "dst").agg(F.min("first_seen").alias("first_seen"))
     )
-    pairs = steps.select("src", "dst", "first_seen", F.lit(True).alias("changed"))
-    if known is not None:
-        # a new edge first lengthens the paths that lead to it
-        earlier = known.select("src", "dst", "first_seen")
-        pairs = cut_lineage(_merge(earlier, steps))
-        into = earlier.select("src", F.col("dst").alias("mid"), "first_seen")
-        new = pairs.where("changed").select(
-            F.col("src").alias("mid"), "dst", F.col("first_seen").alias("edge_seen")
-        )
-        longer = into.join(new, "mid").where(F.col("src") != F.col("dst")).select(
-            "src", "dst", F.greatest("first_seen", "edge_seen").alias("first_seen")
-        )
-        grown = _merge(pairs, longer)
-        fresh = pairs.where("changed").select("src", "dst", F.lit(True).alias("fresh"))
-        pairs = cut_lineage(
-            grown.join(fresh, ["src", "dst"], "left").select(
-                "src", "dst", "first_seen",
-                (F.col("changed") | F.coalesce("fresh", F.lit(False))).alias("changed"),
-            )
-        )
-    extend = steps.select(
-        F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("first_seen").alias("edge_seen")
+    if known is None:
+        pairs = steps.select("src", "dst", "first_seen", F.lit(True).alias("changed"))
+    else:
+        pairs = _merge(known.select("src", "dst", "first_seen"), steps)
+    pairs = cut_lineage(pairs)
+    while not pairs.where("changed").isEmpty():
+        pairs = cut_lineage(_merge(pairs, _longer(pairs)))
+    return pairs.drop("changed")
+
+
+def _longer(pairs: DataFrame) -> DataFrame:
+    """Pairs by way of a third agent, where at least one half has changed."""
+    head = pairs.select("src", F.col("dst").alias("mid"), "first_seen", "changed")
+    tail = pairs.select(
+        F.col("src").alias("mid"), "dst", F.col("first_seen").alias("tail_seen"),
+        F.col("changed").alias("tail_changed"),
+    )
+    joined = head.where("changed").join(tail, "mid").unionByName(
+        head.where("NOT changed").join(tail.where("tail_changed"), "mid")
+    )
+    return joined.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(
+        F.min(F.greatest("first_seen", "tail_seen")).alias("first_seen")
     )
-    while True:
-        found = (
-            pairs.where("changed")
-            .join(extend, "dst")
-            .where(F.col("src") != F.col("next"))
-            .select(
-                "src", F.col("next").alias("dst"),
-                F.greatest("first_seen", "edge_seen").alias("first_seen"),
-            )
-        )
-        pairs = cut_lineage(_merge(pairs, found))
-        if pairs.where("changed").isEmpty():
-            return pairs.drop("changed")
 
 
 def _merge(pairs: DataFrame, found: DataFrame) -> DataFrame:

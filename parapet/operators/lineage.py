@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session, for checkpoints and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only a local session
-    without that setting gets a temporary folder.
+    The session names it in ``spark.checkpoint.dir``; nothing is written to a
+    folder that nobody named.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None and context.getCheckpointDir() is not None:
         configured = context.getCheckpointDir()
     if configured is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="parapet-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from parapet.config import DEFAULT
 
 BUCKET = "_bucket"
-MAX_BUCKETS = 4096  # bounds are constants of the plan; buckets grow beyond that
+MIN_BUCKETS = 8  # small tables run the plan of large ones
+QUANTILES = 1024  # measured bounds; more buckets divide the gaps between them evenly
 
 
 def bucket_bounds(
@@ -20,17 +21,23 @@ def bucket_bounds(
 ) -> list[float]:
     """Order values that split the rows into buckets of about equal size.
 
-    Empty if one bucket is enough.  Only counts and quantiles reach the driver.
+    Empty only for an empty table.  Only counts and quantiles reach the driver.
     """
     count = df.count()
-    buckets = min(-(-count // rows_per_bucket), MAX_BUCKETS)
-    if buckets <= 1:
+    if not count:
         return []
-    shares = [i / buckets for i in range(1, buckets)]
+    buckets = max(-(-count // rows_per_bucket), MIN_BUCKETS)
+    measured = min(buckets, QUANTILES)
+    shares = [i / measured for i in range(measured + 1)]
     found = df.agg(
-        F.percentile_approx(F.col(order).cast("double"), shares, 10 * buckets + 1000).alias("q")
+        F.percentile_approx(F.col(order).cast("double"), shares, 10 * measured + 1000).alias("q")
     ).first()["q"]
-    return sorted({float(q) for q in found or []})
+    inner = sorted({float(q) for q in found or []})
+    parts = -(-buckets // measured)
+    return sorted({
+        low + (high - low) * i / parts
+        for low, high in zip(inner, inner[1:]) for i in range(parts)
+    } | set(inner[-1:]))
 
 
 def with_bucket(df: DataFrame, order: str, bounds: list[float]) -> DataFrame:
@@ -87,3 +94,30 @@ def sums_before(
         *df.columns,
         *[(F.col(f"{v}_before") + F.col(f"_{v}_offset")).alias(f"{v}_before") for v in values],
     )
+
+
+def running_count(
+    df: DataFrame, order: str, events: DataFrame, at: str, name: str, bounds: list[float]
+) -> DataFrame:
+    """Add how many ``events`` lie at or before each row's order value.
+
+    Events become marker rows between the rows; a bucket counts its own and adds
+    the count of the buckets before it, of which the driver sees one number each.
+    """
+    own = df.withColumn("_own", F.lit(True))
+    marks = events.select(F.col(at).alias(order), F.lit(False).alias("_own"))
+    placed = with_bucket(own.unionByName(marks, allowMissingColumns=True), order, bounds)
+    totals = {
+        r[BUCKET]: r["count"] for r in with_bucket(marks, order, bounds).groupBy(BUCKET).count().collect()
+    }
+    before, values = 0, []
+    for number in range(len(bounds) + 1):
+        values.append(before)
+        before += totals.get(number, 0)
+    inside = (
+        Window.partitionBy(BUCKET).orderBy(order, "_own")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    counted = placed.withColumn(name, F.count(F.when(~F.col("_own"), 1)).over(inside))
+    offset = F.element_at(F.lit(values), F.col(BUCKET) + 1)
+    return counted.where("_own").select(*df.columns, (F.col(name) + offset).cast("bigint").alias(name))

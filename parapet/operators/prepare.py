@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parapet import fixed_values as fv
 from parapet.functions.picks import pick_number
@@ -35,14 +36,19 @@ def normalise_labels(df: DataFrame, label_column: str | None = "label") -> DataF
 
 def normalise_source(
     df: DataFrame,
-    text_column: str,
+    text_column: str | None,
     id_column: str,
     source: str,
     attack_type: str = fv.REAL_INJECTION,
     label_column: str | None = "label",
     seed: str = "42",
 ) -> DataFrame:
-    """Trim texts, drop blank ones, set label, attack type, agents and source."""
+    """Trim texts, drop blank ones, set label, attack type, agents and source.
+
+    Without a named text column it is "goal", or else the table's first column.
+    """
+    if text_column is None:
+        text_column = fv.TEXT_COLUMN if fv.TEXT_COLUMN in df.columns else df.columns[0]
     text = trimmed(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
     labelled = normalise_labels(df, label_column)
     row_id = F.concat(F.lit(f"{source}:"), F.col(id_column).cast("string"))
@@ -67,30 +73,61 @@ def normalise_source(
     )
 
 
-def union_sources(loaders: list[Callable[[], DataFrame]]) -> DataFrame | None:
-    """All sources that can be read, one after the other; None if there is none.
+@dataclass
+class Union:
+    """rows: all sources that could be read, None if there is none.
+    skipped: for each other source its name and the reason."""
+
+    rows: DataFrame | None
+    skipped: dict[str, str]
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """source, rows, attacks, skipped (the reason); with the rows of each source."""
+        schema = "source string, rows bigint, attacks bigint, skipped string"
+        left_out = spark.createDataFrame(
+            [(name, 0, 0, reason) for name, reason in self.skipped.items()], schema
+        )
+        if self.rows is None:
+            return left_out
+        counts = self.rows.groupBy("source").agg(
+            F.count("*").alias("rows"), F.count_if(F.col("label") == 1).alias("attacks"),
+            F.lit(None).cast("string").alias("skipped"),
+        )
+        return counts.unionByName(left_out)
+
+
+def union_sources(loaders: dict[str, Callable[[], DataFrame]]) -> Union:
+    """All sources that can be read, one after the other.
 
-    A source whose files are missing or do not have the columns is left out.
+    A source whose files are missing or do not have the columns is left out, and
+    told of in ``skipped``.  Any other error is raised.
     """
-    frames = []
-    for load in loaders:
+    frames, skipped = [], {}
+    for name, load in loaders.items():
         try:
             frame = load()
             frame.schema  # forces the analysis, reads no rows
-        except (AnalysisException, FileNotFoundError):
-            continue
-        frames.append(frame)
-    if not frames:
-        return None
-    union = frames[0]
+        except FileNotFoundError as error:
+            skipped[name] = str(error)
+        except AnalysisException as error:
+            condition = error.getCondition() or ""
+            if not condition.startswith(("PATH_NOT_FOUND", "UNRESOLVED_COLUMN")):
+                raise
+            skipped[name] = str(error).splitlines()[0]
+        else:
+            frames.append(frame)
+    rows = frames[0] if frames else None
     for frame in frames[1:]:
-        union = union.unionByName(frame, allowMissingColumns=True)
-    return union
+        rows = rows.unionByName(frame, allowMissingColumns=True)
+    return Union(rows, skipped)
 
 
 def fill_missing_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Add columns the table lacks, filled with "unknown"."""
-    return df.withColumns({c: F.lit(fv.UNKNOWN) for c in columns if c not in df.columns})
+    """Add columns the table lacks: texts as "unknown", the label as 1, since a
+    table without labels holds attacks only."""
+    return df.withColumns({
+        c: F.lit(1) if c == "label" else F.lit(fv.UNKNOWN) for c in columns if c not in df.columns
+    })
 
 
 def dataset_statistics(df: DataFrame) -> DataFrame:

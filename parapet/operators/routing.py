@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parapet import fixed_values as fv
+from parapet.config import DEFAULT
 from parapet.functions.text import preview
 
 
@@ -42,7 +43,7 @@ def quarantine_summary(detections: DataFrame) -> DataFrame:
 
 def recent_quarantined(
     detections: DataFrame, count: int = fv.RECENT_LENGTH,
-    queue: int = fv.QUEUE_LENGTH, order: str = "seq",
+    queue: int = DEFAULT.queue_length, order: str = "seq",
 ) -> DataFrame:
     """The newest quarantined messages, oldest first; the queue keeps 500."""
     newest = detections.where("quarantined").orderBy(F.desc(order)).limit(min(count, queue))
@@ -68,13 +69,16 @@ def alert_text(kind: Column, confidence: Column, reason: Column) -> Column:
 
 
 def newest_messages(messages: DataFrame, conversation: str, order: str) -> DataFrame:
-    """The last message of every conversation.
+    """The last message of every conversation, unless it is blank: such a message
+    is neither screened nor remembered.
 
-    Only each task's newest row per conversation is shuffled.
+    The newest order value is found on narrow rows; texts only meet it in the join.
     """
-    others = [c for c in messages.columns if c != conversation]
-    newest = F.max_by(F.struct(*others), F.col(order)).alias("_newest")
-    return messages.groupBy(conversation).agg(newest).select(conversation, "_newest.*")
+    newest = messages.groupBy(conversation).agg(F.max(order).alias("_newest")).withColumnRenamed(
+        conversation, "_conversation"
+    )
+    same = F.col(conversation).eqNullSafe(F.col("_conversation")) & (F.col(order) == F.col("_newest"))
+    return messages.join(newest, same).where(F.trim("content") != "").select(*messages.columns)
 
 
 def guard_last_message(detections: DataFrame, conversation: str = "conv_id") -> DataFrame:

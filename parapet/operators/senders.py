@@ -8,13 +8,12 @@ ones (the last nine suspicions, the count of agents reached) is one small row.
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from parapet.config import DEFAULT, ScreeningConfig
 from parapet.operators.graph import agents_of, edge_aggregate, potential, reachable_pairs
 from parapet.operators.lineage import cut_lineage
-from parapet.operators.ordered import BUCKET, bucket_bounds, with_bucket
-from parapet.operators.sizes import broadcast_if_small
+from parapet.operators.ordered import BUCKET, bucket_bounds, running_count, with_bucket
 
 
 def sender_context(
@@ -47,12 +46,9 @@ def sender_context(
         )
     rows = with_bucket(rows, order, bounds)
 
-    if bounds or earlier is not None:
-        carried = _carried(rows, sender, order, suspicion, length, earlier)
-        rows = rows.join(carried, [sender, BUCKET], "left")
-        recent, reached_before = F.col("_recent"), F.coalesce("_reached_before", F.lit(0))
-    else:
-        recent, reached_before = F.array().cast("array<double>"), F.lit(0)
+    carried = _carried(rows, sender, order, suspicion, length, earlier)
+    rows = rows.join(carried, [sender, BUCKET], "left")
+    recent, reached_before = F.col("_recent"), F.coalesce("_reached_before", F.lit(0))
 
     so_far = Window.partitionBy(sender, BUCKET).orderBy(order, "_message")
     reached = F.count(F.when(~F.col("_message"), 1)).over(
@@ -141,9 +137,8 @@ def suspicion_history(
     config: ScreeningConfig = DEFAULT,
 ) -> DataFrame:
     """Add the mean of the sender's last ten suspicions."""
+    messages = cut_lineage(messages)
     bounds = bucket_bounds(messages, order, config.scale.rows_per_bucket)
-    if bounds:
-        messages = cut_lineage(messages)
     return sender_context(
         messages, sender, order, suspicion, config=config, bounds=bounds
     )
@@ -171,47 +166,10 @@ def agent_suspicion(
 
 
 def agents_so_far(
-    messages: DataFrame, agents: DataFrame, order: str = "seq",
-    bounds: list[float] | None = None,
+    messages: DataFrame, agents: DataFrame, order: str, bounds: list[float],
 ) -> DataFrame:
-    """Add ``agents``: how many agents have appeared up to the message.
-
-    Agents are few against messages and mostly appear early: each bucket gets
-    the count before it and the order values of those that appear inside it.
-    """
-    placed = with_bucket(agents, "first_seen", bounds or [])
-    inside = placed.groupBy(BUCKET).agg(
-        F.count("*").alias("_new"),
-        F.sort_array(F.collect_list("first_seen")).alias("_times"),
-    )
-    earlier = Window.partitionBy(F.lit(0)).orderBy(BUCKET).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    steps = inside.withColumn("_before", F.coalesce(F.sum("_new").over(earlier), F.lit(0)))
-    bucketed = with_bucket(messages, order, bounds or [])
-    # all arrays together hold one number per agent
-    joined = bucketed.join(broadcast_if_small(steps) if bounds else F.broadcast(steps), BUCKET, "left")
-    time = F.col(order)
-    # buckets without a new agent have all agents of the buckets before
-    total = _agents_before(steps, len(bounds) + 1) if bounds else F.lit(0)
-    here = F.when(F.element_at("_times", -1) <= time, F.size("_times")).otherwise(
-        F.size(F.filter("_times", lambda t: t <= time))
-    )
-    return joined.withColumn(
-        "agents",
-        F.when(F.col("_times").isNull(), total).otherwise(F.col("_before") + here).cast("bigint"),
-    ).select(*messages.columns, "agents")
-
-
-def _agents_before(steps: DataFrame, buckets: int) -> Column:
-    """Count of agents before a bucket in which none appears (constant array)."""
-    ends = {row[BUCKET]: row["_before"] + row["_new"] for row in steps.select(
-        BUCKET, "_before", "_new").collect()}
-    running, values = 0, []
-    for number in range(buckets):
-        running = ends.get(number, running)
-        values.append(int(running))
-    return F.element_at(F.lit(values), F.col(BUCKET) + 1)
+    """Add ``agents``: how many agents have appeared up to the message."""
+    return running_count(messages, order, agents, "first_seen", "agents", bounds)
 
 
 def cascade_context(
@@ -228,12 +186,11 @@ def cascade_context(
     With ``as_of`` the graph a message is scored on is the graph of all
     messages up to and including it; otherwise that of the whole table.
     """
+    messages = cut_lineage(messages)
     edges = cut_lineage(edge_aggregate(messages, sender, target, None, order))
     agents = agents_of(edges)
     pairs = reachable_pairs(edges)
     bounds = bucket_bounds(messages, order, config.scale.rows_per_bucket)
-    if bounds:
-        messages = cut_lineage(messages)
     if not as_of:
         return _static_context(messages, agents, pairs, sender, order, suspicion, config, bounds)
     timed = sender_context(
@@ -251,7 +208,7 @@ def _static_context(messages, agents, pairs, sender, order, suspicion, config, b
     history = sender_context(messages, sender, order, suspicion, config=config, bounds=bounds)
     reached = pairs.groupBy(F.col("src").alias(sender)).agg(F.count("*").alias("_reached"))
     total = agents.agg(F.count("*")).scalar()
-    joined = history.join(broadcast_if_small(reached), sender, "left").withColumn(
+    joined = history.join(reached, sender, "left").withColumn(
         "cascade_potential", potential(F.col("_reached"), total)
     )
     return with_risk(joined.select(*history.columns, "cascade_potential"), suspicion, config)

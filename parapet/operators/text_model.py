@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
+    IDF, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector, VectorUDT
@@ -19,7 +21,6 @@ from parapet.config import DEFAULT, ScreeningConfig
 from parapet.functions.text import WORD_CHARACTERS, terms
 from parapet.operators.lineage import cut_lineage
 from parapet.operators.metrics import metrics_by_group
-from parapet.operators.sizes import broadcast_if_small
 
 
 def word_ngrams(df: DataFrame, content: str = "content", output: str = "ngrams") -> DataFrame:
@@ -53,30 +54,26 @@ def tfidf(
     """(id, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with
     every document scaled to length 1.
 
-    The vocabulary is stored first (at most ``limit`` terms); terms outside it
-    are dropped before anything is counted per document.
+    Terms are counted per document once and stored; the vocabulary (at most
+    ``limit`` terms), document frequencies and lengths come from these counts.
     """
     # A plain explode makes the optimizer check the array first, which computes
     # all n-grams several times over; the outer form does not.
     grams = word_ngrams(df.select(id_column, content), content).select(
         id_column, F.explode_outer("ngrams").alias("term")
     ).where(F.col("term").isNotNull())
-    vocabulary = cut_lineage(top_terms(grams, limit).select("term"))
-    counted = cut_lineage(
-        grams.join(broadcast_if_small(vocabulary), "term")
-        .groupBy(id_column, "term").agg(F.count("*").alias("tf"))
-    )
+    counted = cut_lineage(grams.groupBy(id_column, "term").agg(F.count("*").alias("tf")))
     documents = df.agg(F.count("*")).scalar()
-    frequencies = counted.groupBy("term").agg(F.count("*").alias("df")).select(
-        "term", (F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0).alias("idf")
+    frequencies = (
+        counted.groupBy("term").agg(F.sum("tf").alias("corpus_frequency"), F.count("*").alias("df"))
+        .orderBy(F.desc("corpus_frequency"), "term").limit(limit)
+        .select("term", (F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     )
-    weighted = counted.join(F.broadcast(frequencies), "term").withColumn(
+    weighted = counted.join(F.broadcast(frequencies), "term").withColumn(  # at most ``limit`` rows
         "raw", (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
     )
-    norms = weighted.groupBy(id_column).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, id_column).select(
-        id_column, "term", (F.col("raw") / F.col("norm")).alias("weight")
-    )
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_column)))
+    return weighted.select(id_column, "term", (F.col("raw") / length).alias("weight"))
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -92,7 +89,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     weights = class_weights(df, label).select(label, F.col("weight").alias("class_weight"))
-    return df.join(broadcast_if_small(weights, 1000), label)
+    return df.join(weights, label)
 
 
 class SublinearCounts(
@@ -124,7 +121,7 @@ class SublinearCounts(
         return dataset.withColumn(self.getOutputCol(), udf(self.getInputCol()))
 
 
-def _counting_stages(limit: int) -> list:
+def _term_stages() -> list:
     return [
         RegexTokenizer(
             inputCol="content", outputCol="_one", gaps=False, toLowercase=True,
@@ -135,8 +132,6 @@ def _counting_stages(limit: int) -> list:
         SQLTransformer(
             statement="SELECT *, concat(_one, _two, _three) AS _ngrams FROM __THIS__"
         ),
-        CountVectorizer(inputCol="_ngrams", outputCol="_counts", vocabSize=limit),
-        SublinearCounts(inputCol="_counts", outputCol="_damped"),
     ]
 
 
@@ -146,19 +141,26 @@ _SCRATCH = [
 ]
 
 
-def fit_logistic(
-    train: DataFrame,
-    limit: int = fv.MAX_FEATURES,
-    inverse_penalty: float = 1.0,
-    max_iterations: int = 1000,
-) -> PipelineModel:
-    """Fit TF-IDF and a balanced L2 logistic regression on content and label.
+@dataclass
+class Features:
+    """stages: what turns a text into its features.  rows: label, class_weight and
+    features of the training rows, stored.  count: of these rows."""
 
-    Scoring with the result is map-only.  The average loss that Spark minimises
-    makes the penalty 1 / (C * sum of weights).
-    """
+    stages: list
+    rows: DataFrame
+    count: int
+
+
+def fit_features(train: DataFrame, limit: int = fv.MAX_FEATURES) -> Features:
+    """The TF-IDF features of content and label; at most ``limit`` terms, ties by term."""
     weighted = with_class_weight(train.select("content", "label"))
-    counting = Pipeline(stages=_counting_stages(limit)).fit(weighted)
+    terms_of = PipelineModel(stages=_term_stages())
+    grams = terms_of.transform(weighted).select(F.explode_outer("_ngrams").alias("term"))
+    vocabulary = [r["term"] for r in top_terms(grams.where(F.col("term").isNotNull()), limit).collect()]
+    counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_ngrams", outputCol="_counts")
+    counting = PipelineModel(
+        stages=[*terms_of.stages, counts, SublinearCounts(inputCol="_counts", outputCol="_damped")]
+    )
     damped = cut_lineage(
         counting.transform(weighted).select("label", "class_weight", "_counts", "_damped")
     )
@@ -168,15 +170,38 @@ def fit_logistic(
         scalingVec=DenseVector(idf), inputCol="_damped", outputCol="_scaled"
     )
     unit = Normalizer(p=2.0, inputCol="_scaled", outputCol="_features")
-    features = unit.transform(scale.transform(damped))
-    total = train.count()  # balanced weights add up to the row count
+    rows = unit.transform(scale.transform(damped))
+    return Features([*counting.stages, scale, unit], rows, damped.count())
+
+
+def fit_regression(
+    features: Features, inverse_penalty: float = 1.0, max_iterations: int = 1000
+) -> PipelineModel:
+    """A balanced L2 logistic regression on given features.
+
+    The average loss that Spark minimises makes the penalty 1 / (C * sum of
+    weights); balanced weights add up to the row count.
+    """
     model = LogisticRegression(
         featuresCol="_features", labelCol="label", weightCol="class_weight",
         rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction",
-        regParam=1.0 / (inverse_penalty * total), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iterations, tol=1e-4,
-    ).fit(features)
-    return PipelineModel(stages=[*counting.stages, scale, unit, model])
+        regParam=1.0 / (inverse_penalty * features.count), elasticNetParam=0.0,
+        standardization=False, maxIter=max_iterations, tol=1e-4,
+    ).fit(features.rows)
+    return PipelineModel(stages=[*features.stages, model])
+
+
+def fit_logistic(
+    train: DataFrame,
+    limit: int = fv.MAX_FEATURES,
+    inverse_penalty: float = 1.0,
+    max_iterations: int = 1000,
+) -> PipelineModel:
+    """Fit TF-IDF and a balanced L2 logistic regression on content and label.
+
+    Scoring with the result is map-only.
+    """
+    return fit_regression(fit_features(train, limit), inverse_penalty, max_iterations)
 
 
 def score_classifier(
@@ -206,8 +231,9 @@ def select_model(
     """Keep the model with the best validation F1; stop after ``patience``
     candidates without gain.  Returns it with accuracy, F1, P and R per candidate."""
     best, best_f1, idle, report = None, -1.0, 0, []
+    features = fit_features(train, limit)  # the same for all candidates
     for penalty in penalties:
-        model = fit_logistic(train, limit, penalty)
+        model = fit_regression(features, penalty)
         scored = score_classifier(validation, model).select(
             F.lit("validation").alias("system"), "label",
             F.col("classifier_argmax").alias("prediction"),

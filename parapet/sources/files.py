@@ -10,17 +10,18 @@ from parapet.schemas import DATASET_COLUMNS
 
 def read_messages(
     spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None,
-    **options: str,
+    line_breaks: bool = True, **options: str,
 ) -> DataFrame:
     """A labelled table from parquet, ORC, CSV, JSON or text files.
 
-    CSV files are read with a header and quoted line breaks.
+    CSV files are read with a header.  With ``line_breaks`` quoted values may hold
+    line breaks, and a file is one task; without, large files are split.
     """
     reader = spark.read.options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("header", True).option("multiLine", line_breaks).option("escape", '"')
     return reader.format(fmt).load(path)
 
 
@@ -57,7 +58,8 @@ def write_dataset(
 
 
 def write_audit(audit: DataFrame, path: str, mode: str = "append") -> None:
-    """Audit entries as JSON lines, one folder per attack type."""
+    """Audit entries as JSON lines, one folder per attack type; times in UTC."""
+    utc = F.to_utc_timestamp("ts", F.current_timezone())
     audit.withColumn(
-        "ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        "ts", F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     ).write.mode(mode).partitionBy("attack_type").json(path)

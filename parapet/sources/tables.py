@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parapet import fixed_values as fv
 from parapet.functions.decoding import base64_text
 from parapet.functions.picks import pick_number
 from parapet.operators.corpus import with_agents
-from parapet.operators.sizes import spread_out
-
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -20,9 +18,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table whose texts are about to be searched: worth spreading out."""
-    return spread_out(table(spark, folder, name))
+def texts(
+    spark: SparkSession, folder: str, name: str, partitions: int | None = None
+) -> DataFrame:
+    """A table whose texts are about to be searched.
+
+    ``partitions`` deals the rows out anew, which sends every text over the
+    network: only for a caller who knows that the table is one small file.
+    """
+    rows = table(spark, folder, name)
+    return rows.repartition(partitions) if partitions else rows
+
+
+def turn_order(conversation: Column, turn: Column) -> Column:
+    """An order value of turns, conversation by conversation, 32 bits for each.
+
+    Numbers that do not fit are an error, never the value of another turn.
+    """
+    fits = conversation.between(-(2 ** 31), 2 ** 31 - 1) & turn.between(0, 2 ** 32 - 1)
+    return F.when(fits, conversation.cast("bigint") * F.lit(2 ** 32) + turn).otherwise(
+        F.raise_error(F.lit("conversation or turn number beyond 32 bits")).cast("bigint")
+    )
 
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:
@@ -36,8 +52,8 @@ def conversation_messages(conversations: DataFrame) -> DataFrame:
     )
     return conversations.join(following, ["conv_id", "turn"], "left").select(
         "conv_id", "turn",
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("message_id"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+        F.concat_ws(":", "conv_id", "turn").alias("message_id"),
+        turn_order(F.col("conv_id"), F.col("turn")).alias("seq"),
         F.col("text").alias("content"),
         F.col("role").alias("from_agent"),
         F.coalesce("next_role", F.lit("sink")).alias("to_agent"),

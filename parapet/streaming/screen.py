@@ -48,7 +48,8 @@ class StreamScreening:
     """Sink of a screening stream; pass it to ``foreachBatch``.
 
     ``folder`` gets ``detections`` and ``audit``, a subfolder per micro-batch,
-    and ``state``.  Messages of a later batch have larger order values.
+    and ``state``.  A message delivered again, or later than one with a larger
+    order value of an earlier batch, is not screened: it goes to ``late``.
     Without layers the messages bring ``base_suspicion`` along and end with
     their sender context.
     """
@@ -72,6 +73,7 @@ class StreamScreening:
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch = self.in_time(batch.dropDuplicates(["message_id"]), batch_id)
         scored = batch if self.layers is None else score_texts(batch, self.layers, self.keep)
         scored = cut_lineage(scored)
         edges, pairs = self.update_graph(scored, batch_id)
@@ -99,22 +101,43 @@ class StreamScreening:
             )
         self.save_history(scored, earlier, batch_id)
 
+    def in_time(self, batch: DataFrame, version: int) -> DataFrame:
+        """The messages after all of earlier batches; the others are put aside."""
+        newest = self.load(batch, "newest", version - 1)
+        known = None if newest is None else newest.first()["seq"]
+        fresh = batch if known is None else batch.where(F.col("seq") > F.lit(known))
+        if known is not None:
+            batch.where(F.col("seq") <= F.lit(known)).write.mode("overwrite").parquet(
+                f"{self.folder}/late/batch={version}"
+            )
+        latest = fresh.agg(F.max("seq").alias("seq"))
+        if known is not None:
+            latest = latest.select(F.coalesce("seq", F.lit(known)).alias("seq"))
+        self.save(latest, "newest", version)
+        return fresh
+
     def update_graph(self, scored: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
-        """Merge the batch's edges; redo the closure only for new ones."""
-        found = edge_aggregate(scored, suspicion="base_suspicion")
-        before = self.load(scored, "edges", version - 1)
-        if before is None:
+        """Edges and pairs so far; written anew only if the batch has a new edge.
+
+        ``graph`` names the version of edges and pairs that holds.
+        """
+        spark = scored.sparkSession
+        found = edge_aggregate(scored).select("src", "dst", "first_seen")
+        pointer = self.load(scored, "graph", version - 1)
+        if pointer is None:
             edges = self.save(found, "edges", version)
-            return edges, self.save(reachable_pairs(edges), "pairs", version)
-        merged = before.unionByName(found).groupBy("src", "dst").agg(
-            F.sum("cnt").alias("cnt"), F.sum("suspicion_total").alias("suspicion_total"),
-            F.min("first_seen").alias("first_seen"),
-        )
-        edges = self.save(merged, "edges", version)
-        pairs = self.load(scored, "pairs", version - 1)
-        if not found.join(before, ["src", "dst"], "left_anti").isEmpty():
-            pairs = reachable_pairs(edges, pairs)
-        return edges, self.save(pairs, "pairs", version)
+            pairs, at = self.save(reachable_pairs(edges), "pairs", version), version
+        else:
+            at = pointer.first()["version"]
+            edges, pairs = (
+                spark.read.parquet(self.state_path(name, at)) for name in ("edges", "pairs")
+            )
+            new = cut_lineage(found.join(edges, ["src", "dst"], "left_anti"))
+            if not new.isEmpty():
+                edges = self.save(edges.unionByName(new), "edges", version)
+                pairs, at = self.save(reachable_pairs(edges, pairs), "pairs", version), version
+        self.save(spark.createDataFrame([(at,)], "version int"), "graph", version)
+        return edges, pairs
 
     def save_history(self, scored: DataFrame, earlier: DataFrame | None, version: int) -> None:
         """The last nine suspicions of every sender so far."""

@@ -1,6 +1,7 @@
 import base64
 import codecs
 
+import pytest
 from pyspark.sql import functions as F
 
 from parapet import fixed_values as fv
@@ -32,11 +33,15 @@ def test_blank_texts_are_dropped_and_types_follow_labels(spark):
 
 def test_union_skips_what_cannot_be_read(spark):
     one = spark.createDataFrame([("a",)], "x string")
-    union = prepare.union_sources([
-        lambda: one, lambda: spark.read.parquet("/no/such/folder"), lambda: one.select("nope"),
-    ])
-    assert union.count() == 1
-    assert prepare.union_sources([lambda: one.select("nope")]) is None
+    union = prepare.union_sources({
+        "one": lambda: one, "gone": lambda: spark.read.parquet("/no/such/folder"),
+        "misspelt": lambda: one.select("nope"),
+    })
+    assert union.rows.count() == 1
+    assert set(union.skipped) == {"gone", "misspelt"} and "nope" in union.skipped["misspelt"]
+    assert prepare.union_sources({"misspelt": lambda: one.select("nope")}).rows is None
+    with pytest.raises(ValueError):
+        prepare.union_sources({"broken": lambda: int("x")})
 
 
 def test_split_sizes():
@@ -87,10 +92,20 @@ def test_blend_counts(spark):
 
 
 def test_blend_fills_missing_columns(spark):
-    base = blend_input(spark, 3, "s").withColumn("label", F.col("label").cast("string"))
+    base = blend_input(spark, 3, "s")
     extra = blend_input(spark, 3, "r").drop("label", "to_agent")
-    rows = selection.blend_sources(base, extra).where("message_id like 'r%'").collect()
-    assert [(r["label"], r["to_agent"]) for r in rows] == [("unknown", "unknown")]
+    blended = selection.blend_sources(base, extra)
+    assert blended.schema["label"].dataType == base.schema["label"].dataType
+    rows = blended.where("message_id like 'r%'").collect()
+    assert [(r["label"], r["to_agent"]) for r in rows] == [(1, "unknown")]
+
+
+def test_source_without_a_named_text_column(spark):
+    goal = spark.createDataFrame([(1, "x", "take over")], "id int, other string, goal string")
+    first = spark.createDataFrame([("take over", 1)], "ask string, id int")
+    for df in (goal, first):
+        rows = prepare.normalise_source(df, None, "id", "s", label_column=None).collect()
+        assert [(r["content"], r["label"]) for r in rows] == [("take over", 1)]
 
 
 def test_corpus_quota_and_agents(spark):
