@@ -8,8 +8,9 @@ likelihood of the registers' order drops pairs that can't be similar, and full
 sets confirm the rest.
 
 Copies count once.  A bucket of a band first compares its members with one of
-them; only members that are then still apart from the bucket's main component
-meet all others, in blocks.  So a large group of near copies costs its size, and
+them.  Components that are still apart, and may be linked by their sketches, form
+families; there the members apart from the largest component meet all others, in
+blocks, with their full sets.  So a large group of near copies costs its size, and
 no link between components is lost.
 """
 
@@ -212,8 +213,51 @@ def _groups(batches, keys: int):
         yield kept
 
 
+class _Forest:
+    """Which components of a block are joined so far."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while x in self.up:
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _candidates(side, comp, n, own, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a block that may link: i apart from the main component, j of
+    another component; likeliest first."""
+    zero, one = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    t, m = percent / 100, own.shape[1]
+    least = t * m - 6.5 * np.sqrt(m * t * (1 - t))  # equal registers, a loose bound before the likelihood
+    left, right, same = [], [], []
+    for i in zero:
+        j = one[(comp[one] != comp[i]) & (100 * np.minimum(n[one], n[i]) >= percent * np.maximum(n[one], n[i]))]
+        if len(j):
+            equal = (own[j] == own[i]).sum(1)
+            j, equal = j[equal >= least], equal[equal >= least]
+            left.append(np.full(len(j), i))
+            right.append(j)
+            same.append(equal)
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left, right, same = np.concatenate(left), np.concatenate(right), np.concatenate(same)
+    fine = [may_link(own[left[k:k + 5000]], own[right[k:k + 5000]], n[left[k:k + 5000]], n[right[k:k + 5000]], percent)
+            for k in range(0, len(left), 5000)]
+    fine = np.concatenate([np.zeros(0, bool), *fine])
+    order = np.argsort(-same[fine], kind="stable")
+    return left[fine][order], right[fine][order]
+
+
 def _estimated(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that may link.
+    """Pairs (a, b) of components that may be linked: of each block a forest.
 
     rows: key, left, right (block numbers), side (0: apart from the main
     component, 1: any), rep, comp, n, sketch.
@@ -225,21 +269,70 @@ def _estimated(rows: DataFrame, percent: int) -> DataFrame:
             side = group.column(3).to_numpy()
             if side[0] == side[-1]:
                 continue
-            rep, comp, n = (group.column(k).to_numpy() for k in (4, 5, 6))
+            comp, n = group.column(5).to_numpy(), group.column(6).to_numpy()
             own = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint16).reshape(len(side), -1)
-            zero, one = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            for i in zero:
-                j = one[(comp[one] != comp[i]) & (100 * np.minimum(n[one], n[i]) >= percent * np.maximum(n[one], n[i]))]
-                if len(j):
-                    j = j[may_link(np.broadcast_to(own[i], (len(j), own.shape[1])), own[j], n[i] * np.ones(len(j)), n[j], percent)]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(rep[j], rep[i])), pa.array(np.maximum(rep[j], rep[i]))], ["a", "b"])
+            forest = _Forest()
+            pairs = [(int(comp[i]), int(comp[j])) for i, j in zip(*_candidates(side, comp, n, own, percent))
+                     if forest.join(int(comp[i]), int(comp[j]))]
+            if pairs:
+                a, b = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     spread = rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "side")
     return spread.mapInArrow(meet, "a long, b long").distinct()
 
 
+def _settled(docs: DataFrame, rows: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between components, confirmed on full sets: of each block a forest.
+
+    rows: key, left, right, side, rep, comp.  Every pair of different components
+    that may link is compared, until they are joined.
+    """
+    import pyarrow as pa
+
+    rows = stored(rows.select("key", "left", "right", "side", "rep", "comp"), "near-meetings")
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+
+    def sets(batches):
+        for batch in batches:
+            shingles, sketches = [], []
+            for whole, offsets in shingle_sets(batch.column(5), rule.words):
+                sketches += [r.tobytes() for r in registers(whole, offsets)]
+                shingles += [whole[offsets[i]:offsets[i + 1]].tobytes() for i in range(len(offsets) - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(sketches, pa.binary()), pa.array(shingles, pa.binary())],
+                ["key", "left", "right", "side", "comp", "sketch", "shingles"])
+
+    def meet(batches):
+        for group in _groups(batches, 3):
+            side = group.column(3).to_numpy()
+            if side[0] == side[-1]:
+                continue
+            comp = group.column(4).to_numpy()
+            own = np.frombuffer(b"".join(group.column(5).to_pylist()), np.uint16).reshape(len(side), -1)
+            full = [np.frombuffer(x, np.uint64) for x in group.column(6).to_pylist()]
+            n = np.array([len(x) for x in full])
+            forest, pairs = _Forest(), []
+            for i, j in zip(*_candidates(side, comp, np.maximum(n, 1), own, rule.percent)):
+                a, b = int(comp[i]), int(comp[j])
+                if forest.root(a) == forest.root(b):
+                    continue
+                both = _shared(full[i], full[j])
+                if both and 100 * both >= rule.percent * (n[i] + n[j] - both):
+                    forest.join(a, b)
+                    pairs.append((a, b))
+            if pairs:
+                a, b = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    made = texts.join(rows, "rep").select("key", "left", "right", "side", "comp", "text").mapInArrow(
+        sets, "key long, left long, right long, side int, comp long, sketch binary, shingles binary")
+    dealt = made.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "side")
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """The pairs (hub, rep) whose full sets are similar enough.
 
@@ -322,14 +415,12 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _apart(buckets: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Rows for ``_estimated``: buckets whose members are in several components."""
-    placed = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "comp", F.coalesce("component", "rep"))
-    # similar sets are in the same or neighbouring classes of size
-    level = F.floor(F.log("n") / F.lit(-np.log(percent / 100 - 1e-9)))
-    placed = placed.withColumn("level", F.explode(F.array(level, level + 1))).select(
-        F.xxhash64("key", "level").alias("key"), "rep", "comp", "n")
+def _meetings(placed: DataFrame) -> DataFrame:
+    """placed (key, rep, comp, ...) with left, right and side, where a key has several components.
+
+    Of each key, the members apart from its largest component meet all members, in
+    blocks: a large component costs its size for every BLOCK others.
+    """
     each = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     whole = each.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"),
                                     F.count("*").alias("kinds")).where("kinds > 1")
@@ -338,13 +429,12 @@ def _apart(buckets: DataFrame, comps: DataFrame, reps: DataFrame, percent: int)
     rows = placed.join(whole, "key").withColumn("other", F.col("comp") != F.col("main"))
     left = F.pmod(F.xxhash64("rep"), F.col("lefts"))
     right = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rights"))
-    as_any = rows.withColumn("left", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn(
+    as_any = rows.withColumn("left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1))).withColumn(
         "right", right).withColumn("side", F.lit(1))
-    as_other = rows.where("other").withColumn("right", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn(
+    as_other = rows.where("other").withColumn("right", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1))).withColumn(
         "left", left).withColumn("side", F.lit(0))
-    columns = ["key", "left", "right", "side", "rep", "comp", "n"]
-    rows = as_any.select(*columns).unionByName(as_other.select(*columns))
-    return rows.join(reps.select("rep", "sketch"), "rep").select(*columns, "sketch")
+    columns = ["key", "left", "right", "side", *[c for c in placed.columns if c != "key"]]
+    return as_any.select(*columns).unionByName(as_other.select(*columns))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
@@ -361,15 +451,14 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     reps = stored(sets.groupBy("d1", "d2").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-reps")
     rows = bands(reps)
-    shared = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).where("hub < _last")
-    buckets = stored(rows.join(shared.drop("_last"), "key"), "near-buckets")
+    shared = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("_first"), F.max("rep").alias("_last"))
+    shared = shared.where("_first.rep < _last").select("key", F.col("_first.rep").alias("hub"), F.col("_first.n").alias("hub_n"))
+    buckets = stored(rows.join(shared, "key"), "near-buckets")
 
     # every document with the hub it shares most bands with
-    sizes = reps.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
-    proposed = buckets.where("rep <> hub").groupBy("rep", "hub").agg(
-        F.first("n").alias("n"), F.count("*").alias("bands"))
-    near = proposed.join(sizes, "hub").where(
+    near = buckets.where("rep <> hub").where(
         100 * F.least("n", "hub_n") >= rule.percent * F.greatest("n", "hub_n"))
+    near = near.groupBy("rep", "hub").agg(F.count("*").alias("bands"))
     star = near.groupBy("rep").agg(F.max(F.struct("bands", "hub")).alias("x")).select("rep", "x.hub")
     links = stored(confirmed(docs, stored(star, "near-star"), rule, id_col, text_col), "near-links")
     same = sets.join(reps.select("d1", "d2", "rep"), ["d1", "d2"])
@@ -378,11 +467,22 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     edges = links.select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(twice)
     comps = components(edges)
 
-    apart = _estimated(_apart(buckets, comps, reps, rule.percent), rule.percent)
-    more = stored(confirmed(docs, stored(apart.select(F.col("a").alias("hub"), F.col("b").alias("rep")), "near-apart"),
-                            rule, id_col, text_col), "near-links")
-    comps = components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(
-        more.select(F.col("hub").alias("a"), F.col("rep").alias("b"))))
+    comps = stored(comps, "near-components")
+
+    # buckets whose members are in several components: similar sizes are in the same
+    # or neighbouring classes
+    level = F.floor(F.log("n") / F.lit(-np.log(rule.percent / 100 - 1e-9)))
+    placed = buckets.select("key", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.withColumn("level", F.explode(F.array(level, level + 1))).select(
+        F.xxhash64("key", "level").alias("key"), "rep", F.coalesce("component", "rep").alias("comp"), "n")
+    rows = _meetings(placed).join(reps.select("rep", "sketch"), "rep").select(
+        "key", "left", "right", "side", "rep", "comp", "n", "sketch")
+    families = components(_estimated(rows, rule.percent))  # of components that may be linked
+    own = reps.select("rep").distinct().join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "rep", F.coalesce("component", "rep").alias("comp"))
+    members = own.join(families.select(F.col("node").alias("comp"), F.col("component").alias("key")), "comp")
+    more = _settled(docs, _meetings(members.select("key", "rep", "comp")), rule, id_col, text_col)
+    comps = components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
     found = same.join(comps.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(
         F.min(F.coalesce("component", "rep")).alias("component_id"))
