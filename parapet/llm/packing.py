@@ -28,7 +28,9 @@ STEP = 32  # places inside a long sentence where a cut is allowed
 BLOCK_IDS = 1 << 18  # ids that are planned at once
 CACHED_WORDS = 1_000_000
 
-_MARK = "\x02"  # parts words of one call; words that hold it are encoded alone
+#: Punctuation that the tokenizer parts from letters and digits beside it (an apostrophe it may not).
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = 0x250  # letters below this are normalised, and lower-cased one by one
 
 
 class Encoder:
@@ -40,54 +42,61 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
-        self.mark = self._alone(_MARK)
         vocabulary = self.tokenizer.get_vocab()
         self.stop = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             if re.fullmatch(r"[.!?]+[\"')\]]*</w>", token):
                 self.stop[i] = True
-
-    def _alone(self, word: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [i for i, t in enumerate(texts) if _MARK not in t and "<|" not in t]
-        left = set(range(len(texts))) - set(plain)
-        if len(self.mark) == 1:
-            for a in range(0, len(plain), 2_000):
-                own = plain[a:a + 2_000]
-                joined = f" {_MARK} ".join(texts[i] for i in own)
-                ids = self._alone(joined)
-                cuts = np.flatnonzero(ids == self.mark[0])
-                if len(cuts) != len(own) - 1:
-                    left |= set(own)
-                    continue
-                bounds = np.r_[-1, cuts, len(ids)]
-                for i, b, c in zip(own, bounds[:-1].tolist(), bounds[1:].tolist()):
-                    self.known[words[i]] = ids[b + 1:c].tobytes()
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, _LATIN)}
+
+    def _whole(self, word: bytes) -> bytes:
+        """Ids of a word; one of Latin letters needs no more than the model."""
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < chr(_LATIN) and "\u0130" not in text:
+            text = text.lower()
+            if not text.isascii():
+                text = text.translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(text)]
         else:
-            left |= set(plain)
-        for i in left:
-            self.known[words[i]] = self._alone(texts[i]).tobytes()
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, np.uint32).tobytes()
+
+    def _get(self, word: bytes) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.known[word] = self._whole(word)
+        return ids
+
+    def _learn(self, word: bytes) -> bytes:
+        core = word.strip(_MARKS)
+        if core and len(core) < len(word) and core[:1].isalnum() and core[-1:].isalnum() and b"<|" not in word:
+            at = word.index(core)
+            head, tail = word[:at], word[at + len(core):]
+            ids = (self._get(head) if head else b"") + self._get(core) + (self._get(tail) if tail else b"")
+        else:
+            ids = self._whole(word)
+        self.known[word] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if new:
-            self._learn(new)
-            known = self.known
-            if any(w not in known for words in split for w in words):  # the store was emptied
-                self._learn(list({w for words in split for w in words if w not in known}))
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        out = []
+        for text in texts:
+            words = (text if b"<|" in text else text.lower()).split()
+            ids = list(map(self.known.get, words))
+            if None in ids:
+                for i, own in enumerate(ids):
+                    if own is None:
+                        ids[i] = self.known.get(words[i]) or self._learn(words[i])
+            out.append(b"".join(ids))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
