@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from parapet.llm.shared import chunks, find_words, hash_words, held_out
+from parapet.llm.shared import chunks, find_words, hash_words, held_out, stored
 
 #: Bounds of the model and of the labelled rows it is fitted on.
 TERMS = 1 << 13
@@ -91,7 +91,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int, seed:
     part = (F.xxhash64("doc_id", F.lit(seed)) / F.lit(2.0**64)) + 0.5
     of = F.coalesce(*[F.when(F.col("toxic") == y, F.lit(s)) for y, s in share.items()], F.lit(0.0))
     return known.where(part < of).select(
-        F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"), (1 / of).alias("_weight"))
+        F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"), (1 / F.nullif(of, F.lit(0.0))).alias("_weight"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", terms: int = TERMS,
@@ -108,57 +108,74 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", terms: int =
     rows = docs.select(docs["doc_id"].alias("_id"), docs[text_col].alias("_text")).join(
         F.broadcast(picked), "_id")
 
-    def featurise(batches):
+    total = rows.agg(F.count("*").alias("n"), F.sum("_toxic").alias("n1"), F.sum("_weight").alias("w"),
+                     F.sum(F.col("_weight") * F.col("_toxic")).alias("w1")).first()
+    n, n1 = total["n"], total["n1"] or 0
+    rate = (total["w1"] or 0.0) / (total["w"] or 1.0)
+    machine = Machine(np.zeros(0, np.uint64), float(np.log((rate + 1e-4) / (1 - rate + 1e-4))),
+                      np.zeros(0), np.zeros((0, factors)))
+    if not 0 < n1 < n:
+        return machine
+    chosen = _choose(_term_counts(rows), n, n1, terms, min(min_docs, max(2, n // 200)))
+    if not len(chosen):
+        return machine
+    machine = Machine(chosen, machine.bias, np.zeros(len(chosen)), np.zeros((len(chosen), factors)))
+    model = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by ``terms``
+
+    def number(batches):
         for batch in batches:
             out = []
-            for hashes, of, _, n in terms_of(batch.column(batch.schema.get_field_index("_text"))):
-                order = np.lexsort((hashes, of))
-                h, d = hashes[order], of[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                h, d = h[new], d[new]
-                cuts = np.searchsorted(d, np.arange(n + 1))
-                out += [h[cuts[i]:cuts[i + 1]].tobytes() for i in range(n)]
+            for hashes, of, _, size in terms_of(batch.column(batch.schema.get_field_index("_text"))):
+                texts, at = model.value.known(hashes, of)
+                cuts = np.searchsorted(texts, np.arange(size + 1))
+                out += [at[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("_toxic")),
-                 batch.column(batch.schema.get_field_index("_weight")), pa.array(out, pa.binary())],
-                ["toxic", "weight", "terms"])
-
-    table = rows.mapInArrow(featurise, "toxic int, weight double, terms binary").toArrow()
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("terms").to_pylist()]
-    labels_ = np.array(table.column("toxic").to_pylist(), np.float64)
-    weights = np.array(table.column("weight").to_pylist(), np.float64)
-    order = sorted(range(len(sets)), key=lambda i: (labels_[i], sets[i].tobytes()))  # whatever the partitions
-    return fit_rows([sets[i] for i in order], labels_[order], weights[order], terms, factors, min_docs, epochs, seed)
-
-
-def fit_rows(sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, terms: int = TERMS,
-             factors: int = FACTORS, min_docs: int = MIN_DOCS, epochs: int = 24, seed: int = 5) -> Machine:
-    """Fit on sets of term hashes; ``weights`` say how many rows each stands for."""
-    total = weights.sum()
-    rate = float((labels * weights).sum() / total) if total else 0.0
-    bias = float(np.log((rate + 1e-4) / (1 - rate + 1e-4)))
-    none = Machine(np.zeros(0, np.uint64), bias, np.zeros(0), np.zeros((0, factors)))
-    if not 0 < labels.sum() < len(labels):
-        return none
-    all_terms = np.concatenate(sets)
+                [*(batch.column(batch.schema.get_field_index(c)) for c in ("_id", "_toxic", "_weight")), pa.array(out, pa.binary())],
+                ["id", "toxic", "weight", "terms"])
+
+    # of the bounded sample: a class, a weight and the numbers of its terms a row
+    table = rows.mapInArrow(number, "id long, toxic int, weight double, terms binary").toArrow().sort_by("id")
+    sets = [np.frombuffer(x, np.int32) for x in table.column("terms").to_pylist()]
+    at = np.concatenate(sets).astype(np.int64)
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    names, at = np.unique(all_terms, return_inverse=True)
-    docs = np.bincount(at, minlength=len(names))
-    toxic = np.bincount(at, labels[of], len(names))
-    n, n1 = len(labels), labels.sum()
+    weights = table.column("weight").to_numpy()
+    return _descend(machine, of, at, table.column("toxic").to_numpy().astype(float), weights / weights.mean(), epochs, seed)
+
+
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """term, docs, toxic: texts of the sample with the term, and those of label 1."""
+    import pyarrow as pa
+
+    def count(batches):
+        for batch in batches:
+            toxic = batch.column(batch.schema.get_field_index("_toxic")).to_numpy()
+            for hashes, of, first, size in terms_of(batch.column(batch.schema.get_field_index("_text"))):
+                order = np.lexsort((of, hashes))
+                h, d = hashes[order], of[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
+                h, y = h[new], toxic[first:first + size][d[new]]
+                if len(h):
+                    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[starts].view(np.int64)), pa.array(np.diff(np.r_[starts, len(h)]).astype(np.int64)),
+                         pa.array(np.add.reduceat(y, starts).astype(np.int64))], ["term", "docs", "toxic"])
+
+    return rows.mapInArrow(count, "term long, docs long, toxic long").groupBy("term").agg(
+        F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+
+
+def _choose(counts: DataFrame, n: int, n1: int, terms: int, least: int) -> np.ndarray:
+    """Hashes of the terms that tell the classes apart best, and of a few frequent ones,
+    which tell nothing alone but may in pairs; in order."""
+    share = n1 / n
     # root of the chi-square statistic of (term in text, class)
-    spread = np.sqrt(np.maximum(docs * (n - docs) * (n1 / n) * (1 - n1 / n) / n, 1e-9))
-    score = (toxic - docs * n1 / n) / spread
-    least = min(min_docs, max(2, n // 200))
-    score = np.where((docs >= least) & (docs < n), np.abs(score), 0)
-    best = np.argsort(-score, kind="stable")[:terms]
-    best = best[score[best] > 3]
-    if not len(best):
-        return none
-    machine = Machine(np.sort(names[best]), bias, np.zeros(len(best)), np.zeros((len(best), factors)))
-    of, at = machine.known(all_terms, of)
-    return _descend(machine, of, at, labels, weights / weights.mean(), epochs, seed)
+    spread = F.sqrt(F.col("docs") * (n - F.col("docs")) * share * (1 - share) / n)
+    scored = stored(counts.where((F.col("docs") >= least) & (F.col("docs") < n)).withColumn(
+        "score", F.abs(F.col("toxic") - F.col("docs") * share) / spread), "toxicity-terms")
+    best = scored.where("score > 3").orderBy(F.desc("score"), "term").limit(terms - terms // 32)
+    often = scored.orderBy(F.desc("docs"), "term").limit(terms // 32)
+    both = {r["term"] for part in (best, often) for r in part.select("term").collect()}
+    return np.sort(np.array(sorted(both), np.int64).view(np.uint64))
 
 
 def _descend(m: Machine, of: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray,
