@@ -393,12 +393,12 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of the nodes in ``edges`` (a, b).
 
     Alternating stars: every node hands its larger, then its smaller neighbours to
-    the least of them; the rounds grow with the logarithm of the longest path.
+    the least of them, until only stars are left; the rounds grow with the logarithm
+    of the longest path.
     """
     edges = stored(edges.where("a <> b").select(
         F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "near-edges")
-    state = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least("v", F.min("u")).alias("m"))
         large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
@@ -407,14 +407,19 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lower, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(
             lower.select("v", F.col("m").alias("u")))
         edges = stored(small.where("v <> u").distinct(), "near-edges")
-        found = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if found == state:
-            break
-        state = found
     stars = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one smaller end, which is no larger end itself."""
+    ends = edges.select(F.col("v").alias("x"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("u").alias("x"), F.lit(0).alias("up")))
+    mixed = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where(
+        "ups > 1 OR (ups = 1 AND least = 0)")
+    return mixed.isEmpty()
+
+
 def _meetings(placed: DataFrame) -> DataFrame:
     """placed (key, rep, comp, ...) with left, right and side, where a key has several components.
 
