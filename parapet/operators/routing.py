@@ -83,7 +83,7 @@ def newest_messages(messages: DataFrame, conversation: str, order: str) -> DataF
 
 def guard_last_message(detections: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """Reply for the newest message of each conversation: an alert in place of
-    the text if it is blocked, nothing otherwise.  Blank messages pass."""
+    the text if it is blocked, nothing otherwise."""
     blocked = F.col("is_injected") & (F.length("content") > 0)
     return detections.select(
         conversation, "message_id", blocked.alias("blocked"),
