@@ -52,12 +52,17 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    parts = [_squares(x[a:a + 1_000], centroids).argmin(1) for a in range(0, len(x), 1_000)]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
 def _lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     distinct = np.unique(x, axis=0)
     centroids = distinct[rng.permutation(len(distinct))[:k]]
     for _ in range(rounds):
-        of = _squares(x, centroids).argmin(1)
+        of = _nearest(x, centroids)
         n = np.bincount(of, minlength=len(centroids))
         sums = np.stack([np.bincount(of, x[:, j], len(centroids)) for j in range(x.shape[1])], 1)
         centroids = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centroids)
@@ -86,7 +91,7 @@ def fit(rows: DataFrame, k: int = 10, seed: int = 3) -> Index | None:
     near[np.arange(len(tried)), tried] = np.inf
     best = np.argsort(near, axis=1, kind="stable")[:, :min(k, max(1, len(x) - 1))]
     rank = np.argsort(np.argsort(_squares(x[tried], centroids), axis=1), axis=1)
-    of = _squares(x, centroids).argmin(1)
+    of = _nearest(x, centroids)
     ranks = np.sort(np.take_along_axis(rank, of[best], axis=1).ravel())
     probes = int(ranks[min(len(ranks) - 1, int(np.ceil(TARGET * len(ranks))))]) + 1
     few = np.random.default_rng(seed + 2).permutation(len(x))[:2_048]
@@ -140,7 +145,7 @@ def search(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id
         m = model.value
         for batch in batches:
             if batch.num_rows:
-                of = _squares(_matrix(batch.column(1)), m.centroids).argmin(1)
+                of = _nearest(_matrix(batch.column(1)), m.centroids)
                 yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), *batch.columns],
                                                  ["list", "id", "vector", "asks"])
 
@@ -151,9 +156,7 @@ def search(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id
 
     def ask(batches):
         m = sizes.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
             q, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
             order = np.argsort(_squares(q, m.centroids), axis=1, kind="stable")
             held = np.cumsum(m.counts[order], axis=1)
@@ -163,6 +166,8 @@ def search(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id
             near = _squares(q, m.sample)
             near[ids[:, None] == m.sample_ids[None, :]] = np.inf
             bound = np.sort(near, axis=1)[:, k - 1] if near.shape[1] >= k else np.full(len(q), np.inf)
+            # the squares above are rounded: a bound must not be too small
+            bound = bound + 1e-9 * ((q * q).sum(1) + (m.sample * m.sample).sum(1).max())
             many = np.repeat(np.arange(len(q)), probes)
             lists = np.concatenate([order[i, :p] for i, p in enumerate(probes)])
             yield pa.RecordBatch.from_arrays(
