@@ -110,9 +110,14 @@ def detected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def detected_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations, screened with a fixed drift; the text is kept."""
-    messages = planted_turns(spark, sf)
-    return detect(messages, Layers(drift=constant_drift()), keep=messages.columns)
+    """Conversations, screened with a fixed drift; of the text previews are kept."""
+    short = tx.preview(F.col("content"), fv.STEP_PREVIEW_CHARS).alias("step_preview")
+    messages = planted_turns(spark, sf).select("*", short)
+    return detect(messages, Layers(drift=constant_drift()), keep=_without_text(messages))
+
+
+def _without_text(messages: DataFrame) -> list[str]:
+    return [c for c in messages.columns if c != "content"]
 
 
 # -- sources, sinks, preparation ----------------------------------------------
@@ -810,7 +815,7 @@ def _(spark, sf):
     """Only the newest message of each conversation is screened at all."""
     messages = conversation_messages(texts(spark, sf, "conversations"))
     newest = plant(routing.newest_messages(messages, "conv_id", "turn"), "seq", "content")
-    found = detect(newest, Layers(drift=constant_drift()), keep=newest.columns)
+    found = detect(newest, Layers(drift=constant_drift()), keep=_without_text(newest))
     return routing.guard_last_message(found)
 
 
@@ -835,8 +840,7 @@ def _(spark, sf):
         CASE WHEN turn = stop THEN explanation END AS explanation
     FROM stopped WHERE stop IS NULL OR turn <= stop""")
 def _(spark, sf):
-    narrow = detected_turns(spark, sf).drop("content")
-    kept = routing.halt_downstream(cut_lineage(narrow), "conv_id", "turn")
+    kept = routing.halt_downstream(cut_lineage(detected_turns(spark, sf)), "conv_id", "turn")
     return kept.select(
         "conv_id", "turn", "message_id", F.col("alert").isNotNull().alias("blocked"),
         "alert.attack_type", "alert.confidence", "alert.explanation",

@@ -84,7 +84,8 @@ def newest_messages(messages: DataFrame, conversation: str, order: str) -> DataF
 def guard_last_message(detections: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """Reply for the newest message of each conversation: an alert in place of
     the text if it is blocked, nothing otherwise."""
-    blocked = F.col("is_injected") & (F.length("content") > 0)
+    text = "content" if "content" in detections.columns else "content_preview"
+    blocked = F.col("is_injected") & (F.length(text) > 0)
     return detections.select(
         conversation, "message_id", blocked.alias("blocked"),
         F.when(
@@ -120,7 +121,9 @@ def result_view(detections: DataFrame, order: str = "seq", count: int | None = N
     """Rows for a step or log table; with ``count`` only the newest."""
     if count is not None:
         detections = detections.orderBy(F.desc(order)).limit(count)
-    if "content" in detections.columns:
+    if "step_preview" in detections.columns:
+        text = F.col("step_preview")
+    elif "content" in detections.columns:
         text = preview(F.col("content"), fv.STEP_PREVIEW_CHARS)
     else:
         text = F.col("content_preview")
