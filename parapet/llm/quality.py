@@ -21,6 +21,7 @@ from parapet.llm.shared import chunks, stored
 ORDER = 4
 BLOCK_BYTES = 8_000_000
 QUANTILE = 0.99
+CALIBRATION = 0.1
 BROADCAST_IDS = 500_000  # 8 bytes each; more are joined by shuffling
 
 
@@ -198,19 +199,26 @@ def scores(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFra
     return met.mapInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
+             calibration: float = CALIBRATION) -> DataFrame:
     """Every row with perplexity, the threshold of its language, and kept.
 
-    trusted_ids: doc_id of the rows to learn from.  The threshold is a quantile of
-    the perplexities of trusted rows of that language; a language without any
-    keeps all its rows.  A null lang is a language of its own.  A null or empty
+    trusted_ids: doc_id of the rows to learn from.  A share of them, picked by a
+    hash of the id, is left out of the counts: the threshold is a quantile of the
+    perplexities of these rows of that language, which are as new to the model as
+    any other text.  With a share of 0 it is taken over all trusted rows.  A
+    language without such rows keeps all its rows.  A null lang is a language of its own.  A null or empty
     text has no perplexity and is not kept.  Other columns play no part.
     """
+    docs = docs.select("doc_id", "text", "lang")
     ids = stored(trusted_ids.select(F.col("doc_id").cast("long").alias("_id")).where("_id IS NOT NULL").distinct(), "kn-trusted")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    trusted = docs.join(side, docs["doc_id"] == F.col("_id"), "left_semi")
+    small = ids.count() <= BROADCAST_IDS
+    apart = F.pmod(F.xxhash64("_id"), F.lit(1_000)) < int(calibration * 1_000)
+    known, judges = ids.where(~apart), ids.where(apart) if calibration else ids
+    known, judges = (F.broadcast(x) if small else x for x in (known, judges))
+    trusted = docs.join(known, docs["doc_id"] == F.col("_id"), "left_semi")
     scored = stored(scores(docs, train(trusted)), "kn-scores")
-    limits = scored.join(side, F.col("doc_id") == F.col("_id"), "left_semi").groupBy(
+    limits = scored.join(judges, F.col("doc_id") == F.col("_id"), "left_semi").groupBy(
         F.coalesce("lang", F.lit("")).alias("_lang")).agg(
             F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     return scored.join(F.broadcast(limits), F.coalesce("lang", F.lit("")) == F.col("_lang"), "left").select(  # a row a language
