@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parapet.llm.shared import lower_ascii, stored
+from parapet.llm.shared import lower_ascii, stored, unused
 
 #: The directory has at most 2 ** MAX_DEPTH cells, which bounds what is broadcast (1 MB).
 #: At that depth buckets only get larger; nothing is left out.
@@ -107,14 +107,13 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The kept rows of ``docs``, all columns; one row where a kept row is repeated."""
     columns = docs.columns
     text = normalised(docs[text_col])
-    keys = [F.xxhash64(text).alias("_hash"), F.sha2(text, 256).alias("_sha")]
+    hashed, sha, keep = (unused(name, docs) for name in ("_hash", "_sha", "_keep"))
     kept = build_index(docs, id_col, text_col, capacity).entries.select(
-        F.col("hash").alias("_hash"), F.col("text_sha256").alias("_sha"), "keep_id"
-    ).withColumnRenamed("keep_id", "_keep")
-    rows = docs.select("*", *keys)
+        F.col("hash").alias(hashed), F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep))
+    rows = docs.select("*", F.xxhash64(text).alias(hashed), F.sha2(text, 256).alias(sha))
     found = rows.join(
         kept,
-        (rows["_hash"] == kept["_hash"]) & (rows["_sha"] == kept["_sha"])
-        & rows[id_col].eqNullSafe(kept["_keep"]),
-    ).select(*[rows[c] for c in columns], rows["_sha"].alias("_sha"))
-    return found.dropDuplicates([id_col, "_sha"]).select(*columns)
+        (rows[hashed] == kept[hashed]) & (rows[sha] == kept[sha])
+        & rows[id_col].eqNullSafe(kept[keep]),
+    ).select(*[rows[c] for c in columns], rows[sha])
+    return found.dropDuplicates([id_col, sha]).select(*columns)

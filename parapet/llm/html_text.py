@@ -14,7 +14,7 @@ from hashlib import blake2b
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parapet.llm.shared import stored
+from parapet.llm.shared import stored, unused
 
 #: A subtree is a template from so many pages of its host, and from this share of them.
 #: The share bounds the templates of a host: a page has few hundred subtrees.
@@ -308,11 +308,12 @@ def with_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     import pyarrow as pa
 
     pages = pages.drop(text_col)
+    host, hashes = unused("_host", pages), unused("_hashes", pages)
     templates = stored(site_templates(pages, min_pages, share), "html-templates").select(
-        F.col("host").alias("_host"), F.col("hashes").alias("_hashes"))
-    size = templates.agg(F.sum(F.size("_hashes"))).first()[0] or 0
+        F.col("host").alias(host), F.col("hashes").alias(hashes))
+    size = templates.agg(F.sum(F.size(hashes))).first()[0] or 0
     side = F.broadcast(templates) if size <= BROADCAST_HASHES else templates
-    joined = pages.join(side, host_of(pages["url"]) == F.col("_host"), "left").drop("_host")
+    joined = pages.join(side, host_of(pages["url"]) == F.col(host), "left").drop(host)
     schema = pages.select("*", F.lit("").alias(text_col)).schema
     column = pages.columns.index("html")
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from parapet.llm.shared import chunks, held_out, stored
+from parapet.llm.shared import chunks, held_out, stored, unused
 
 ORDER = 3
 #: Contexts in the model, and bytes it takes (a cost is a 16-bit number of 1/256 bits).
@@ -215,7 +215,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text",
 
     docs = docs.drop(lang_col, score_col)
     spoken = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.withColumn("_spoken", spoken)
+    rows = docs.withColumn(unused("_spoken", docs), spoken)
     schema = docs.select("*", F.lit("").alias(lang_col), F.lit(0.0).alias(score_col)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by model_bytes
     column = docs.columns.index(text_col)

@@ -9,13 +9,14 @@ permutation of its block numbers, once per pass, and blocks join by number.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from parapet.llm.shared import WORD_PATTERN, stored
+from parapet.llm.shared import WORD_PATTERN, stored, unused
 
 SHARE = 1.5  # of all sizes, in the mix
 REPEAT = 2.0  # a source is repeated so often at most
@@ -28,7 +29,8 @@ class Mix:
     """sources: source, weight, source_size, target, blocks, slots (plain rows).
     documents: doc_id, source, size, first (its place among its source's words).
     pieces: source, block, doc_id, first, start, length; the words of a block.
-    slots: shard, slot, source, block, pass."""
+    slots: shard, slot, source, block, pass.  A few shards make many slots, so joins
+    with them are told to merge: planned sizes are far too small."""
 
     sources: list[dict]
     documents: DataFrame
@@ -208,7 +210,7 @@ def taken(plan: Mix) -> DataFrame:
     Repeats count.  Blocks are counted before they meet the pieces.
     """
     times = plan.slots.groupBy("number", "block").agg(F.count("*").alias("times"))
-    got = plan.pieces.join(times, ["number", "block"]).groupBy("number", "first").agg(
+    got = plan.pieces.join(times.hint("merge"), ["number", "block"]).groupBy("number", "first").agg(
         F.sum(F.col("length") * F.col("times")).alias("taken"))
     number = {x["source"]: x["number"] for x in plan.sources}
     docs = plan.documents.withColumn("number", F.coalesce(
@@ -222,7 +224,7 @@ def taken(plan: Mix) -> DataFrame:
 
 def mixed_pieces(plan: Mix) -> DataFrame:
     """The mix itself: shard, slot, source, block, pass, doc_id, start, length."""
-    return plan.slots.join(plan.pieces, ["number", "block"]).select(
+    return plan.slots.hint("merge").join(plan.pieces, ["number", "block"]).select(
         "shard", "slot", "source", "block", "pass", "doc_id", "mark", "copy", "start", "length")
 
 
@@ -236,33 +238,45 @@ def mixed_documents(docs: DataFrame, plan: Mix) -> DataFrame:
     """
     columns = docs.columns
     keys = ["doc_id", "mark", "copy"]
+    mark, copy, own, *theirs = (unused(name, docs) for name in ("_mark", "_copy", "_spans", "_k0", "_k1", "_k2"))
     spans = mixed_pieces(plan).groupBy(*keys, "pass").agg(
-        F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans"))  # bounded by the text
-    spans = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_spans")
-    rows = docs.withColumn("_mark", _mark(docs))
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy("source")))
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_k0")) & (F.col("_mark") == F.col("_k1"))
-                     & (F.col("_copy") == F.col("_k2"))).select(*columns, "_spans")
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        import re
-
-        out = []
-        for text, own in zip(texts, spans):
-            words = [m.span() for m in re.finditer(WORD_PATTERN, text)]
-            parts, end = [], -1
-            for s in own:
-                start, length = int(s["start"]), int(s["length"])
-                if start == end:
-                    parts[-1] = (parts[-1][0], start + length)
-                else:
-                    parts.append((start, start + length))
-                end = start + length
-            out.append("\n".join(text[words[a][0]: words[b - 1][1]] for a, b in parts))
-        return pd.Series(out)
-
-    made = rows.withColumn("text", cut("text", "_spans")).drop("_spans")
-    if "n_chars" in columns:
-        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return made.select(*columns)
+        F.sort_array(F.collect_list(F.struct("start", "length"))).alias(own))  # bounded by the text
+    spans = spans.select(*[F.col(k).alias(t) for k, t in zip(keys, theirs)], own)
+    rows = docs.withColumn(mark, _mark(docs))
+    rows = rows.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", mark).orderBy("source")))
+    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col(theirs[0])) & (F.col(mark) == F.col(theirs[1]))
+                     & (F.col(copy) == F.col(theirs[2]))).select(*columns, own)
+
+    schema = docs.schema
+    at = {c: i for i, c in enumerate(columns)}
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
+            spans = batch.column(batch.num_columns - 1)
+            ends = np.cumsum(spans.value_lengths().to_numpy())
+            flat = spans.flatten()
+            start, length = (flat.field(k).to_numpy() for k in range(2))
+            texts = [_cut(text, start[e - n:e], length[e - n:e]) for text, e, n in zip(
+                batch.column(at["text"]).to_pylist(), ends, spans.value_lengths().to_numpy())]
+            out = list(batch.columns[:-1])
+            out[at["text"]] = pa.array(texts, pa.string())
+            if "n_chars" in at:
+                kind = batch.schema.field("n_chars").type
+                out[at["n_chars"]] = pa.array([len(t) for t in texts]).cast(kind)
+            yield pa.RecordBatch.from_arrays(out, batch.schema.names[:-1])
+
+    return rows.mapInArrow(cut, schema)
+
+
+def _cut(text: str, start: np.ndarray, length: np.ndarray) -> str:
+    """The words of the spans, which rise; neighbouring spans are one part."""
+    words = [m.span() for m in re.finditer(WORD_PATTERN, text)]
+    parts: list[list[int]] = []
+    for a, n in zip(start.tolist(), length.tolist()):
+        if parts and parts[-1][1] == a:
+            parts[-1][1] = a + n
+        else:
+            parts.append([a, a + n])
+    return "\n".join(text[words[a][0]:words[b - 1][1]] for a, b in parts)

@@ -26,7 +26,7 @@ AFTER_DOCUMENT, AFTER_SENTENCE, ELSEWHERE = 0, 8, 24
 WINDOW = 4  # and a window, so that small ones don't pay without need
 STEP = 32  # places inside a long sentence where a cut is allowed
 BLOCK_IDS = 1 << 18  # ids that are planned at once
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 
 #: Punctuation that the tokenizer parts from letters and digits beside it (an apostrophe it may not).
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -271,7 +271,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
             texts = batch.column(1).cast(pa.binary())
-            step = 200
+            step = 100
             for a in range(0, batch.num_rows, step):
                 part = [t or b"" for t in texts.slice(a, step).to_pylist()]
                 for doc_id, own in zip(ids_of[a:a + step], encode.encode(part)):
