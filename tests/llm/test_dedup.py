@@ -39,8 +39,8 @@ def test_exact_odd_rows(spark):
     got = exact_dedup.mark_duplicates(rows).collect()
     assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["kept"]) for r in got) == [
         (0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True)]
-    kept = exact_dedup.drop_duplicates(rows.drop("_hash"))
-    assert kept.columns == ["doc_id", "text", "hash", "keep_id"] and kept.count() == 2
+    kept = exact_dedup.drop_duplicates(rows)
+    assert kept.columns == ["doc_id", "text", "hash", "keep_id", "_hash"] and kept.count() == 2
     assert exact_dedup.mark_duplicates(rows.limit(0)).count() == 0
 
 

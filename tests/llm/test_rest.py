@@ -64,7 +64,7 @@ def test_mix_takes_what_targets_say(spark):
 
 
 def test_mixed_documents_hold_the_words_taken(spark):
-    docs = mix_rows(spark)
+    docs = mix_rows(spark).withColumn("_mark", F.lit(1)).withColumn("_k0", F.lit(2))
     plan = mixing.mix(docs)
     mixed = mixing.mixed_documents(docs, plan)
     assert mixed.columns == docs.columns

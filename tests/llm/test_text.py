@@ -27,7 +27,7 @@ def corpus(spark, n=240):
 def test_language_of_unseen_texts(spark):
     model = language.fit(language.training_part(corpus(spark)))
     odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 34 !", "x"), (4, "nicht mit der", None)], SCHEMA)
-    rows = {r["doc_id"]: r for r in language.with_language(odd.withColumn("score", F.lit("clash")), model).collect()}
+    rows = {r["doc_id"]: r for r in language.with_language(odd.withColumn("score", F.lit("clash")).withColumn("_spoken", F.lit(1)), model).collect()}
     assert [rows[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["und", "und", "und", "de"]
     assert all(0 <= r["score"] <= 1 for r in rows.values())
     rng = random.Random(9)
@@ -168,10 +168,10 @@ def test_html_article_only(spark):
     rows = [(1, "http://h.example/1", PAGE), (2, None, None), (3, "http://h.example/3", ""), (4, "x", "plain < text &lt;b&gt;"),
             (5, "http://h.example/5", "<p>a<p>b" + "<div>" * 3000 + "deep"), (5, "http://h.example/5", "<p>a<p>b")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_host", F.lit(1)).withColumn("text", F.lit("clash"))
-    got = sorted((r["page_id"], r["text"]) for r in html_text.with_text(pages.drop("_host")).collect())
+    got = sorted((r["page_id"], r["text"]) for r in html_text.with_text(pages).collect())
     assert got == [(1, "Title & more\nOne two three\nFour\na\nb"), (2, ""), (3, ""), (4, "plain < text <b>"),
                    (5, "a\nb"), (5, "a\nb\ndeep")]
-    assert html_text.with_text(pages.limit(0).drop("_host")).count() == 0
+    assert html_text.with_text(pages.limit(0)).count() == 0
 
 
 def test_html_templates_go_and_shared_passages_stay(spark):
@@ -245,7 +245,7 @@ def test_quality_perplexity_equals_the_definition(spark):
     texts = good + ["###$$$ %%%", "", None, sentences(rng, "en", 5), "the"]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(99, "ohne", "de"), (98, "x", None)], SCHEMA)
     trusted = spark.createDataFrame([(i,) for i in range(25)] + [(None,)], "doc_id long")
-    rows = {r["doc_id"]: r for r in quality.classify(docs.withColumn("block", F.lit(1)), trusted).collect()}
+    rows = {r["doc_id"]: r for r in quality.classify(docs.withColumn("_id", F.lit(1)), trusted, calibration=0.0).collect()}
     p = kneser_ney(good)
     for i, t in enumerate(texts):
         if t:
