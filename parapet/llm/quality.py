@@ -1,7 +1,9 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
-The model has byte n-grams of up to four bytes, per language.  Its counts never
-leave the cluster's tables: texts are dealt with in blocks, each block asks for
+The model has n-grams of up to three words, per language, and below them byte
+n-grams of up to four bytes, which spell words that were not seen and what stands
+between words.  The word counts grow with the trusted text.  Counts never leave
+the cluster's tables: texts are dealt with in blocks, each block asks for
 the n-grams it holds, the distinct ones are joined with the counts, sharded by
 n-gram, and the answers go back to their blocks, where documents are scored.  A
 document is kept if its perplexity is within a quantile of what trusted documents
@@ -16,12 +18,14 @@ from hashlib import blake2b
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from parapet.llm.shared import chunks, stored
+from parapet.llm.shared import BLANKS, chunks, find_words, hash_words, mix64, stored
 
 ORDER = 4
+WORDS = 3  # of the longest word n-gram
 BLOCK_BYTES = 8_000_000
 QUANTILE = 0.99
 CALIBRATION = 0.1
+SHARD_KEYS = 250_000  # of the word counts that meet the blocks' words in one piece
 BROADCAST_IDS = 500_000  # 8 bytes each; more are joined by shuffling
 
 
@@ -38,6 +42,30 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return code
 
 
+_BLANK = np.isin(np.arange(256), list(BLANKS))
+
+
+def word_grams(data: np.ndarray, offsets: np.ndarray, lang: str, words: int) -> tuple:
+    """Starts, ends and text numbers of words, and (gram, context) for orders 1 to ``words``.
+
+    Keys are 64-bit hashes with the language in them.  The context of an n-gram is
+    the shorter one that ends at the word before; of a single word, the language.
+    """
+    starts, ends, of = find_words(data, offsets, _BLANK)
+    own = hash_words(data, starts, ends)
+    root = np.uint64(int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little"))
+    begins = np.ones(len(of), bool)
+    begins[1:] = of[1:] != of[:-1]
+    out, context = [], np.full(len(own), root, np.uint64)
+    for k in range(1, words + 1):
+        gram = mix64(mix64(context + np.uint64(k)) + own)
+        out.append((gram.view(np.int64), context.view(np.int64)))
+        context = np.zeros_like(gram)
+        context[1:] = gram[:-1]
+        context[begins] = mix64(np.array([root ^ np.uint64(k)]))[0]
+    return starts, ends, of, out
+
+
 def _by_language(batch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
     """Of a batch (id, lang, text), by chunk and language: language, rows, bytes, offsets."""
     langs = np.array([x or "" for x in batch.column(1).to_pylist()], object)
@@ -107,6 +135,127 @@ def train(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     return out
 
 
+def train_words(trusted: DataFrame, words: int) -> DataFrame:
+    """key, num, total, rest: of n-grams the discounted count, of contexts the sum of
+    counts and the share that goes to the shorter n-gram.
+
+    The highest order counts occurrences, lower orders distinct words before.
+    """
+    import pyarrow as pa
+
+    keys = [f"{kind}{k}" for k in range(1, words + 1) for kind in ("gram", "context")]
+
+    def count(batches):
+        for batch in batches:
+            for lang, _, data, offsets in _by_language(batch):
+                *_, found = word_grams(data, offsets, lang, words)
+                _, first, n = np.unique(found[-1][0], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(n), pa.string()), *(pa.array(x[first]) for pair in found for x in pair),
+                     pa.array(n.astype(np.int64))], ["lang", *keys, "n"])
+
+    schema = "lang string, " + ", ".join(f"{k} long" for k in keys) + ", n long"
+    rows = _rows(trusted).mapInArrow(count, schema)
+    parts = []
+    for k in range(words, 0, -1):
+        rows = stored(rows.groupBy("lang", *keys[:2 * k]).agg((F.sum("n") if k == words else F.count("*")).alias("c")), "kn-words")
+        own = rows.join(F.broadcast(_discounts(rows)), F.col("lang") == F.col("_lang")).withColumn(  # a row a language
+            "d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        none = F.lit(None).cast("double")
+        parts.append(own.select(F.col(f"gram{k}").alias("key"), (F.col("c") - F.col("d")).alias("num"),
+                                none.alias("total"), none.alias("rest")))
+        sums = own.groupBy(F.col(f"context{k}").alias("key")).agg(F.sum("c").cast("double").alias("total"), F.sum("d").alias("lost"))
+        parts.append(sums.select("key", none.alias("num"), "total", (F.col("lost") / F.col("total")).alias("rest")))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return stored(both.groupBy("key").agg(*(F.max(c).alias(c) for c in ("num", "total", "rest"))), "kn-words")
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of 8-byte values, the first of sorted numbers, in few bytes."""
+    import pyarrow as pa
+
+    first = np.diff(columns[0], prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(first), 8).T.ravel() for c in (first, *columns[1:])]
+    return len(first).to_bytes(8, "little") + pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, columns: int) -> np.ndarray:
+    """What was packed, as rows of unsigned numbers."""
+    import pyarrow as pa
+
+    n = int.from_bytes(blob[:8], "little")
+    raw = pa.decompress(blob[8:], decompressed_size=8 * n * columns, codec="zstd", asbytes=True)
+    planes = np.frombuffer(raw, np.uint8).reshape(columns, 8, n).transpose(0, 2, 1)
+    out = np.array(planes, order="C").view(np.uint64)[:, :, 0]
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+def told_words(asked: DataFrame, word_model: DataFrame, bits: int) -> DataFrame:
+    """block, shard, texts: packed key, num, total, rest of the keys a block asks for that were seen.
+
+    asked: shard (the first ``bits`` of its keys), block, keys (packed).
+    """
+    import pyarrow as pa
+
+    shard = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("shard")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = word_model.select(shard, F.lit(0).alias("role"), "key", "num", "total", "rest", none("binary").alias("keys"))
+    asks = asked.select("shard", F.lit(1).alias("role"), F.col("block").alias("key"), *(
+        none("double").alias(c) for c in ("num", "total", "rest")), "keys")
+    met = rows.unionByName(asks).repartition("shard").sortWithinPartitions("shard", "role", "key")
+
+    def answer(batches):
+        at, held, table = None, [], None
+        for batch in batches:
+            shards, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            values = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6)]
+            edges = np.flatnonzero((shards[1:] != shards[:-1]) | (role[1:] != role[:-1])) + 1
+            blocks, own, packed = [], [], []
+            for first, last in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                if first == last:
+                    continue
+                if at != shards[first]:
+                    at, held, table = shards[first], [], None
+                if role[first] == 0:
+                    held.append([values[0][first:last].copy(), *(x[first:last].astype(float) for x in values[1:])])
+                    continue
+                if not held:
+                    continue
+                if table is None:
+                    table = [np.concatenate(x) for x in zip(*held)]
+                known = table[0].view(np.uint64)
+                for j in range(first, last):
+                    keys = _unpack(batch.column(6)[j].as_py(), 1)[0]
+                    where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    where = where[known[where] == keys]
+                    if len(where):
+                        blocks.append(values[0][j])
+                        own.append(at)
+                        packed.append(_pack(known[where], *(x[where] for x in table[1:])))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(own, pa.int64()), pa.array(packed, pa.binary())],
+                                             ["block", "shard", "texts"])
+
+    return met.mapInArrow(answer, "block long, shard long, texts binary")
+
+
+def _word_logs(found: list, spelled: np.ndarray, table: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+    """Log probability of each word; ``spelled``: that of its bytes.  A key that has no row was not seen."""
+    num, total, rest = values
+    part, left = np.zeros(len(spelled)), np.ones(len(spelled))
+    for gram, context in reversed(found):
+        at = np.minimum(np.searchsorted(table, context), len(table) - 1)
+        known = (table[at] == context) & ~np.isnan(total[at])
+        own = np.minimum(np.searchsorted(table, gram), len(table) - 1)
+        seen = known & (table[own] == gram) & ~np.isnan(num[own])
+        part += np.where(seen, left * num[own] / np.where(known, total[at], 1), 0)
+        left *= np.where(known, rest[at], 1)
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(part), np.log(left) + spelled)
+
+
 def probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """lang, gram, logp of distinct n-grams: joins with the counts of each order.
 
@@ -134,8 +283,11 @@ def _named(batches):
             yield int.from_bytes(h.digest(), "little", signed=True), lang, batch, rows, data, offsets
 
 
-def scores(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (a byte's; null for an empty text) of every row."""
+def scores(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], word_model: DataFrame | None = None,
+           words: int = 0) -> DataFrame:
+    """doc_id, lang, n_bytes, and of every row what a byte costs (null for an empty text):
+    perplexity by the byte n-grams alone, word_perplexity with the word n-grams on top.
+    """
     import pyarrow as pa
 
     def ask(batches):
@@ -155,23 +307,42 @@ def scores(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFra
                 [pa.array([block]), pa.array([1], pa.int32()), pa.array([0]), pa.array([0.0]),
                  pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "role", "gram", "logp", "texts"])
 
+    def ask_words(batches):
+        for block, lang, _, _, data, offsets in _named(batches):
+            *_, found = word_grams(data, offsets, lang, words)
+            keys = np.unique(np.concatenate([x for pair in found for x in pair]).view(np.uint64))
+            shards = (keys >> np.uint64(64 - bits)).astype(np.int32)
+            own, first = np.unique(shards, return_index=True)
+            packed = [_pack(x) for x in np.split(keys, first[1:])] if len(keys) else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own), pa.array(np.full(len(own), block)), pa.array(packed, pa.binary())], ["shard", "block", "keys"])
+
     asked = stored(_rows(docs).mapInArrow(ask, "block long, lang string, gram long"), "kn-asked")
     known = probabilities(asked.select("lang", "gram").distinct(), model)
     answers = asked.join(known, ["lang", "gram"]).select(
         "block", F.lit(0).alias("role"), "gram", "logp", F.lit(None).cast("binary").alias("texts"))
     texts = _rows(docs).mapInArrow(keep, "block long, role int, gram long, logp double, texts binary")
-    met = answers.unionByName(texts).repartition("block").sortWithinPartitions("block", "role", "gram")
+    both = answers.unionByName(texts)
+    if word_model is not None:
+        bits = max(6, int(np.ceil(np.log2(max(1, word_model.count()) / SHARD_KEYS))))
+        told = told_words(_rows(docs).mapInArrow(ask_words, "shard int, block long, keys binary"), word_model, bits)
+        both = both.unionByName(told.select("block", F.lit(-1).alias("role"), F.col("shard").alias("gram"),
+                                            F.lit(None).cast("double").alias("logp"), "texts"))
+    met = both.repartition("block").sortWithinPartitions("block", "role", "gram")
 
     def score(batches):
-        at, codes, logs = None, [], []
+        at, codes, logs, told, known = None, [], [], [], None
         for batch in batches:
-            block, role, gram, logp = (batch.column(k).to_numpy() for k in range(4))
-            change = np.flatnonzero((block[1:] != block[:-1]) | (role[1:] == 1)) + 1
+            block, role, gram, logp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            change = np.flatnonzero((block[1:] != block[:-1]) | (role[1:] == 1) | (role[1:] != role[:-1])) + 1
             for first, last in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
                 if first == last:
                     continue
                 if at != block[first]:
-                    at, codes, logs = block[first], [], []
+                    at, codes, logs, told, known = block[first], [], [], [], None
+                if role[first] == -1:
+                    told += [_unpack(batch.column(4)[j].as_py(), 4) for j in range(first, last)]
+                    continue
                 if role[first] == 0:
                     codes.append(gram[first:last].copy())
                     logs.append(logp[first:last].copy())
@@ -179,29 +350,50 @@ def scores(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFra
                 if len(codes) != 1:
                     codes, logs = [np.concatenate([[0], *codes])[1:]], [np.concatenate([[0.0], *logs])[1:]]
                 table, value = codes[0], logs[0]
+                if words and known is None:
+                    rows = np.concatenate(told, 1) if told else np.array([[0], *[[np.nan]] * 3]).view(np.uint64)
+                    rows = rows[:, np.argsort(rows[0].view(np.int64), kind="stable")]
+                    known, told = [rows[0].view(np.int64), *(x.view(np.float64) for x in rows[1:])], []
                 with pa.ipc.open_stream(batch.column(4)[first].as_buffer()) as texts:
                     part = texts.read_all().combine_chunks()
-                n, total = [], []
+                n, total, by_words, lang = [], [], [], part.column(1)[0].as_py() or ""
                 for _, _, data, offsets in chunks(part.column(2)):
                     size = np.diff(offsets)
-                    sums = np.zeros(len(size))
+                    sums, worded = np.zeros(len(size)), np.zeros(len(size))
                     if len(data):
                         own = value[np.searchsorted(table, grams(data, offsets))]
                         some = np.flatnonzero(size)
                         sums[some] = np.add.reduceat(own, offsets[:-1][some])
+                        if words:
+                            starts, ends, _, found = word_grams(data, offsets, lang, words)
+                            if len(starts):
+                                edges = np.stack([starts, ends], 1).ravel()
+                                spelled = np.add.reduceat(np.append(own, 0.0), edges)[::2]
+                                inside = np.zeros(len(own) + 1, np.int64)
+                                np.add.at(inside, starts, 1)
+                                np.add.at(inside, ends, -1)
+                                own[np.cumsum(inside[:-1]) > 0] = 0  # a word counts at its first byte
+                                own[starts] = _word_logs(found, spelled, known[0], known[1:])
+                        worded[some] = np.add.reduceat(own, offsets[:-1][some])
                     n += size.tolist()
                     total += sums.tolist()
-                per = [float(np.exp(-t / k)) if k else None for t, k in zip(total, n)]
+                    by_words += (worded if words else sums).tolist()
+                per, per_worded = ([float(np.exp(-t / k)) if k else None for t, k in zip(x, n)] for x in (total, by_words))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).combine_chunks(), part.column(1).combine_chunks(), pa.array(n, pa.int64()),
-                     pa.array(per, pa.float64())], ["doc_id", "lang", "n_bytes", "perplexity"])
+                     pa.array(per, pa.float64()), pa.array(per_worded, pa.float64())],
+                    ["doc_id", "lang", "n_bytes", "perplexity", "word_perplexity"])
 
-    return met.mapInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double")
+    return met.mapInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double, word_perplexity double")
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
-             calibration: float = CALIBRATION) -> DataFrame:
-    """Every row with perplexity, the threshold of its language, and kept.
+             calibration: float = CALIBRATION, words: int = WORDS) -> DataFrame:
+    """Every row with both perplexities, their thresholds in its language, and kept.
+
+    A row is kept if both are within their threshold.  words: of the longest word
+    n-gram; 0 leaves the byte model alone, which can't tell good words in a bad
+    order.
 
     trusted_ids: doc_id of the rows to learn from.  A share of them, picked by a
     hash of the id, is left out of the counts: the threshold is a quantile of the
@@ -217,10 +409,13 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE
     known, judges = ids.where(~apart), ids.where(apart) if calibration else ids
     known, judges = (F.broadcast(x) if small else x for x in (known, judges))
     trusted = docs.join(known, docs["doc_id"] == F.col("_id"), "left_semi")
-    scored = stored(scores(docs, train(trusted)), "kn-scores")
+    word_model = train_words(trusted, words) if words else None
+    scored = stored(scores(docs, train(trusted), word_model, words), "kn-scores")
     limits = scored.join(judges, F.col("doc_id") == F.col("_id"), "left_semi").groupBy(
         F.coalesce("lang", F.lit("")).alias("_lang")).agg(
-            F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+            F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"),
+            F.percentile_approx("word_perplexity", quantile, 10_000).alias("word_threshold"))
+    within = lambda x, y: F.coalesce(F.col(x) <= F.coalesce(y, F.lit(float("inf"))), F.lit(False))
     return scored.join(F.broadcast(limits), F.coalesce("lang", F.lit("")) == F.col("_lang"), "left").select(  # a row a language
-        "doc_id", "lang", "n_bytes", "perplexity", "threshold",
-        F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf"))), F.lit(False)).alias("kept"))
+        "doc_id", "lang", "n_bytes", "perplexity", "threshold", "word_perplexity", "word_threshold",
+        (within("perplexity", "threshold") & within("word_perplexity", "word_threshold")).alias("kept"))

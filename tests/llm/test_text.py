@@ -257,3 +257,45 @@ def test_quality_perplexity_equals_the_definition(spark):
     assert not rows[25]["kept"] and rows[0]["kept"]
     assert rows[99]["perplexity"] == pytest.approx(256) and rows[99]["kept"] and rows[98]["kept"]
     assert quality.classify(docs.limit(0), trusted).count() == 0
+
+
+def test_quality_tells_good_words_in_a_bad_order(spark):
+    """Every byte context of the shuffled and repeated words occurs in trusted text."""
+    rng = random.Random(8)
+    names = [x + "tion" for x in ["bal", "cor", "dun", "fel", "gim", "hov", "jat", "kel", "lum", "mer", "nop", "pis"]]
+    after = {w: names[(5 * i + 3) % 12] for i, w in enumerate(names)}  # a word tells the next one, bytes don't tell words
+
+    def good(n):
+        w, out = rng.choice(names), []
+        for _ in range(n):
+            out.append(w)
+            w = after[w] if rng.random() < 0.9 else rng.choice(names)
+        return out
+
+    shuffled = good(60)
+    rng.shuffle(shuffled)
+    texts = [" ".join(good(60)) for _ in range(300)] + [" ".join(shuffled), " ".join(["baltion"] * 60), " ".join(good(60))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(900, "", "en"), (901, "x y", "de")], SCHEMA)
+    rows = {r["doc_id"]: r for r in quality.classify(docs, docs.where("doc_id < 300").select("doc_id")).collect()}
+    assert not rows[300]["kept"] and not rows[301]["kept"] and rows[302]["kept"]
+    assert rows[900]["perplexity"] is None and not rows[900]["kept"] and rows[901]["perplexity"] == pytest.approx(256)
+    bytes_only = {r["doc_id"]: r for r in quality.classify(docs, docs.where("doc_id < 300").select("doc_id"), words=0).collect()}
+    assert bytes_only[300]["kept"]
+    model = quality.train_words(docs.where("doc_id < 100"), quality.WORDS)
+    assert model.count() > quality.train_words(docs.where("doc_id < 3"), quality.WORDS).count()
+
+
+def test_word_probabilities_add_up(spark):
+    """Over all words seen after a context, with the rest left to spelling."""
+    text = "a b a c a b c b a c c a"
+    model = quality.train_words(spark.createDataFrame([(1, text, "en")], SCHEMA), 2).toPandas().sort_values("key")
+    table, values = model["key"].to_numpy(), [model[c].to_numpy(float) for c in ("num", "total", "rest")]
+    mass = 0.0
+    for w in "abc":
+        data = np.frombuffer(f"b {w}".encode(), np.uint8)
+        *_, found = quality.word_grams(data, np.array([0, len(data)]), "en", 2)
+        mass += np.exp(quality._word_logs(found, np.full(2, -np.inf), table, values))[1]
+    rest = 1.0
+    for gram, context in found:
+        rest *= values[2][np.searchsorted(table, context[1])]
+    assert mass + rest == pytest.approx(1)
