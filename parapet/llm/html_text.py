@@ -1,9 +1,10 @@
 """Main text of web pages, with site templates removed.
 
 Every page becomes a tree of elements.  Subtrees are hashed and counted per host;
-what recurs on many pages of a host is its template and goes, as do elements that
-say what they are (menus, footers, forms, scripts ...).  The article's own blocks
-of text stay, also where several pages share them.
+what recurs on a host's pages is its template and goes, as do elements that say
+what they are (menus, footers, forms, scripts ...).  The article's own blocks of
+text stay, also where several pages share them; a block outside of it goes if most
+pages of the host have it at that place.
 """
 
 from __future__ import annotations
@@ -11,16 +12,17 @@ from __future__ import annotations
 import html as entities
 import re
 from hashlib import blake2b
+from zlib import crc32
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parapet.llm.shared import stored, unused
+from parapet.llm.shared import mix64, stored, unused
 
-#: A subtree is a template from so many pages of its host, and from this share of them.
-#: The share bounds the templates of a host: a page has few hundred subtrees.
+#: A subtree is a template from so many pages of its host, however many the host has.
 MIN_PAGES = 5
-SHARE = 0.02
-BROADCAST_HASHES = 2_000_000  # 8 bytes each; more are joined by host
+MOST = 0.5  # of a host's pages: a lone block of prose outside of articles goes if more have it
+BROADCAST_HASHES = 2_000_000  # 8 bytes each; more are joined with the pages' own
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -178,7 +180,10 @@ def hashed(root: Element) -> dict[int, tuple[int, int]]:
 def subtree_hashes(page: str | None) -> list[int]:
     """Distinct hashes of the subtrees that may be templates: layout outside of prose."""
     root = parse(page or "")
-    found = hashed(root)
+    return sorted(_layout(root, hashed(root)))
+
+
+def _layout(root: Element, found) -> set[int]:
     out, todo = set(), list(root.children)
     while todo:
         x = todo.pop()
@@ -188,7 +193,45 @@ def subtree_hashes(page: str | None) -> list[int]:
             out.add(found[id(x)][0])
         if x.tag not in PROSE:
             todo += x.children
-    return sorted(out)
+    return out
+
+
+def _stand_in(root: Element, found) -> Element | None:
+    """What a page without an article has in its place: the part with over half of the text."""
+    at = root
+    while True:
+        texts = any(isinstance(c, str) and c.strip() for c in at.children)
+        parts = [c for c in at.children if not isinstance(c, str) and id(c) in found and not c.chrome(False)]
+        if texts or len(parts) != 1 or parts[0].tag in PROSE:
+            break
+        at = parts[0]
+    total = sum(found[id(c)][1] for c in parts)
+    return next((c for c in parts if c.tag not in PROSE and 2 * found[id(c)][1] > total), None)
+
+
+def prose_marks(root: Element, found) -> dict[int, int]:
+    """Of the outermost blocks of prose outside of articles, by identity: a hash of text
+    and place, which is the tags above it and the half of the page."""
+    kept, total = _stand_in(root, found), found.get(id(root), (0, 0))[1]
+    marks: dict[int, int] = {}
+    at, todo = 0, [(root, 0)]
+    while todo:
+        x, path = todo.pop()
+        if isinstance(x, str):
+            at += len(_SPACE.sub(" ", x).strip())
+            continue
+        size = found.get(id(x), (0, 0))[1]
+        if not size:
+            continue
+        if x.tag in PROSE or x.content or x is kept:
+            if x.tag in PROSE:
+                place = f"{found[id(x)][0]} {path} {2 * at + size > total}"
+                marks[id(x)] = int.from_bytes(blake2b(place.encode(), digest_size=8).digest(), "little", signed=True)
+            at += size
+            continue
+        path = crc32(x.tag.encode(), path)
+        todo += [(c, path) for c in reversed(x.children)]
+    return marks
 
 
 def main_text(page: str | None, templates=frozenset()) -> str:
@@ -197,11 +240,15 @@ def main_text(page: str | None, templates=frozenset()) -> str:
     is no template: pages that repeat an article are kept whole."""
     root = parse(page or "")
     found = hashed(root)
+    return _main_text(root, found, templates, prose_marks(root, found) if templates else {})
+
+
+def _main_text(root: Element, found, templates, marks: dict[int, int]) -> str:
     whole = _contents(root) or [root]
     blocks: list[str] = []
     for article in whole:
         total = found.get(id(article), (0, 0))[1]
-        _collect(article, found, templates, total, article is not root, blocks)
+        _collect(article, found, templates, total, article is not root, blocks, marks)
     return "\n".join(blocks)
 
 
@@ -220,7 +267,8 @@ def _contents(root: Element) -> list[Element]:
     return out
 
 
-def _collect(article: Element, found, templates, total: int, inside: bool, blocks: list[str]) -> None:
+def _collect(article: Element, found, templates, total: int, inside: bool, blocks: list[str],
+             marks: dict[int, int]) -> None:
     line: list[str] = []
 
     def close():
@@ -258,6 +306,9 @@ def _collect(article: Element, found, templates, total: int, inside: bool, block
                 not inside or any(not isinstance(c, str) for c in x.children)):
             close()
             continue
+        if own and not prose and 2 * own[1] <= total and marks.get(id(x)) in templates:
+            close()
+            continue
         if block:
             close()
         todo.append(iter(x.children))
@@ -271,61 +322,112 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """host, hashes: the subtrees on at least ``min_pages`` pages and ``share`` of the host's.
+def _key(host: str) -> int:
+    return int.from_bytes(blake2b(host.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
-    Counted over all pages; the share bounds the length of the lists.
+
+def _of_host(host: int, hashes) -> np.ndarray:
+    """Hashes with the host in them, so that one number tells both."""
+    own = np.fromiter(hashes, np.int64, len(hashes)).view(np.uint64)
+    return mix64(own + mix64(np.array([host], np.int64).view(np.uint64))).view(np.int64)
+
+
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, most: float = MOST) -> DataFrame:
+    """hash (with the host in it): the subtrees on at least ``min_pages`` pages of a host,
+    and the lone blocks of prose that over ``most`` of its pages have at the same place.
+
+    Counted over all pages.
     """
     import pyarrow as pa
 
     def find(batches):
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, hashes, kinds = [], [np.zeros(0, np.int64)], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = subtree_hashes(page)
-                hosts += [host] * (len(own) + 1)
-                hashes += [None, *own]  # null counts the pages
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())],
-                                             ["host", "hash"])
+                root = parse(page or "")
+                found = hashed(root)
+                layout, prose = _layout(root, found), set(prose_marks(root, found).values())
+                at = _key(host)
+                hashes.append(_of_host(at, [at, *layout, *prose]))
+                kinds += [0] + [1] * len(layout) + [2] * len(prose)  # 0 counts the pages
+                hosts += [at] * (1 + len(layout) + len(prose))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.int64()), pa.array(kinds, pa.int32()), pa.array(np.concatenate(hashes))],
+                ["host", "kind", "hash"])
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").alias("page")).where("host <> ''")
-    counts = rows.mapInArrow(find, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
-    counts = counts.where((F.col("n") >= min_pages) | F.col("hash").isNull())
-    counts = stored(counts, "html-subtrees")
-    totals = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
-    return counts.where("hash IS NOT NULL").join(totals, "host").where(
-        F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    counts = rows.mapInArrow(find, "host long, kind int, hash long").groupBy("host", "kind", "hash").agg(F.count("*").alias("n"))
+    counts = stored(counts.where((F.col("n") >= min_pages) | (F.col("kind") == 0)), "html-subtrees")
+    totals = counts.where("kind = 0").select("host", F.col("n").alias("pages"))
+    prose = counts.where("kind = 2").join(totals, "host").where(F.col("n") > most * F.col("pages"))
+    return counts.where("kind = 1").select("hash").unionByName(prose.select("hash")).distinct()
 
 
-def with_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE,
-              text_col: str = "text") -> DataFrame:
+def with_text(pages: DataFrame, min_pages: int = MIN_PAGES, most: float = MOST,
+              text_col: str = "text", broadcast: int = BROADCAST_HASHES) -> DataFrame:
     """Add the main text of each page (columns url and html); empty if there is none.
 
     A null page is empty; a page without a host keeps what isn't named as chrome.
     Every row is kept, repeated ones too.  A column named as the result is
-    replaced.
+    replaced.  Up to ``broadcast`` templates are sent to all tasks; more are joined
+    with the pages' own subtrees.
     """
     import pyarrow as pa
 
     pages = pages.drop(text_col)
-    host, hashes = unused("_host", pages), unused("_hashes", pages)
-    templates = stored(site_templates(pages, min_pages, share), "html-templates").select(
-        F.col("host").alias(host), F.col("hashes").alias(hashes))
-    size = templates.agg(F.sum(F.size(hashes))).first()[0] or 0
-    side = F.broadcast(templates) if size <= BROADCAST_HASHES else templates
-    joined = pages.join(side, host_of(pages["url"]) == F.col(host), "left").drop(host)
+    templates = stored(site_templates(pages, min_pages, most), "html-templates")
     schema = pages.select("*", F.lit("").alias(text_col)).schema
-    column = pages.columns.index("html")
+    column, host = pages.columns.index("html"), unused("_host", pages)
+
+    def own_hashes(root, found, name):
+        at, marks = _key(name), prose_marks(root, found)
+        own = [*_layout(root, found), *marks.values()]
+        return own, _of_host(at, own), marks
 
-    def extract(batches):
-        own: tuple = (None, frozenset())
+    def rewritten(batches, chosen):
         for batch in batches:
             out = []
-            for page, hashes in zip(batch.column(column).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                if own[0] != hashes:
-                    own = hashes, frozenset(hashes or ())
-                out.append(main_text(page, own[1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())],
-                                             [*batch.schema.names[:-1], text_col])
-
-    return joined.mapInArrow(extract, schema)
+            names, lists = (batch.column(k).to_pylist() for k in (batch.num_columns - 2, batch.num_columns - 1))
+            for page, name, listed in zip(batch.column(column).to_pylist(), names, lists):
+                root = parse(page or "")
+                found = hashed(root)
+                own, keys, marks = own_hashes(root, found, name) if name else ([], np.zeros(0, np.int64), {})
+                hit = chosen(keys, listed)
+                out.append(_main_text(root, found, {h for h, y in zip(own, hit.tolist()) if y}, marks))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())],
+                                             [*batch.schema.names[:-2], text_col])
+
+    hashes, page = unused("_hashes", pages), unused("_page", pages)
+    hosted = pages.withColumn(host, host_of(F.col("url")))
+    if templates.count() <= broadcast:
+        known = pages.sparkSession.sparkContext.broadcast(np.sort(  # bounded above
+            templates.toArrow().column("hash").to_numpy()))
+
+        def extract(batches):
+            table = known.value
+            last = len(table) - 1
+            return rewritten(batches, lambda keys, _: table[np.minimum(np.searchsorted(table, keys), last)] == keys
+                             if len(table) else np.zeros(len(keys), bool))
+
+        return hosted.withColumn(hashes, F.lit(None).cast("array<bigint>")).mapInArrow(extract, schema)
+
+    def asks(batches):
+        for batch in batches:
+            ids, asked = [], [np.zeros(0, np.int64)]
+            for i, name, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                root = parse(text or "")
+                keys = np.unique(own_hashes(root, hashed(root), name)[1])
+                ids += [i] * len(keys)
+                asked.append(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(asked))], [page, "hash"])
+
+    # a page is told by its host and content; equal ones have equal templates
+    hosted = hosted.withColumn(page, F.xxhash64(host, "html"))
+    asked = hosted.where(F.col(host) != "").select(page, host, "html").mapInArrow(asks, f"`{page}` long, hash long").distinct()
+    lists = asked.join(templates, "hash").groupBy(page).agg(F.collect_list("hash").alias(hashes))
+    joined = hosted.join(lists, page, "left").drop(page)
+
+    def extract_joined(batches):
+        return rewritten(batches, lambda keys, listed: np.isin(keys, np.array(listed or [], np.int64)))
+
+    return joined.mapInArrow(extract_joined, schema)

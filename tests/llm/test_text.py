@@ -299,3 +299,19 @@ def test_word_probabilities_add_up(spark):
     for gram, context in found:
         rest *= values[2][np.searchsorted(table, context[1])]
     assert mass + rest == pytest.approx(1)
+
+
+def test_html_templates_of_a_large_host_and_lone_blocks(spark):
+    """A box on 6 of 400 pages, and a lone block of prose at the end of every page."""
+    def page(i):
+        box = "<div class='q7'><div>Section news</div><div>More of it</div></div>" if i < 6 else ""
+        return f"<body>{box}<h1>Story {i}</h1><p>own text of page {i} {'word ' * 40}</p><p>All rights reserved by us</p></body>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(400)]
+    rows += [(900 + i, f"http://few.example/{i}", page(i)) for i in range(3)]  # too few pages to tell
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (html_text.BROADCAST_HASHES, 0):  # sent to all tasks, or joined
+        got = {r["page_id"]: r["text"] for r in html_text.with_text(pages, broadcast=limit).collect()}
+        assert len(got) == 403
+        assert all(got[i] == f"Story {i}\nown text of page {i} {('word ' * 40).strip()}" for i in range(400))
+        assert got[900].startswith("Section news\nMore of it") and got[900].endswith("All rights reserved by us")
