@@ -24,6 +24,7 @@ TARGET = 0.98  # share of true neighbours the probes are to reach, on the sample
 COLUMNS = 16  # of a block
 DOUBT = 3.0  # deviations of the test; larger: fewer candidates are abandoned
 BLOCK = 4_096  # vectors, and queries, that meet in one group
+PILOT = 256  # vectors of a group that are measured first, and bound the distances of the others
 
 
 @dataclass
@@ -32,8 +33,6 @@ class Index:
     rotation: np.ndarray
     counts: np.ndarray  # vectors of each list
     probes: int
-    sample: np.ndarray  # vectors that bound a query's distances
-    sample_ids: np.ndarray
 
 
 def usable(vector: Column) -> Column:
@@ -82,7 +81,6 @@ def fit(rows: DataFrame, k: int = 10, seed: int = 3) -> Index | None:
     if not table.num_rows:
         table = rows.limit(SAMPLE).toArrow()
     x = _matrix(table.column("vector").combine_chunks())
-    ids = table.column("id").to_numpy()
     centroids = _lloyd(x, max(1, min(LISTS, n // PER_LIST)), 8, seed)
     rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(x.shape[1], x.shape[1])))[0]
     # ranks of the lists that hold the neighbours of some vectors
@@ -94,8 +92,7 @@ def fit(rows: DataFrame, k: int = 10, seed: int = 3) -> Index | None:
     of = _nearest(x, centroids)
     ranks = np.sort(np.take_along_axis(rank, of[best], axis=1).ravel())
     probes = int(ranks[min(len(ranks) - 1, int(np.ceil(TARGET * len(ranks))))]) + 1
-    few = np.random.default_rng(seed + 2).permutation(len(x))[:2_048]
-    return Index(centroids, rotation, np.zeros(len(centroids), np.int64), probes, x[few], ids[few])
+    return Index(centroids, rotation, np.zeros(len(centroids), np.int64), probes)
 
 
 def _scan(q: np.ndarray, bound: float, rotated: np.ndarray, turned: np.ndarray) -> np.ndarray:
@@ -139,7 +136,7 @@ def search(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id
     schema = "query_id long, rank int, vec_id long, score double"
     if index is None:
         return spark.createDataFrame([], schema)
-    model = spark.sparkContext.broadcast(index)  # bounded by LISTS and 2,048 vectors
+    model = spark.sparkContext.broadcast(index)  # bounded by LISTS
 
     def place(batches):
         m = model.value
@@ -160,33 +157,30 @@ def search(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id
             q, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
             order = np.argsort(_squares(q, m.centroids), axis=1, kind="stable")
             held = np.cumsum(m.counts[order], axis=1)
-            # enough probes for the target, and for k candidates besides the query itself
-            need = (held < 3 * k + 2).sum(1) + 1
+            # enough probes for the target, and for k candidates besides rows of the query's own id
+            copies = batch.column(2).to_numpy()
+            need = (held < np.maximum(3 * k + 2, k + copies)[:, None]).sum(1) + 1
             probes = np.minimum(np.maximum(need, m.probes), len(m.centroids))
-            near = _squares(q, m.sample)
-            near[ids[:, None] == m.sample_ids[None, :]] = np.inf
-            bound = np.sort(near, axis=1)[:, k - 1] if near.shape[1] >= k else np.full(len(q), np.inf)
-            # the squares above are rounded: a bound must not be too small
-            bound = bound + 1e-9 * ((q * q).sum(1) + (m.sample * m.sample).sum(1).max())
             many = np.repeat(np.arange(len(q)), probes)
             lists = np.concatenate([order[i, :p] for i, p in enumerate(probes)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(lists.astype(np.int32)), batch.column(0).take(pa.array(many)),
-                 batch.column(1).take(pa.array(many)), pa.array(bound[many])], ["list", "id", "vector", "bound"])
+                 batch.column(1).take(pa.array(many))], ["list", "id", "vector"])
 
-    asked = placed.where("asks").select("id", "vector").mapInArrow(
-        ask, "list int, id long, vector array<double>, bound double")
+    queries = placed.where("asks").select("id", "vector")
+    copies = placed.join(queries.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("copies"))
+    asked = queries.join(copies, "id").select("id", "vector", "copies").mapInArrow(
+        ask, "list int, id long, vector array<double>")
     # lists and their queries in blocks, so that a large list or a popular one is many groups
     asking = asked.groupBy("list").agg(F.count("*").alias("n"))
     blocks = F.broadcast(placed.groupBy("list").count().join(asking, "list").select(  # one row a list
         "list", F.ceil(F.col("count") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("cols")))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["list", "row", "col", "role", "id", "vector", "bound"]
+    columns = ["list", "row", "col", "role", "id", "vector"]
     as_rows = placed.join(blocks, "list").withColumn("col", each("cols")).select(
-        "list", F.pmod(F.xxhash64("id"), "rows").cast("int").alias("row"), "col", F.lit(1).alias("role"), "id", "vector",
-        F.lit(0.0).alias("bound"))
+        "list", F.pmod(F.xxhash64("id"), "rows").cast("int").alias("row"), "col", F.lit(1).alias("role"), "id", "vector")
     as_cols = asked.join(blocks, "list").withColumn("row", each("rows")).select(
-        "list", "row", F.pmod(F.xxhash64("id"), "cols").cast("int").alias("col"), F.lit(0).alias("role"), "id", "vector", "bound")
+        "list", "row", F.pmod(F.xxhash64("id"), "cols").cast("int").alias("col"), F.lit(0).alias("role"), "id", "vector")
     met = as_rows.select(*columns).unionByName(as_cols.select(*columns)).repartition("list", "row", "col")
     met = met.sortWithinPartitions("list", "row", "col", "role", "id")
 
@@ -201,12 +195,17 @@ def search(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id
                 continue
             ids = group.column(4).to_numpy()
             x = _matrix(group.column(5).combine_chunks())
-            bounds = group.column(6).to_numpy()
             rows, row_ids = x[n:], ids[n:]
             rotated, turned = rows @ rotation, x[:n] @ rotation
+            largest = (rows * rows).sum(1).max()
             out = [[], [], []]
             for i in range(n):
-                left = _scan(x[i], bounds[i], rotated, turned[i])
+                # a group gives k of its candidates, or all: the bound is theirs
+                left = np.flatnonzero(row_ids[:PILOT] != ids[i])
+                first = ((rows[left] - x[i]) ** 2).sum(1)
+                # the scan's distances are rounded: a bound must not be too small
+                bound = np.partition(first, k - 1)[k - 1] + 1e-9 * ((x[i] * x[i]).sum() + largest) if len(first) >= k else np.inf
+                left = np.concatenate([left, PILOT + _scan(x[i], bound, rotated[PILOT:], turned[i])])
                 left = left[row_ids[left] != ids[i]]
                 if not len(left):
                     continue

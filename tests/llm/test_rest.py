@@ -140,3 +140,20 @@ def test_registered():
     assert [n for n in QUERIES if n.startswith("op")] and {f"op{k}" for k in range(1, 11)} == {
         n.split("_")[0] for n in QUERIES if n.startswith("op")}
     assert "pipeline" in QUERIES and set(SQL) <= set(QUERIES)
+
+
+def test_neighbours_gives_k_rows_with_few_probes(spark, monkeypatch):
+    """Where many true neighbours are outside of the probed lists, and where rows of the
+    query's own id fill the nearest ones."""
+    monkeypatch.setattr(neighbours, "TARGET", 0.3)
+    x = np.random.default_rng(5).normal(size=(1_200, 12))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, (x[7] + 1e-3 * j).tolist()) for j in range(700)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = F.col("embedding")[0].isin([float(v[0]) for v in x[:40]])
+    got = {}
+    for r in neighbours.search(vectors, one).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"]))
+    assert len(got) == 40
+    for own in got.values():
+        assert [r for r, _ in sorted(own)] == list(range(1, 11))
+        assert [s for _, s in sorted(own)] == sorted(s for _, s in own)
