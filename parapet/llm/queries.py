@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from parapet.llm import (
-    exact_dedup, html_text, language, licences, mixing, near_dedup, neighbours, packing, quality, toxicity,
+    byte_bpe, exact_dedup, html_text, language, licences, mixing, near_dedup, neighbours, packing, quality,
+    toxicity,
 )
 from parapet.llm.shared import held_out
 
@@ -117,6 +118,16 @@ FROM d JOIN g USING (t)
 """
 
 
+@_query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    vocabulary = byte_bpe.public_vocabulary()
+    ids = byte_bpe.encode(docs, vocabulary, packed=True)
+    return byte_bpe.decode(ids, vocabulary).select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
