@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from parapet.llm import (
-    byte_bpe, exact_dedup, html_text, language, licences, mixing, near_dedup, neighbours, packing, quality,
-    toxicity,
+    byte_bpe, exact_dedup, html_text, language, licences, merkle, mixing, near_dedup, neighbours, packing,
+    quality, toxicity,
 )
 from parapet.llm.shared import held_out
 
@@ -118,6 +118,77 @@ FROM d JOIN g USING (t)
 """
 
 
+@_query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    made = merkle.manifest(merkle.leaves(docs, tampered))
+    root = F.lit(made.root).cast("string")
+    return made.rows.select(
+        "doc_id", "leaf", "subroot", root.alias("root"), merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+        merkle.fold(F.col("other"), F.col("steps")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# DuckDB has no crc32: its table is spelled out bit by bit
+SQL["op12_manifest"] = """
+WITH RECURSIVE bits(b, k, c) AS (
+  SELECT b, 0, b::UBIGINT FROM range(256) r(b)
+  UNION ALL SELECT b, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)
+  FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+ids AS (SELECT doc_id, doc_id::VARCHAR AS s FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+sums(doc_id, s, c) AS (
+  SELECT doc_id, s, 4294967295::UBIGINT FROM ids
+  UNION ALL SELECT doc_id, substr(s, 2), xor(c >> 8, t[(xor(c, ord(substr(s, 1, 1))::UBIGINT) & 255)::INT + 1])
+  FROM sums, crc WHERE s <> ''),
+tampered AS (SELECT doc_id FROM sums WHERE s = '' AND xor(c, 4294967295::UBIGINT) % 3 = 0),
+v AS (SELECT doc_id, lang, text,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+        coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+      FROM documents),
+h AS (SELECT v.doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        sha256(head || coalesce(strlen(text) || ':' || CASE WHEN tampered.doc_id IS NULL THEN text
+               ELSE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END, '-')) AS other
+      FROM v LEFT JOIN tampered ON v.doc_id = tampered.doc_id),
+d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+        count(*) OVER (PARTITION BY lang) AS n FROM h),
+t(level, lang, i, n, d) AS (
+  SELECT 0, lang, r, n, leaf FROM d
+  UNION ALL SELECT level + 1, lang, i // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY i))
+  FROM t WHERE n > 1 GROUP BY level, lang, i // 8, n),
+sub AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, count(*) OVER () AS n
+        FROM t WHERE n = 1),
+u(level, i, n, d) AS (
+  SELECT 0, r, n, subroot FROM sub
+  UNION ALL SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY i))
+  FROM u WHERE n > 1 GROUP BY level, i // 8, n),
+w AS (SELECT level, lang, i,
+        coalesce(string_agg(d, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+        coalesce(string_agg(d, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS z
+      FROM t WHERE n > 1 WINDOW run AS (PARTITION BY level, lang, i // 8 ORDER BY i)),
+x AS (SELECT level, i,
+        coalesce(string_agg(d, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+        coalesce(string_agg(d, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS z
+      FROM u WHERE n > 1 WINDOW run AS (PARTITION BY level, i // 8 ORDER BY i)),
+f(lang, r, level, i, own, proof) AS (
+  SELECT lang, r, 0, r, other, '' FROM d
+  UNION ALL SELECT f.lang, r, f.level + 1, f.i // 8, sha256(a || own || z), proof || a || z
+  FROM f JOIN w ON f.lang IS NOT DISTINCT FROM w.lang AND f.level = w.level AND f.i = w.i),
+g(lang, r, level, i, own, proof) AS (
+  SELECT f.lang, f.r, 0, sub.r, arg_max(own, level), arg_max(proof, level)
+  FROM f JOIN sub ON f.lang IS NOT DISTINCT FROM sub.lang GROUP BY f.lang, f.r, sub.r
+  UNION ALL SELECT g.lang, r, g.level + 1, g.i // 8, sha256(a || own || z), proof || a || z
+  FROM g JOIN x ON g.level = x.level AND g.i = x.i),
+e AS (SELECT lang, r, arg_max(own, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256
+      FROM g GROUP BY lang, r)
+SELECT d.doc_id, leaf, subroot, (SELECT d FROM u WHERE n = 1) AS root, proof_sha256, folded_root,
+       folded_root = (SELECT d FROM u WHERE n = 1) AS verified
+FROM d JOIN sub ON d.lang IS NOT DISTINCT FROM sub.lang
+JOIN e ON d.lang IS NOT DISTINCT FROM e.lang AND d.r = e.r
+"""
+
+
 @_query
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
