@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from parapet.llm import (
-    byte_bpe, exact_dedup, html_text, language, licences, merkle, mixing, near_dedup, neighbours, packing,
-    quality, toxicity,
+    byte_bpe, exact_dedup, html_text, language, lexical, licences, merkle, mixing, near_dedup, neighbours,
+    packing, quality, toxicity,
 )
 from parapet.llm.shared import held_out
 
@@ -118,6 +118,34 @@ FROM d JOIN g USING (t)
 """
 
 
+@_query
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return lexical.search(lexical.build_index(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+SQL["op11_lexical"] = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+norms AS (SELECT doc_id, 100 - 90 + ((90 * n * n_docs) // n_terms) AS m FROM lengths, total),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), total),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN norms USING (doc_id)
+           GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
 @_query
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
