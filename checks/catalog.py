@@ -681,7 +681,9 @@ def _(spark, sf):
 
 def labelled_corpus(spark, sf) -> dict[str, DataFrame]:
     """Labelled documents as messages, attacks being the toxic ones, by split part."""
-    stored = cut_lineage(selection.split_ratio(_documents_source(spark, sf)))
+    rows = _documents_source(spark, sf).withColumn(  # documents come in the order of their ids
+        "seq", F.substring_index("message_id", ":", -1).cast("bigint"))
+    stored = cut_lineage(selection.split_ratio(rows))
     return {part: stored.where(F.col("split") == part).drop("split")
             for part in ["train", "validation", "test"]}
 

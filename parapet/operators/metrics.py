@@ -14,7 +14,7 @@ from parapet import fixed_values as fv
 from parapet.config import DEFAULT, ScreeningConfig
 from parapet.functions.numbers import ratio, round_to
 from parapet.operators.lineage import cut_lineage
-from parapet.operators.ordered import sums_before
+from parapet.operators.ordered import match_nulls, sums_before
 
 _CELLS = ["tp", "fp", "fn", "tn"]
 METRICS = ["precision", "recall", "f1", "accuracy", "fpr"]
@@ -93,11 +93,20 @@ def auc_roc(
     df: DataFrame, groups: list[str] | None = None, label: str = "label", score: str = "score",
     config: ScreeningConfig = DEFAULT,
 ) -> DataFrame:
-    """Exact area under the ROC curve per group, unrounded."""
+    """Exact area under the ROC curve per group, unrounded.
+
+    Rows without a score have no rank and take no part; a group of such rows only
+    has area 0.  A null group is a group.
+    """
     groups = groups or []
     counts = cut_lineage(score_counts(df, groups, label, score))
-    ordered = sums_before(counts, groups, "score", ["neg"], config.scale.rows_per_bucket)
-    return ordered.groupBy(*groups).agg(_auc("pos", "neg", "neg_before").alias("auc"))
+    ranked = counts.where(F.col("score").isNotNull())
+    ordered = sums_before(ranked, groups, "score", ["neg"], config.scale.rows_per_bucket)
+    areas = ordered.groupBy(*groups).agg(_auc("pos", "neg", "neg_before").alias("auc"))
+    if not groups:
+        return areas.select(F.coalesce("auc", F.lit(0.0)).alias("auc"))
+    every = counts.select(*groups).distinct()
+    return match_nulls(every, areas, groups, "left").withColumn("auc", F.coalesce("auc", F.lit(0.0)))
 
 
 def roc_points(
@@ -105,7 +114,7 @@ def roc_points(
 ) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score; the first point, at no
     threshold, is (0, 0)."""
-    counts = cut_lineage(score_counts(df, [], label, score))
+    counts = cut_lineage(score_counts(df.where(F.col(score).isNotNull()), [], label, score))
     # descending scores: order by their negative
     turned = counts.select((-F.col("score")).alias("_down"), "score", "pos", "neg")
     ordered = sums_before(turned, [], "_down", ["pos", "neg"], config.scale.rows_per_bucket)
@@ -133,7 +142,9 @@ def system_metrics(
 
     ``systems`` maps a name to its prediction and score columns; without a
     score the area is 0.  The scored table is read once: counts per (system,
-    score) carry all that the metrics and the area need.
+    score) carry all that the metrics and the area need.  A row without a score
+    counts by its prediction, but has no rank in the area; one without a label or
+    a prediction counts nowhere.  A null group is a group.
     """
     groups = groups or []
     entries = F.explode(F.array(*[
@@ -154,12 +165,12 @@ def system_metrics(
             *[_cell(F.col("label"), F.col("prediction"), cell) for cell in _CELLS],
         ).withColumns({"pos": F.col("tp") + F.col("fn"), "neg": F.col("fp") + F.col("tn")})
     )
-    ordered = sums_before(counts, keys, "score", ["neg"], config.scale.rows_per_bucket)
-    summed = ordered.groupBy(*keys).agg(
-        *[F.sum(cell).alias(cell) for cell in _CELLS],
-        _auc("pos", "neg", "neg_before").alias("_auc"),
-    )
-    auc = F.when(F.col("scored"), F.col("_auc")).otherwise(F.lit(0.0))
+    cells = counts.groupBy(*keys).agg(*[F.sum(cell).alias(cell) for cell in _CELLS])
+    ranked = counts.where(F.col("scored") & F.col("score").isNotNull())
+    ordered = sums_before(ranked, keys, "score", ["neg"], config.scale.rows_per_bucket)
+    areas = ordered.groupBy(*keys).agg(_auc("pos", "neg", "neg_before").alias("_auc"))
+    summed = match_nulls(cells, areas, keys, "left")
+    auc = F.coalesce("_auc", F.lit(0.0))
     return summed.select(
         *groups, "system", *metric_columns().values(), round_to(auc, 4).alias("auc_roc"), *_CELLS
     )

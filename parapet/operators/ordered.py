@@ -54,6 +54,15 @@ def with_bucket(df: DataFrame, order: str, bounds: list[float]) -> DataFrame:
     )
 
 
+def match_nulls(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names; a null key matches a null key."""
+    if not keys:
+        return left.crossJoin(right)
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [left[k].eqNullSafe(named[f"_right_{k}"]) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def sums_before(
     df: DataFrame,
     keys: list[str],
@@ -64,7 +73,7 @@ def sums_before(
 ) -> DataFrame:
     """Per key, the sum of each value over all rows with a smaller order value.
 
-    ``(keys, order)`` is unique.  Adds ``<value>_before``.  The input is
+    ``(keys, order)`` is unique; a null key is a key like others.  Adds ``<value>_before``.  The input is
     read more than once when it needs several buckets: hand in stored rows.
     """
     if bounds is None:
@@ -89,7 +98,7 @@ def sums_before(
         *keys, BUCKET,
         *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_{v}_offset") for v in values],
     )
-    joined = local.join(offsets, [*keys, BUCKET])
+    joined = match_nulls(local, offsets, [*keys, BUCKET])
     return joined.select(
         *df.columns,
         *[(F.col(f"{v}_before") + F.col(f"_{v}_offset")).alias(f"{v}_before") for v in values],

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from parapet.config import DEFAULT, ScreeningConfig
 from parapet.operators.graph import agents_of, edge_aggregate, potential, reachable_pairs
 from parapet.operators.lineage import cut_lineage
-from parapet.operators.ordered import BUCKET, bucket_bounds, running_count, with_bucket
+from parapet.operators.ordered import BUCKET, bucket_bounds, match_nulls, running_count, with_bucket
 
 
 def sender_context(
@@ -30,7 +30,8 @@ def sender_context(
 
     History is the mean of the sender's last ten suspicions including the
     current one.  ``reached`` counts the pairs of the sender that exist at the
-    message's order value.  ``earlier`` holds (sender, recent array) of messages
+    message's order value.  Messages without a sender share one history and reach
+    nobody; a message without a suspicion doesn't count in the mean.  ``earlier`` holds (sender, recent array) of messages
     before these, for a stream.  Order values are unique.  Needs stored rows when
     they fill several buckets.
     """
@@ -47,7 +48,7 @@ def sender_context(
     rows = with_bucket(rows, order, bounds)
 
     carried = _carried(rows, sender, order, suspicion, length, earlier)
-    rows = rows.join(carried, [sender, BUCKET], "left")
+    rows = match_nulls(rows, carried, [sender, BUCKET], "left")
     recent, reached_before = F.col("_recent"), F.coalesce("_reached_before", F.lit(0))
 
     so_far = Window.partitionBy(sender, BUCKET).orderBy(order, "_message")
@@ -117,7 +118,7 @@ def _carried(
     recents = tails.withColumn("_joined", joined)
     if earlier is not None:
         kept = earlier.select(F.col(sender), F.col("recent").alias("_kept"))
-        recents = recents.join(kept, sender, "left").withColumn(
+        recents = match_nulls(recents, kept, [sender], "left").withColumn(
             "_joined",
             F.concat(F.coalesce("_kept", F.array().cast("array<double>")), F.col("_joined")),
         )
@@ -126,7 +127,7 @@ def _carried(
         F.when(F.size("_joined") > length - 1, F.slice("_joined", -(length - 1), length - 1))
         .otherwise(F.col("_joined")).alias("_recent"),
     )
-    return before.join(recents, [sender, BUCKET], "left")
+    return match_nulls(before, recents, [sender, BUCKET], "left")
 
 
 def suspicion_history(
