@@ -20,7 +20,7 @@ from parapet.functions import decoding, repetition, text as tx
 from parapet.functions.numbers import round_to
 from parapet.functions.rules import rules_from_table
 from parapet.operators import (
-    corpus, drift, fusion, graph, metrics, prepare, routing, rule_filter, selection, senders,
+    corpus, drift, fusion, graph, metrics, prepare, reach, routing, rule_filter, selection, senders,
     text_model,
 )
 from parapet.operators.lineage import cut_lineage, shared_dir
@@ -576,6 +576,41 @@ def _(spark, sf):
     )
 
 
+@query("agent_components", _DENSE + """
+    , mutual AS (SELECT a.src AS agent, a.dst AS other FROM walks a JOIN walks b ON a.src = b.dst AND a.dst = b.src)
+    SELECT agent, least(agent, coalesce((SELECT min(other) FROM mutual m WHERE m.agent = agents.agent), agent)) AS component
+    FROM agents""")
+def _(spark, sf):
+    return reach.components(graph.edge_aggregate(trade(spark, sf)))
+
+
+# the sketches of the exact closure, with the same registers
+_REACH_SQL = _HANDOFF + sql.closure("handoff") + f""",
+members AS (SELECT src AS agent, dst AS other FROM pairs UNION SELECT agent, agent FROM agents),
+places AS (SELECT agent AS other, {sql.pick_number("agent", "reach", 256)} AS register,
+        CAST('0x' || substr({sql.hash_key("agent", "reach")}, 13, 12) AS BIGINT) AS rest FROM agents),
+ranks AS (SELECT agent, register, max(CASE WHEN rest = 0 THEN 49 ELSE 49 - length(bin(rest)) END) AS rank
+        FROM members JOIN places USING (other) GROUP BY agent, register),
+sums AS (SELECT agent, sum(pow(2e0, -rank)) AS powers, count(*) AS filled, 1 - count(*) / 256e0 AS empty
+        FROM ranks GROUP BY agent),
+estimates AS (SELECT agent, filled, 65536 / (2 * ln(2e0)) / (powers + 256 * (empty +
+        {" + ".join(f"pow(empty, {float(2 ** k)}) * {2.0 ** (k - 1)}" for k in range(1, 15))})) AS n FROM sums),
+sizes AS (SELECT a.agent, 1 + count(p.src) AS size FROM agents a
+        LEFT JOIN pairs q ON q.src = a.agent LEFT JOIN pairs p ON p.src = q.dst AND p.dst = a.agent GROUP BY a.agent),
+counted AS (SELECT agent, CASE WHEN agent NOT IN (SELECT src FROM pairs) THEN 0e0
+        ELSE least(greatest(n - 1, size - 1, 1), (SELECT count(*) - 1 FROM agents)) END AS reached
+        FROM estimates JOIN sizes USING (agent))
+SELECT agent, {sql.rounded("reached", 4)} AS reached,
+    {sql.rounded("CASE WHEN (SELECT count(*) FROM agents) > 1 THEN reached / (SELECT count(*) - 1 FROM agents) ELSE 0e0 END", 4)}
+        AS cascade_potential FROM counted"""
+
+
+@query("cascade_potential_estimate", _REACH_SQL)
+def _(spark, sf):
+    found = reach.reach_estimates(graph.edge_aggregate(handoff(spark, sf)), registers=256)
+    return found.select("agent", *[round_to(F.col(c), 4).alias(c) for c in ("reached", "cascade_potential")])
+
+
 def _handoff_context(spark, sf):
     return senders.cascade_context(handoff(spark, sf))
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from parapet.config import DEFAULT, ScreeningConfig
 from parapet.operators.graph import agents_of, edge_aggregate, potential, reachable_pairs
 from parapet.operators.lineage import cut_lineage
+from parapet.operators.reach import reach_estimates
 from parapet.operators.ordered import BUCKET, bucket_bounds, match_nulls, running_count, with_bucket
 
 
@@ -181,14 +182,26 @@ def cascade_context(
     suspicion: str = "base_suspicion",
     config: ScreeningConfig = DEFAULT,
     as_of: bool = True,
+    estimated: bool = False,
 ) -> DataFrame:
     """Add history, potential, risk and the high-risk flag of every message.
 
     With ``as_of`` the graph a message is scored on is the graph of all
-    messages up to and including it; otherwise that of the whole table.
+    messages up to and including it; otherwise that of the whole table.  Reach over
+    the whole table can be ``estimated`` by sketches, for graphs whose pairs are too
+    many to list.
     """
+    if as_of and estimated:
+        raise ValueError("reach as of each message is exact; estimates are of the whole table")
     messages = cut_lineage(messages)
     edges = cut_lineage(edge_aggregate(messages, sender, target, None, order))
+    if estimated:
+        bounds = bucket_bounds(messages, order, config.scale.rows_per_bucket)
+        history = sender_context(messages, sender, order, suspicion, config=config, bounds=bounds)
+        found = reach_estimates(edges).select(F.col("agent").alias(sender), "cascade_potential")
+        joined = history.join(found, sender, "left").select(
+            *history.columns, F.coalesce("cascade_potential", F.lit(0.0)).alias("cascade_potential"))
+        return with_risk(joined, suspicion, config)
     agents = agents_of(edges)
     pairs = reachable_pairs(edges)
     bounds = bucket_bounds(messages, order, config.scale.rows_per_bucket)

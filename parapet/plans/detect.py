@@ -42,17 +42,18 @@ def score_texts(
 
 def detect(
     messages: DataFrame, layers: Layers | None = None, as_of: bool = True,
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, estimated: bool = False,
 ) -> DataFrame:
     """Scores, decision, predicted type and explanation of every message.
 
     ``messages`` has message_id, seq (unique), content, from_agent and
-    to_agent.  Graph and bucket bounds are computed from the narrow columns
-    when this is called; scoring itself stays lazy.
+    to_agent.  ``estimated`` (without ``as_of``) takes reach from sketches.  Graph
+    and bucket bounds are computed from the narrow columns when this is called;
+    scoring itself stays lazy.
     """
     layers = layers or Layers()
     scored = score_texts(messages, layers, keep)
-    placed = cascade_context(scored, config=layers.config, as_of=as_of)
+    placed = cascade_context(scored, config=layers.config, as_of=as_of, estimated=estimated)
     fused = fuse(placed, layers.config)
     passed_on = [c for c in scored.columns if c not in DETECTION_COLUMNS]
     return fused.select(*passed_on, *DETECTION_COLUMNS)
