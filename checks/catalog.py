@@ -407,18 +407,25 @@ def _(spark, sf):
 # -- rule filter --------------------------------------------------------------
 
 @query("rule_hits", f"""
-    WITH {sql.MESSAGES} SELECT message_id, {sql.hit_names("content")} AS hits FROM planted""")
+    WITH {sql.MESSAGES}, {sql.periodic("planted")}
+    SELECT message_id, {sql.hit_names("content")} AS hits,
+        message_id IN (SELECT message_id FROM repeated) AS periodic_hit FROM planted""")
 def _(spark, sf):
-    found = rule_filter.find_hits(planted(spark, sf), periodic=False)
-    return found.select("message_id", F.array_join("rule_hits", ",").alias("hits"))
+    found = rule_filter.find_hits(planted(spark, sf))
+    return found.select("message_id", F.array_join("rule_hits", ",").alias("hits"), "periodic_hit")
 
 
 @query("rule_hits_pages", f"""
-    SELECT page_id, {sql.hit_names("html")} AS hits, {sql.decode_hit("html")} AS decode_hit
-    FROM pages""")
-def _(spark, sf):
-    found = rule_filter.find_hits(texts(spark, sf, "pages"), "html", periodic=False)
-    return found.select("page_id", F.array_join("rule_hits", ",").alias("hits"), "decode_hit")
+    WITH sent AS (SELECT CAST(page_id AS VARCHAR) AS message_id, page_id, html AS content FROM pages),
+    {sql.periodic("sent")}
+    SELECT page_id, {sql.hit_names("content")} AS hits, {sql.decode_hit("content")} AS decode_hit,
+        message_id IN (SELECT message_id FROM repeated) AS periodic_hit
+    FROM sent""")
+def _(spark, sf):
+    found = rule_filter.find_hits(texts(spark, sf, "pages"), "html")
+    return found.select(
+        "page_id", F.array_join("rule_hits", ",").alias("hits"), "decode_hit", "periodic_hit"
+    )
 
 
 @query("periodic_repeat", f"""
@@ -1076,19 +1083,19 @@ def _(spark, sf):
     )
 
 
-@query("custom_rules", """
-    SELECT doc_id, CAST(CASE WHEN regexp_matches(text, '\\b(dan|jailbreak)\\b', 'i') THEN 1 ELSE 0 END AS INTEGER) AS total
-    FROM documents""")
+@query("custom_rules", f"""
+    WITH sent AS (SELECT CAST(doc_id AS VARCHAR) AS message_id, doc_id, text AS content FROM documents),
+    {sql.periodic("sent")}
+    SELECT doc_id, CAST(CASE WHEN regexp_matches(content, '\\b(dan|jailbreak)\\b', 'i') THEN 1 ELSE 0 END AS INTEGER) AS total,
+        message_id IN (SELECT message_id FROM repeated) AS periodic_hit FROM sent""")
 def _(spark, sf):
     """A rule set read from a table: the persona rule with word boundaries."""
     rows = spark.createDataFrame(
         [("persona_word", "role_play_smuggling", r"\b(dan|jailbreak)\b")],
         "name string, attack_type string, pattern string",
     )
-    found = rule_filter.find_hits(
-        texts(spark, sf, "documents"), "text", rules_from_table(rows), periodic=False
-    )
-    return found.select("doc_id", F.size("rule_hits").alias("total"))
+    found = rule_filter.find_hits(texts(spark, sf, "documents"), "text", rules_from_table(rows))
+    return found.select("doc_id", F.size("rule_hits").alias("total"), "periodic_hit")
 
 
 # -- streaming ----------------------------------------------------------------

@@ -2,74 +2,105 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import BooleanType
 
 from parapet import fixed_values as fv
 from parapet.functions.text import words
 
 
-def _repetition_udf():
-    """Arrow UDF: does some unit of at least ``min_unit`` characters stand at
-    least ``copies`` times in a row?
+_PRIME = 2**31 - 1
+_SLICE = 1 << 20  # places compared at once
 
-    A run of ``copies`` units of length p is a stretch in which every character
-    equals the one p further on, for at least (copies - 1) * p positions.  Every
-    such stretch covers one of the probes placed at a fixed distance, and the
-    few characters at that probe come back p characters later, so each probe
-    only has to look for its own text in the next len/copies characters.
-    """
-    min_unit, copies = fv.REPEAT_MIN_UNIT, fv.REPEAT_MIN_COPIES
-    gram = 16
-    step = (copies - 1) * min_unit - gram + 1
-
-    def extent(text, at, period, limit):
-        """Positions from ``at`` to the right on which text repeats itself."""
-        length, chunk = 0, period
-        end = len(text) - period
-        while length < limit and at + length < end:
-            size = min(chunk, end - at - length)
-            a = text[at + length:at + length + size]
-            b = text[at + length + period:at + length + period + size]
-            if a != b:
-                if size == 1:
-                    break
-                chunk = max(1, size // 2)
-                continue
-            length += size
-        return length
-
-    def repeats(text):
-        size = len(text)
-        longest = size // copies
-        backwards = None
-        for probe in range(0, size - gram, step):
-            piece = text[probe:probe + gram]
-            stop = min(size, probe + longest + gram)
-            found = text.find(piece, probe + min_unit, stop)
-            while found >= 0:
-                period = found - probe
-                need = (copies - 1) * period
-                half = need // 2
-                right = text[probe:probe + half] == text[found:found + half]
-                left = probe >= half and text[probe - half:probe] == text[found - half:found]
-                if right or left:
-                    if backwards is None:
-                        backwards = text[::-1]
-                    run = extent(text, probe, period, need)
-                    if run < need:
-                        # the same stretch seen from its other end
-                        run += extent(backwards, size - found, period, need - run)
-                    if run >= need:
-                        return True
-                found = text.find(piece, found + 1, stop)
-        return False
 
-    def check(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t is not None and repeats(t)).astype(bool)
+class _Prefixes:
+    """Hashes of all parts of a text: sums of characters times powers of a base.
 
-    check.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(check, "boolean")
+    Equal parts have equal hashes.  The base is random; what is found by hashes is
+    compared character by character before it counts, so results don't depend on it.
+    """
+
+    base = random.randrange(2**20, _PRIME - 1)
+    powers = np.ones(1, np.int64)
+
+    def __init__(self, text: np.ndarray):
+        if len(self.powers) <= len(text):
+            type(self).powers = self._powers(len(text) + 1)
+        values = text.astype(np.int64) * self.powers[:len(text)] % _PRIME
+        self.sums = np.zeros(len(text) + 1, np.int64)
+        np.cumsum(values, out=self.sums[1:])
+        self.sums %= _PRIME
+
+    @classmethod
+    def _powers(cls, count: int) -> np.ndarray:
+        powers = cls.powers
+        while len(powers) < count:  # the second half is the first times a power
+            step = pow(cls.base, len(powers), _PRIME)
+            powers = np.concatenate([powers, powers * step % _PRIME])
+        return powers
+
+    def same(self, at: np.ndarray, size: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Whether the part of so many characters looks like the one ``shift`` further on."""
+        own = (self.sums[at + size] - self.sums[at]) % _PRIME * self.powers[shift] % _PRIME
+        return own == (self.sums[at + shift + size] - self.sums[at + shift]) % _PRIME
+
+    def extent(self, at: np.ndarray, limit: np.ndarray, shift: np.ndarray, back: bool) -> np.ndarray:
+        """How many characters from ``at`` on (or before it) come back ``shift`` further on."""
+        good, bad = np.zeros_like(at), limit + 1
+        while (bad - good > 1).any():
+            middle = (good + bad) // 2
+            same = self.same(at - middle if back else at, middle, shift)
+            good, bad = np.where(same, middle, good), np.where(same, bad, middle)
+        return good
+
+
+def repeats(text: str, min_unit: int = fv.REPEAT_MIN_UNIT, copies: int = fv.REPEAT_MIN_COPIES) -> bool:
+    """Whether some unit of at least ``min_unit`` characters stands ``copies`` times in a row.
+
+    With a unit of p characters this is a stretch of (copies - 1) * p places whose
+    character comes back p places on.  Such a stretch holds a whole block of a grid
+    with blocks of half that size, so for every p only n / (half * p) blocks are looked
+    at, n log n / half in all, by hashes.  A block that comes back is followed to both
+    sides by bisection.  Stretches that fall short are of bounded total length (a text's
+    runs have bounded total exponent), so there is no text that takes much longer.
+    """
+    n = len(text)
+    if n < min_unit * copies:
+        return False
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    hashed = _Prefixes(letters)
+    half, whole = (copies - 1) // 2, copies - 1
+    periods = np.arange(min_unit, n // copies + 1)
+    blocks = (n - periods) // (half * periods)  # that fit, with what they are compared with
+    stop = np.cumsum(blocks)
+    first = 0
+    while first < len(periods):
+        last = max(int(np.searchsorted(stop, (stop[first - 1] if first else 0) + _SLICE, "right")), first + 1)
+        own = blocks[first:last]
+        p = np.repeat(periods[first:last], own)
+        at = (np.arange(len(p)) - np.repeat(np.cumsum(own) - own, own)) * half * p
+        found = np.flatnonzero(hashed.same(at, half * p, p))
+        at, p = at[found], p[found]
+        if len(at):
+            need = (whole - half) * p
+            right = hashed.extent(at + half * p, np.minimum(need, n - p - at - half * p), p, False)
+            left = hashed.extent(at, np.minimum(need, at), p, True)
+            for i in np.flatnonzero(left + right >= need).tolist():
+                low, high, shift = at[i] - left[i], at[i] + half * p[i] + right[i], p[i]
+                differ = np.flatnonzero(letters[low:high] != letters[low + shift:high + shift])
+                if np.diff(np.r_[-1, differ, high - low]).max() > whole * shift:
+                    return True
+        first = last
+    return False
+
+
+@F.pandas_udf(BooleanType())
+def _repeats(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t is not None and repeats(t)).astype(bool)
 
 
 def periodic_repeat(content: Column) -> Column:
@@ -78,7 +109,7 @@ def periodic_repeat(content: Column) -> Column:
     Texts too short to hold one are not sent to Python.
     """
     shortest = fv.REPEAT_MIN_UNIT * fv.REPEAT_MIN_COPIES
-    return _repetition_udf()(F.when(F.length(content) >= shortest, F.lower(content)))
+    return _repeats(F.when(F.length(content) >= shortest, F.lower(content)))
 
 
 def flood_words(content: Column) -> Column:

@@ -1,6 +1,7 @@
 import base64
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,43 @@ def test_repetition_agrees_with_back_reference(spark):
     assert 50 < sum(wanted) < 280
 
 
+def broken_runs(count, rng):
+    """Runs of one letter, each too short by little, broken by characters that vary."""
+    return "".join("a" * 99 + rng.choice("bcdefgh") + rng.choice("uvwxyz") * rng.randint(1, 3) for _ in range(count))
+
+
+def test_repetition_is_near_linear():
+    rng = random.Random(9)
+    half = "".join(rng.choice("abcdef") for _ in range(47_000))
+    morse = "0"
+    while len(morse) < 1_000_000:
+        morse += morse.translate({48: 49, 49: 48})
+    units = "".join("".join(rng.sample("abcdefg", 7)) * 20 + rng.choice("-+") for _ in range(7_000))
+    for text in (broken_runs(10_000, rng), half * 20 + half[:-1], morse, units, "ab\n" * 30 + morse[:900_000]):
+        started = time.perf_counter()
+        found = repetition.repeats(text)
+        assert time.perf_counter() - started < 2  # a tenth of it on an idle machine
+        assert found == text.startswith("ab\n")
+    assert repetition.repeats(half * 21)
+
+
+def test_repetition_equals_counting():
+    rng = random.Random(3)
+    for _ in range(400):
+        unit = "".join(rng.choice("aé\U0001f600") for _ in range(rng.randint(1, 9)))
+        text = "".join(rng.choice("aé") for _ in range(rng.randint(0, 40))) + unit * rng.randint(10, 25) + "aé"
+        if rng.random() < 0.4:
+            at = rng.randrange(len(text))
+            text = text[:at] + "Z" + text[at + 1:]
+        runs = []
+        for p in range(5, len(text) // 21 + 1):
+            here = 0
+            for i in range(len(text) - p):
+                here = here + 1 if text[i] == text[i + p] else 0
+                runs.append(here >= 20 * p)
+        assert repetition.repeats(text) == any(runs)
+
+
 def python_decode_hit(text):
     for token in re.findall(fv.BASE64_TOKEN, text):
         try:
