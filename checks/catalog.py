@@ -37,6 +37,7 @@ from parapet.sources.tables import (
     conversation_messages, handoff_messages, plant, planted_conversations, planted_messages,
     table, texts as read_texts, trade_messages, turn_order,
 )
+from parapet.streaming.history import keyed_history, state_store
 from parapet.streaming.screen import StreamScreening, start_screening, stream_score
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,17 +273,32 @@ def _(spark, sf):
     return files.read_messages(spark, path, "csv", schema)
 
 
-_AUDIT_SQL = f"""
-    SELECT message_id, from_agent, to_agent, predicted_type AS attack_type, confidence,
+def _sent(order: str):
+    """A time for messages of tables that have none."""
+    return F.timestamp_seconds(F.col(order) % 1_000_000_000)
+
+
+def _in_utc(audit: DataFrame) -> DataFrame:
+    utc = F.to_utc_timestamp("ts", F.current_timezone())
+    return audit.withColumn("ts", F.date_format(utc, "yyyy-MM-dd HH:mm:ss"))
+
+
+def _audit_sql(order: str) -> str:
+    return f"""
+    SELECT strftime(make_timestamp((({order}) % 1000000000) * 1000000), '%Y-%m-%d %H:%M:%S') AS ts,
+        message_id, from_agent, to_agent, predicted_type AS attack_type, confidence,
         {sql.preview("content", 120)} AS content_preview
     FROM detected WHERE is_injected"""
 
 
-@query("write_audit", f"WITH RECURSIVE {sql.DETECTED_TURNS} {_AUDIT_SQL}")
+@query("write_audit", f"WITH RECURSIVE {sql.DETECTED_TURNS} {_audit_sql('seq')}")
 def _(spark, sf):
     path = f"{run_folder(spark)}/audit"
-    files.write_audit(routing.audit_entries(detected_turns(spark, sf)), path)
-    return spark.read.schema(AUDIT).json(path).drop("ts")
+    entries = routing.audit_entries(detected_turns(spark, sf).withColumn("ts", _sent("seq")))
+    files.write_audit(entries, path)
+    # the files hold UTC without a zone
+    rows = spark.read.schema(AUDIT).json(path, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 # -- corpus builder -----------------------------------------------------------
@@ -821,9 +837,9 @@ def _(spark, sf):
     )
 
 
-@query("audit_entries", _DETECTED + _AUDIT_SQL)
+@query("audit_entries", _DETECTED + _audit_sql("seq"))
 def _(spark, sf):
-    return routing.audit_entries(detected(spark, sf)).drop("ts")
+    return _in_utc(routing.audit_entries(detected(spark, sf).withColumn("ts", _sent("seq"))))
 
 
 @query("quarantine_summary", _DETECTED + """
@@ -1100,41 +1116,45 @@ def _(spark, sf):
 
 # -- streaming ----------------------------------------------------------------
 
-def _stream(spark, sf, name, order, pieces=3):
-    """The table as files that arrive one after the other, a micro-batch each."""
+def _arrivals(spark, sf, name, place, start, pieces=3):
+    """The table's rows in files that arrive piece by piece.
+
+    ``start`` starts a stream over the folder, which reads what is there and stops; it
+    is started again, from its checkpoint, for each piece, a micro-batch of many files.
+    """
     rows = table(spark, sf, name)
     folder = f"{run_folder(spark)}/{name}"
-    cuts = rows.agg(F.percentile_approx(
-        order, [i / pieces for i in range(1, pieces)], 10_000).alias("q")).first()["q"]
-    bounds = [None, *cuts, None]
-    for low, high in zip(bounds, bounds[1:]):
-        part = rows if low is None else rows.where(order > low)
-        part = part if high is None else part.where(order <= high)
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return files.stream_messages(spark, folder, rows.schema, files_per_trigger=1)
+    for piece in range(pieces):
+        rows.where(f"{place} = {piece}").write.mode("append").parquet(folder)
+        start(files.stream_messages(spark, folder, rows.schema)).awaitTermination()
+
 
+# conversations overlap in time: everybody's first turns come first, then their next
+_TURN_PLACE = "least(turn div 3, 2)"
+# most events come after one with a larger number
+_EVENT_PLACE = "event_id % 3"
 
-def turn_stream(spark, sf) -> DataFrame:
+
+def turn_stream(rows: DataFrame) -> DataFrame:
     """Planted conversation turns; users and systems speak to the assistant."""
-    order = turn_order(F.col("conv_id"), F.col("turn"))
-    rows = _stream(spark, sf, "conversations", order).withColumn(
-        "seq", order
-    )
-    planted_rows = plant(rows, "seq", "text")
+    placed = rows.withColumn("seq", turn_order(F.col("conv_id"), F.col("turn")))
+    planted_rows = plant(placed, "seq", "text")
     return planted_rows.select(
         F.concat_ws(":", "conv_id", "turn").alias("message_id"), "seq", "content",
         F.col("role").alias("from_agent"),
         F.when(F.col("role") == "assistant", "user").otherwise("assistant").alias("to_agent"),
-        "label", "attack_type",
+        "label", "attack_type", _sent("seq").alias("ts"),
     )
 
 
 _TURN_STREAM = "turns AS MATERIALIZED (" + f"""
     SELECT format('{{}}:{{}}', conv_id, turn) AS message_id, (conv_id << 32) | turn AS seq, text,
+        (least(turn // 3, 2) << 58) | (conv_id << 32) | turn AS arrival,
         role AS from_agent, CASE WHEN role = 'assistant' THEN 'user' ELSE 'assistant' END AS to_agent
     FROM conversations
 ), planted AS MATERIALIZED (
-    {sql.planted("turns", "seq", "text", "message_id, seq, from_agent, to_agent")}
+    SELECT * REPLACE (arrival AS seq) FROM (
+        {sql.planted("turns", "seq", "text", "message_id, seq, arrival, from_agent, to_agent")})
 )"""
 
 
@@ -1143,31 +1163,53 @@ _TURN_STREAM = "turns AS MATERIALIZED (" + f"""
     FROM scored""")
 def _(spark, sf):
     folder = run_folder(spark)
-    scored = stream_score(turn_stream(spark, sf), Layers(drift=constant_drift())).select(
-        "message_id", "rule_score", "rule_type",
-        round_to(F.col("classifier_score"), 4).alias("classifier_score"),
-    )
-    scored.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").option(
-        "path", f"{folder}/scored"
-    ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(scored.schema).parquet(f"{folder}/scored")
+    columns = ["message_id", "rule_score", "rule_type"]
+
+    def start(rows):
+        scored = stream_score(turn_stream(rows), Layers(drift=constant_drift())).select(
+            *columns, round_to(F.col("classifier_score"), 4).alias("classifier_score"))
+        return scored.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").option(
+            "path", f"{folder}/scored").trigger(availableNow=True).start()
+
+    _arrivals(spark, sf, "conversations", _TURN_PLACE, start)
+    return spark.read.parquet(f"{folder}/scored")
 
 
 def _screened_handoffs(spark, sf) -> DataFrame:
     sink = StreamScreening(run_folder(spark))
-    messages = handoff_messages(_stream(spark, sf, "events", F.col("event_id")))
-    start_screening(messages, sink, available_now=True).awaitTermination()
+    _arrivals(spark, sf, "events", _EVENT_PLACE, lambda rows: start_screening(
+        handoff_messages(rows), sink, available_now=True))
     return sink.detections(spark)
 
 
-@query("stream_history", SQL["suspicion_history"])
+# each message registered when it arrives
+_ARRIVED = sql.HANDOFF.replace("event_id AS seq", "((event_id % 3) << 40) | event_id AS seq")
+
+
+@query("stream_history", SQL["suspicion_history"].replace(sql.HANDOFF, _ARRIVED))
 def _(spark, sf):
     return _screened_handoffs(spark, sf).select(
         "message_id", round_to(F.col("suspicion_history"), 4).alias("suspicion_history")
     )
 
 
-@query("stream_graph", SQL["cascade_potential_asof"])
+@query("stream_history_keyed", SQL["suspicion_history"].replace(sql.HANDOFF, _ARRIVED))
+def _(spark, sf):
+    """The same by keyed state operators."""
+    folder = run_folder(spark)
+
+    def start(rows):
+        with state_store(spark):
+            return keyed_history(handoff_messages(rows), slice_width=1000).writeStream.format("parquet").option(
+                "checkpointLocation", f"{folder}/progress").option("path", f"{folder}/history").trigger(
+                    availableNow=True).start()
+
+    _arrivals(spark, sf, "events", _EVENT_PLACE, start)
+    return spark.read.parquet(f"{folder}/history").select(
+        "message_id", round_to(F.col("suspicion_history"), 4).alias("suspicion_history"))
+
+
+@query("stream_graph", SQL["cascade_potential_asof"].replace(sql.HANDOFF, _ARRIVED))
 def _(spark, sf):
     return _screened_handoffs(spark, sf).select(
         "message_id", round_to(F.col("cascade_potential"), 4).alias("cascade_potential")
@@ -1175,31 +1217,38 @@ def _(spark, sf):
 
 
 @query("stream_quarantine", f"""WITH RECURSIVE {_TURN_STREAM}, {sql.screened("planted", "0.5e0")}
-    {_AUDIT_SQL}""")
+    {_audit_sql("seq & 288230376151711743")}""")
 def _(spark, sf):
     sink = StreamScreening(run_folder(spark), Layers(drift=constant_drift()))
-    start_screening(turn_stream(spark, sf), sink, available_now=True).awaitTermination()
-    return sink.audit(spark).drop("ts", "batch")
+    _arrivals(spark, sf, "conversations", _TURN_PLACE, lambda rows: start_screening(
+        turn_stream(rows), sink, available_now=True))
+    return _in_utc(sink.audit(spark).drop("batch"))
 
 
 @query("stream_quarantine_rate", SQL["quarantine_rate"])
 def _(spark, sf):
     """Tumbling windows over the event stream."""
     folder = run_folder(spark)
-    rows = handoff_messages(_stream(spark, sf, "events", F.col("event_id"))).select(
-        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("predicted_type"),
-        (F.col("base_suspicion") >= 0.5).alias("quarantined"),
-    )
-    counts = routing.quarantine_rate(rows, watermark="1 hour").withColumn(
-        "window_start", F.col("window_start").cast("timestamp_ntz")
-    )
+
+    def start(rows):
+        stamped = handoff_messages(rows).select(
+            F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("predicted_type"),
+            (F.col("base_suspicion") >= 0.5).alias("quarantined"),
+        )
+        counts = routing.quarantine_rate(stamped, watermark="1 hour").withColumn(
+            "window_start", F.col("window_start").cast("timestamp_ntz")
+        )
+        return counts.writeStream.outputMode("update").foreachBatch(keep_changed).option(
+            "checkpointLocation", f"{folder}/progress"
+        ).trigger(availableNow=True).start()
 
     def keep_changed(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rate/batch={number}")
 
-    counts.writeStream.outputMode("update").foreachBatch(keep_changed).option(
-        "checkpointLocation", f"{folder}/progress"
-    ).trigger(availableNow=True).start().awaitTermination()
+    # in order of time, as the window's watermark drops what is an hour late
+    cuts = table(spark, sf, "events").agg(F.percentile_approx("event_id", [1 / 3, 2 / 3], 10_000)).first()[0]
+    place = f"(CASE WHEN event_id > {cuts[1]} THEN 2 WHEN event_id > {cuts[0]} THEN 1 ELSE 0 END)"
+    _arrivals(spark, sf, "events", place, start)
     keys = ["window_start", "predicted_type"]
     newest = F.max_by(F.struct("n", "quarantined"), F.col("batch")).alias("x")
     return spark.read.parquet(f"{folder}/rate").groupBy(*keys).agg(newest).select(*keys, "x.*")

@@ -1,13 +1,18 @@
 """Screening a stream of messages.
 
 Layers that look at one message run as plain streaming columns.  What needs
-earlier messages (sender history, agent graph) is kept in small tables, one
-version per micro-batch, in the shared folder.  A micro-batch reads version
-N - 1 and overwrites version N, so a batch that is repeated after a failure
-gives the same rows again.
-
-Per-key state operators would send all messages of a busy sender through one
-task; here each micro-batch is spread by (sender, bucket) as in a batch job.
+earlier messages (sender history, agent graph) is state: small tables of what each
+micro-batch added, in the shared folder (``parapet.streaming.deltas``).  A batch reads
+what concerns its own senders, and writes what is new.
+
+Messages are registered in order of arrival: micro-batch by micro-batch, and by
+``seq`` within one.  So a message that comes late is screened when it comes, with all
+that has been seen by then.  A message delivered again within a time is dropped by
+the running stream.
+
+Per-key state operators would send all messages of a busy sender through one task;
+here each micro-batch is spread by (sender, bucket) as in a batch job.  Where state
+operators are wanted, ``parapet.streaming.history`` keeps histories in one.
 """
 
 from __future__ import annotations
@@ -22,13 +27,17 @@ from parapet.functions.numbers import round_to
 from parapet.operators.fusion import fuse
 from parapet.operators.graph import agents_of, edge_aggregate, potential, reachable_pairs
 from parapet.operators.lineage import cut_lineage
-from parapet.operators.ordered import bucket_bounds
+from parapet.operators.ordered import bucket_bounds, match_nulls
 from parapet.operators.routing import audit_entries
 from parapet.operators.senders import (
     agents_so_far, recent_suspicions, sender_context, with_risk,
 )
 from parapet.plans.detect import score_texts
 from parapet.plans.layers import Layers
+from parapet.streaming.deltas import DeltaState
+
+
+_BEFORE = -(2**62)  # an order value before those of a batch
 
 
 def stream_score(
@@ -38,20 +47,23 @@ def stream_score(
     return score_texts(messages, layers, keep)
 
 
-def without_repeats(messages: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Drop messages delivered again within the watermark."""
-    return messages.withWatermark(time, delay).dropDuplicatesWithinWatermark(["message_id"])
+def without_repeats(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Drop messages delivered again within ``delay`` of their first arrival.
+
+    The watermark is on the time of arrival, so no message is ever too late for it.
+    """
+    stamped = messages.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    return stamped.dropDuplicatesWithinWatermark(["message_id"]).drop("_arrived")
 
 
 @dataclass
 class StreamScreening:
-    """Sink of a screening stream; pass it to ``foreachBatch``.
+    """Sink of a screening stream, for ``start_screening`` or ``foreachBatch``.
 
     ``folder`` gets ``detections`` and ``audit``, a subfolder per micro-batch,
-    and ``state``.  A message delivered again, or later than one with a larger
-    order value of an earlier batch, is not screened: it goes to ``late``.
-    Without layers the messages bring ``base_suspicion`` along and end with
-    their sender context.
+    and ``state``.  Every message of a batch is screened, with the messages before it,
+    by arrival, and in a batch by ``seq``.  Without layers the messages bring
+    ``base_suspicion`` along and end with their sender context.
     """
 
     folder: str
@@ -59,30 +71,22 @@ class StreamScreening:
     keep: list[str] | None = None
     config: ScreeningConfig = DEFAULT
 
-    def state_path(self, name: str, version: int) -> str:
-        return f"{self.folder}/state/{name}/version={version}"
-
-    def load(self, batch: DataFrame, name: str, version: int) -> DataFrame | None:
-        if version < 0:
-            return None
-        return batch.sparkSession.read.parquet(self.state_path(name, version))
-
-    def save(self, df: DataFrame, name: str, version: int) -> DataFrame:
-        path = self.state_path(name, version)
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch = self.in_time(batch.dropDuplicates(["message_id"]), batch_id)
         scored = batch if self.layers is None else score_texts(batch, self.layers, self.keep)
         scored = cut_lineage(scored)
-        edges, pairs = self.update_graph(scored, batch_id)
-        earlier = self.load(batch, "history", batch_id - 1)
+        state = DeltaState(batch.sparkSession, f"{self.folder}/state", batch_id)
         bounds = bucket_bounds(scored, "seq", self.config.scale.rows_per_bucket)
-        timed = sender_context(
-            scored, pairs=pairs, earlier=earlier, config=self.config, bounds=bounds
-        )
-        placed = agents_so_far(timed, agents_of(edges), "seq", bounds)
+        senders = cut_lineage(scored.select("from_agent").distinct())
+        known, added = self.update_graph(state, scored)
+        earlier = state.newest("history", "from_agent", senders)
+        timed = sender_context(scored, pairs=added, earlier=earlier, config=self.config, bounds=bounds)
+        if known is not None:
+            # pairs of earlier batches exist for every message of this one
+            own = known.join(senders, known["src"] == senders["from_agent"], "left_semi")
+            counts = own.groupBy("src").agg(F.count("*").alias("_known"))
+            timed = timed.join(counts, F.col("from_agent") == F.col("src"), "left").withColumn(
+                "reached", F.col("reached") + F.coalesce("_known", F.lit(0))).drop("src", "_known")
+        placed = self.count_agents(state, scored, timed, bounds)
         risky = with_risk(
             placed.withColumn("cascade_potential", potential(F.col("reached"), F.col("agents")))
             .drop("reached", "agents"),
@@ -99,61 +103,71 @@ class StreamScreening:
             audit_entries(stored).write.mode("overwrite").json(
                 f"{self.folder}/audit/batch={batch_id}"
             )
-        self.save_history(scored, earlier, batch_id)
-
-    def in_time(self, batch: DataFrame, version: int) -> DataFrame:
-        """The messages after all of earlier batches; the others are put aside."""
-        newest = self.load(batch, "newest", version - 1)
-        known = None if newest is None else newest.first()["seq"]
-        fresh = batch if known is None else batch.where(F.col("seq") > F.lit(known))
-        if known is not None:
-            batch.where(F.col("seq") <= F.lit(known)).write.mode("overwrite").parquet(
-                f"{self.folder}/late/batch={version}"
-            )
-        latest = fresh.agg(F.max("seq").alias("seq"))
-        if known is not None:
-            latest = latest.select(F.coalesce("seq", F.lit(known)).alias("seq"))
-        self.save(latest, "newest", version)
-        return fresh
+        self.save_history(state, scored, earlier)
+        state.commit()
 
-    def update_graph(self, scored: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
-        """Edges and pairs so far; written anew only if the batch has a new edge.
+    def update_graph(self, state: DeltaState, scored: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """Pairs of earlier batches that may matter here, and pairs that this batch adds.
 
-        ``graph`` names the version of edges and pairs that holds.
+        A path that is new holds a new edge (u, v): it goes to u, by known pairs, and on
+        from v, by known pairs.  So only pairs into the new edges' sources and out of
+        their targets are read, beside those of the batch's senders.
         """
-        spark = scored.sparkSession
         found = edge_aggregate(scored).select("src", "dst", "first_seen")
-        pointer = self.load(scored, "graph", version - 1)
-        if pointer is None:
-            edges = self.save(found, "edges", version)
-            pairs, at = self.save(reachable_pairs(edges), "pairs", version), version
+        ends = found.where(F.col("src") != F.col("dst"))
+        edges = state.read("edges", "src", ends.select("src"))
+        new = cut_lineage(ends if edges is None else ends.join(edges.select("src", "dst"), ["src", "dst"], "left_anti"))
+        starts = scored.select(F.col("from_agent").alias("src"))
+        if new.isEmpty():
+            return state.read("pairs", "src", starts), new
+        asked = cut_lineage(starts.unionByName(new.select("src")).unionByName(new.select(F.col("dst").alias("src"))).distinct())
+        known = state.read("pairs", "src", asked)
+        if known is None:
+            added = cut_lineage(reachable_pairs(new))
         else:
-            at = pointer.first()["version"]
-            edges, pairs = (
-                spark.read.parquet(self.state_path(name, at)) for name in ("edges", "pairs")
-            )
-            new = cut_lineage(found.join(edges, ["src", "dst"], "left_anti"))
-            if not new.isEmpty():
-                edges = self.save(edges.unionByName(new), "edges", version)
-                pairs, at = self.save(reachable_pairs(edges, pairs), "pairs", version), version
-        self.save(spark.createDataFrame([(at,)], "version int"), "graph", version)
-        return edges, pairs
-
-    def save_history(self, scored: DataFrame, earlier: DataFrame | None, version: int) -> None:
-        """The last nine suspicions of every sender so far."""
+            known = cut_lineage(known.select("src", "dst"))
+            into = state.read("pairs_by_target", "dst", new.select(F.col("src").alias("dst")))
+            out = known.join(new.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            first = F.lit(_BEFORE).alias("first_seen")
+            old = out.unionByName(into.select("src", "dst")).distinct().select("src", "dst", first)
+            every = reachable_pairs(new, old)
+            # what two known pairs make is known, though it wasn't read
+            added = cut_lineage(every.where(F.col("first_seen") > F.lit(_BEFORE)).select("src", "dst", "first_seen"))
+            more = state.read("pairs", "src", added.select("src"))
+            added = cut_lineage(added.join(more.select("src", "dst"), ["src", "dst"], "left_anti"))
+        state.add("edges", "src", new.select("src", "dst"))
+        if not added.isEmpty():
+            state.add("pairs", "src", added.select("src", "dst"))
+            state.add("pairs_by_target", "dst", added.select("src", "dst"))
+        return known, added
+
+    def count_agents(self, state: DeltaState, scored: DataFrame, timed: DataFrame, bounds: list[float]) -> DataFrame:
+        """Add ``agents``: how many have appeared up to the message."""
+        mine = agents_of(edge_aggregate(scored))
+        known = state.read("agents", "agent", mine.select("agent"))
+        new = mine if known is None else match_nulls(mine, known.select("agent"), ["agent"], "left_anti")
+        new = cut_lineage(new)
+        total = state.newest("counts", "name", state.spark.createDataFrame([("agents",)], "name string"))
+        row = None if total is None else total.first()
+        before = 0 if row is None else row["n"]
+        more = new.count()
+        if more:
+            state.add("agents", "agent", new.select("agent"))
+            state.add("counts", "name", state.spark.createDataFrame(
+                [("agents", before + more)], "name string, n bigint"), replace=True)
+        return agents_so_far(timed, new, "seq", bounds).withColumn("agents", F.col("agents") + F.lit(before))
+
+    def save_history(self, state: DeltaState, scored: DataFrame, earlier: DataFrame | None) -> None:
+        """The last nine suspicions of the senders of this batch."""
         count = self.config.history_length - 1
-        latest = recent_suspicions(scored, ["from_agent"], "seq", "base_suspicion", count)
-        recents = latest.select("from_agent", F.col("_tail").alias("recent"))
+        recents = recent_suspicions(scored, ["from_agent"], "seq", "base_suspicion", count).select(
+            "from_agent", F.col("_tail").alias("recent"))
         if earlier is not None:
-            none = F.array().cast("array<double>")
-            both = earlier.withColumnRenamed("recent", "old").join(recents, "from_agent", "full")
-            joined = F.concat(F.coalesce("old", none), F.coalesce("recent", none))
-            recents = both.select("from_agent", joined.alias("recent")).withColumn(
-                "recent",
-                F.when(F.size("recent") > count, F.slice("recent", -count, count))
-                .otherwise(F.col("recent")),
-            )
-        self.save(recents, "history", version)
+            joined = match_nulls(recents, earlier.select("from_agent", F.col("recent").alias("old")), ["from_agent"], "left")
+            both = F.concat(F.coalesce("old", F.array().cast("array<double>")), "recent")
+            recents = joined.select("from_agent", F.when(
+                F.size(both) > count, F.slice(both, -count, count)).otherwise(both).alias("recent"))
+        state.add("history", "from_agent", recents, replace=True)
 
     def detections(self, spark) -> DataFrame:
         """Everything screened so far, each message once."""
@@ -166,9 +180,15 @@ class StreamScreening:
 
 
 def start_screening(
-    messages: DataFrame, sink: StreamScreening, available_now: bool = False, **trigger: str
+    messages: DataFrame, sink: StreamScreening, available_now: bool = False,
+    repeats: str | None = "1 hour", **trigger: str
 ) -> StreamingQuery:
-    """Start the stream; ``available_now`` stops it once the input is read."""
+    """Start the stream; ``available_now`` stops it once the input is read.
+
+    A message delivered again within ``repeats`` is dropped (None: none is).
+    """
+    if repeats is not None:
+        messages = without_repeats(messages, repeats)
     writer = messages.writeStream.foreachBatch(sink).option(
         "checkpointLocation", f"{sink.folder}/progress"
     )

@@ -2,6 +2,7 @@
 agents, long chains, late messages."""
 
 import json
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -11,7 +12,17 @@ from parapet.functions.numbers import round_to
 from parapet.operators import graph, ordered, senders
 from parapet.sources import files
 from parapet.sources.tables import conversation_messages
-from parapet.streaming.screen import StreamScreening
+from parapet.streaming.history import keyed_history, state_store
+from parapet.streaming.screen import StreamScreening, start_screening
+
+
+@pytest.fixture
+def few_tasks(spark):
+    """For streams of many small micro-batches."""
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", own)
 
 
 def test_long_conversations_keep_their_turns_apart(spark):
@@ -82,21 +93,134 @@ def test_audit_times_are_utc(spark, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
-def test_late_and_repeated_messages_are_put_aside(spark, tmp_path):
-    def batch(*rows):
-        return spark.createDataFrame(
-            [(f"m{seq}", seq, a, b, s) for seq, a, b, s in rows],
-            "message_id string, seq bigint, from_agent string, to_agent string, base_suspicion double")
+MESSAGES = "message_id string, seq bigint, from_agent string, to_agent string, base_suspicion double"
+
+
+def by_arrival(batches):
+    """History and potential of every message, one by one, batch by batch."""
+    edges, agents, recent, out = {}, set(), {}, {}
+    for batch in batches:
+        for seq, a, b, s in sorted(batch):
+            edges.setdefault(a, set()).add(b)
+            agents |= {a, b}
+            recent.setdefault(a, []).append(s)
+            seen, todo = set(), [a]
+            while todo:
+                for x in edges.get(todo.pop(), set()) - seen:
+                    seen.add(x)
+                    todo.append(x)
+            last = recent[a][-10:]
+            reach = len(seen - {a}) / (len(agents) - 1) if len(agents) > 1 else 0.0
+            out[f"m{seq}"] = (pytest.approx(sum(last) / len(last)), pytest.approx(reach))
+    return out
+
+
+def as_messages(spark, batch):
+    return spark.createDataFrame([(f"m{seq}", seq, a, b, s) for seq, a, b, s in batch], MESSAGES)
+
 
+def test_late_messages_are_screened_by_arrival(spark, few_tasks, tmp_path):
+    rng = random.Random(11)
+    rows = [(i, f"a{rng.randrange(12)}", f"a{rng.randrange(12)}", rng.random()) for i in range(150)]
+    rng.shuffle(rows)  # nearly every message comes after one with a larger order value
+    batches = [rows[i:i + 30] for i in range(0, 150, 30)]
     sink = StreamScreening(str(tmp_path))
-    sink(batch((1, "a", "b", 0.5), (2, "b", "c", 0.5), (2, "b", "c", 0.5)), 0)
-    sink(batch((3, "a", "b", 1.0), (2, "b", "c", 0.5)), 1)  # one new, one again
-    sink(batch((5, "a", "b", 0.0)), 2)
-    rows = {r["message_id"]: r["suspicion_history"] for r in sink.detections(spark).collect()}
-    assert sorted(rows) == ["m1", "m2", "m3", "m5"] and rows["m5"] == pytest.approx(0.5)
-    assert [r["message_id"] for r in spark.read.parquet(f"{tmp_path}/late").collect()] == ["m2"]
-    # no edge is new after the first batch: nothing but the pointer is written
-    assert sorted(p.name for p in (tmp_path / "state" / "edges").iterdir()) == ["version=0"]
-    again = sink.detections(spark).orderBy("message_id").collect()
-    sink(batch((5, "a", "b", 0.0)), 2)  # a repeated micro-batch gives the same
-    assert sink.detections(spark).orderBy("message_id").collect() == again
+    for number, batch in enumerate(batches):
+        sink(as_messages(spark, batch), number)
+    got = {r["message_id"]: (r["suspicion_history"], r["cascade_potential"]) for r in sink.detections(spark).collect()}
+    assert got == by_arrival(batches)
+    sink(as_messages(spark, batches[-1]), 4)  # a repeated micro-batch gives the same
+    assert {r["message_id"]: (r["suspicion_history"], r["cascade_potential"])
+            for r in sink.detections(spark).collect()} == got
+
+
+def test_a_batch_reads_and_writes_its_own(spark, few_tasks, tmp_path):
+    """Twenty batches of new agents: what is written doesn't grow with the state."""
+    def size(path):
+        return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+    sink, written = StreamScreening(str(tmp_path)), []
+    batches = []
+    for number in range(20):
+        batches.append([(number * 10 + i, f"g{number}_{i}", f"g{number}_{(i + 1) % 5}", 0.5) for i in range(5)])
+        sink(as_messages(spark, batches[-1]), number)
+        heads = spark.read.parquet(f"{tmp_path}/state/heads/version={number}").collect()
+        level = {r["name"]: r["level"] for r in heads if r["version"] == number}
+        written.append((level["pairs"], size(tmp_path / "state" / "pairs" / f"version={number}")))
+        live = {r["version"] for r in heads if r["name"] == "pairs"}
+        held = {int(p.name.split("=")[1]) for p in (tmp_path / "state" / "pairs").iterdir() if p.name.startswith("version=")}
+        assert live <= held and len(held) <= 12  # old versions are removed, few are live
+    plain = [n for merged, n in written if merged == 0]
+    assert max(plain) < 2 * min(plain) and len(plain) == 15  # every fourth merges
+    got = {r["message_id"]: (r["suspicion_history"], r["cascade_potential"]) for r in sink.detections(spark).collect()}
+    assert got == by_arrival(batches)
+
+
+def test_repeats_are_dropped_late_ones_kept(spark, few_tasks, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = spark.readStream.schema(MESSAGES).parquet(str(source))
+    sink = StreamScreening(str(tmp_path / "out"))
+    for rows in ([(5, "a", "b", 0.5), (6, "b", "c", 0.5)], [(6, "b", "c", 0.5), (2, "a", "c", 1.0)], [(5, "a", "b", 0.5), (1, "a", "b", 0.0)]):
+        as_messages(spark, rows).write.mode("append").parquet(str(source))
+        start_screening(stream, sink, available_now=True).awaitTermination()
+    got = {r["message_id"]: (r["suspicion_history"], r["cascade_potential"]) for r in sink.detections(spark).collect()}
+    assert got == by_arrival([[(5, "a", "b", 0.5), (6, "b", "c", 0.5)], [(2, "a", "c", 1.0)], [(1, "a", "b", 0.0)]])
+    assert sink.detections(spark).count() == 4
+
+
+def test_keyed_history(spark, few_tasks, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["busy", "busy", "b", None]), "x", None if i % 17 == 5 else rng.random()) for i in range(200)]
+    rng.shuffle(rows)
+    batches = [rows[:90], rows[90:150], rows[150:]]
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    stream = keyed_history(spark.readStream.schema(MESSAGES).parquet(str(source)), slice_width=25)
+
+    for batch in batches:  # stopped and started again for each
+        as_messages(spark, batch).write.mode("append").parquet(str(source))
+        with state_store(spark):
+            query = stream.writeStream.format("parquet").option("path", str(out)).option(
+                "checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = {r["message_id"]: r["suspicion_history"] for r in spark.read.parquet(str(out)).collect()}
+    recent, want = {}, {}
+    for batch in batches:
+        for seq, a, _, s in sorted(batch, key=lambda r: r[0]):
+            last = [v for v in recent.setdefault(a, [])[-9:] + [s] if v is not None]
+            recent[a].append(s)
+            want[f"m{seq}"] = pytest.approx(sum(last) / len(last)) if last else None
+    assert got == want
+
+
+OPERATOR = 0  # the one with state comes first
+
+
+def test_idle_senders_are_forgotten(spark, few_tasks, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    schema = f"{MESSAGES}, at timestamp"
+    stream = keyed_history(spark.readStream.schema(schema).parquet(str(source)), idle_seconds=3600, time="at")
+
+    def send(*rows):
+        made = spark.createDataFrame([(f"m{q}", q, a, "x", s, h) for q, a, s, h in rows], f"{MESSAGES}, h int")
+        made.select("message_id", "seq", "from_agent", "to_agent", "base_suspicion",
+                    F.timestamp_seconds((F.col("h") + 1000) * 3600).alias("at")).write.mode("append").parquet(str(source))
+        with state_store(spark):
+            query = stream.writeStream.format("parquet").option("path", str(out)).option(
+                "checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    def held():
+        state = spark.read.format("statestore").option("operatorId", OPERATOR).option("stateVarName", "recent")
+        return {r["sender"] for r in state.load(f"{tmp_path}/progress").select("key.sender").collect()}
+
+    send((1, "a", 1.0, 0), (2, "b", 1.0, 0))
+    assert held() == {"a", "b"}
+    send((3, "b", 0.0, 1))
+    send((4, "b", 0.0, 5), (5, "c", 0.5, 5))  # a has been idle for more than an hour
+    assert "a" not in held()
+    send((6, "a", 0.0, 6))
+    got = {r["message_id"]: r["suspicion_history"] for r in spark.read.parquet(str(out)).collect()}
+    assert got["m3"] == 0.5 and got["m6"] == 0.0
