@@ -25,7 +25,7 @@ from parapet.operators import (
 )
 from parapet.operators.lineage import cut_lineage, shared_dir
 from parapet.plans import evaluate
-from parapet.plans.detect import detect, score_texts
+from parapet.plans.detect import ROUNDED, detect, score_texts
 from parapet.plans.layers import (
     Layers, classifier_from_column, classifier_from_model, constant_drift, drift_from_column,
     drift_from_text,
@@ -106,8 +106,8 @@ def document_layers(spark: SparkSession, sf: str) -> Layers:
     return Layers(drift=drift_from_column("embedding", intent(spark, sf)))
 
 
-def detected(spark: SparkSession, sf: str) -> DataFrame:
-    return detect(vector_messages(spark, sf), document_layers(spark, sf))
+def detected(spark: SparkSession, sf: str, digits: int | None = 4) -> DataFrame:
+    return detect(vector_messages(spark, sf), document_layers(spark, sf), digits=digits)
 
 
 def detected_turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -813,19 +813,17 @@ def _(spark, sf):
 
 _DETECT_COLUMNS = [
     "message_id", "from_agent", "to_agent", "rule_score", "rule_type", "classifier_score",
-    "drift_score", "cascade_score", "high_risk", "confidence", "is_injected", "predicted_type",
-    "explanation",
+    "drift_score", "base_suspicion", "suspicion_history", "cascade_potential", "cascade_score",
+    "high_risk", "confidence", "is_injected", "predicted_type", "explanation",
 ]
 _DETECT_SQL = ", ".join(
-    c if c != "classifier_score" else f"{sql.rounded(c, 4)} AS {c}" for c in _DETECT_COLUMNS
+    f"{sql.rounded(c, 4)} AS {c}" if c in ROUNDED else c for c in _DETECT_COLUMNS
 )
 
 
 @query("detect", _DETECTED + f"SELECT {_DETECT_SQL} FROM detected")
 def _(spark, sf):
-    return detected(spark, sf).withColumn(
-        "classifier_score", round_to(F.col("classifier_score"), 4)
-    ).select(*_DETECT_COLUMNS)
+    return detected(spark, sf).select(*_DETECT_COLUMNS)
 
 
 @query("route", _DETECTED_TURNS + """
@@ -867,6 +865,14 @@ _ALERT = f"""'[ALERT] Injection blocked.' || chr(10) || 'Attack type : ' || pred
     || 'Reason      : ' || explanation"""
 
 
+@query("observed_stats", SQL["run_stats"])
+def _(spark, sf):
+    """The counters of a run, taken while its detections are written."""
+    watched, counters = routing.observed_stats(detected(spark, sf))
+    watched.write.parquet(f"{run_folder(spark)}/detections")
+    return routing.stats_row(spark, counters)
+
+
 @query("guard_last_message", f"WITH RECURSIVE {sql.DETECTED_NEWEST}" + f"""
     SELECT conv_id, message_id, is_injected AND length(content) > 0 AS blocked,
         CASE WHEN is_injected AND length(content) > 0 THEN {_ALERT} END AS reply
@@ -997,7 +1003,7 @@ _JUDGED = """judged AS MATERIALIZED (
 @query("ablation", f"""WITH RECURSIVE {sql.DETECTED}, {_JUDGED},
     {_system_sql(evaluate.LAYER_COLUMNS)} SELECT * FROM measured""")
 def _(spark, sf):
-    return evaluate.ablation(detected(spark, sf))
+    return evaluate.ablation(detected(spark, sf, None))
 
 
 @query("metrics_by_type", f"""WITH RECURSIVE {sql.DETECTED}, {_JUDGED}
@@ -1005,7 +1011,7 @@ def _(spark, sf):
         SELECT attack_type, {sql.cells("label", "full_label")} FROM judged
         GROUP BY attack_type HAVING count(*) >= 2)""")
 def _(spark, sf):
-    return evaluate.evaluation_by_type(detected(spark, sf))
+    return evaluate.evaluation_by_type(detected(spark, sf, None))
 
 
 _SIMPLE_SYSTEMS = {
@@ -1067,6 +1073,23 @@ def _(spark, sf):
     return metrics.score_distribution(table(spark, sf, "events"), "value")
 
 
+@query("approx_distribution", """
+    SELECT event_type, count(*) AS n, true AS median_within, true AS p95_within FROM events GROUP BY event_type""")
+def _(spark, sf):
+    """Sketched quantiles, and whether their exact ranks are within 2 % of all rows."""
+    rows = table(spark, sf, "events")
+    found = metrics.approx_distribution(rows, "value", ["event_type"]).select(
+        F.col("event_type").alias("_type"), "median", "p95")
+    ranked = rows.join(F.broadcast(found), F.col("event_type") == F.col("_type"))
+    n = F.count("*")
+
+    def within(name, share):
+        low, high = F.count_if(F.col("value") < F.col(name)) / n, F.count_if(F.col("value") <= F.col(name)) / n
+        return ((low - 0.02 <= share) & (share <= high + 0.02)).alias(f"{name}_within")
+
+    return ranked.groupBy("event_type").agg(n.alias("n"), within("median", F.lit(0.5)), within("p95", F.lit(0.95)))
+
+
 @query("histogram", """
     SELECT CAST(least(40, floor((value - low) / (high - low) * 40) + 1) AS INTEGER) AS bin, count(*) AS n
     FROM events, (SELECT min(value) AS low, max(value) AS high FROM events) GROUP BY 1""")

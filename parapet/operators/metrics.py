@@ -240,6 +240,55 @@ def score_distribution(
     return ordered.agg(*columns)
 
 
+#: Size of a quantile sketch.  A quantile's rank is off by about 2.3 / k^0.9 of all rows
+#: (k = 400: 1 %) in 99 cases of 100.
+SKETCH_SIZE = 400
+
+
+def distribution_sketches(df: DataFrame, groups: list[str], value: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """Per group: n, total and a quantile sketch of the value, in one pass.
+
+    Such rows are small, and can be kept and merged: of days into months, or of the
+    micro-batches of a stream (``stream_distribution``).  Nulls and NaN take no part.
+    """
+    number = F.col(value).cast("double")
+    known = df.where(number.isNotNull() & ~F.isnan(number))
+    return known.groupBy(*groups).agg(
+        F.count("*").alias("n"), F.sum(number).alias("total"), F.kll_sketch_agg_double(number, size).alias("sketch"))
+
+
+def merged_distribution(
+    sketches: DataFrame, groups: list[str] | None = None, shares: tuple[float, ...] = (0.5, 0.95)
+) -> DataFrame:
+    """Per group: n, mean, and each share's quantile (median, p95), from sketches."""
+    merged = sketches.groupBy(*(groups or [])).agg(
+        F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), F.kll_merge_agg_double("sketch").alias("_sketch"))
+    names = ["median" if share == 0.5 else f"p{round(share * 100)}" for share in shares]
+    return merged.select(
+        *(groups or []), "n", "mean",
+        *[F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(float(share)))).alias(name)
+          for share, name in zip(shares, names)])
+
+
+def approx_distribution(
+    df: DataFrame, value: str, groups: list[str] | None = None, shares: tuple[float, ...] = (0.5, 0.95),
+    size: int = SKETCH_SIZE,
+) -> DataFrame:
+    """``score_distribution`` in one pass and bounded memory: quantiles by rank to within
+    the sketch's error, not interpolated; no table of distinct values is made."""
+    return merged_distribution(distribution_sketches(df, groups or [], value, size), groups, shares)
+
+
+def stream_distribution(
+    rows: DataFrame, value: str, time: str = "ts", window: str = "1 hour", watermark: str = "1 hour",
+    size: int = SKETCH_SIZE,
+) -> DataFrame:
+    """``distribution_sketches`` per window of a stream; the sketch is the state."""
+    timed = rows.withWatermark(time, watermark).withColumn("_window", F.window(time, window))
+    return distribution_sketches(timed, ["_window"], value, size).select(
+        F.col("_window.start").alias("window_start"), "n", "total", "sketch")
+
+
 def histogram(df: DataFrame, value: str, bins: int = fv.HISTOGRAM_BINS) -> DataFrame:
     """Counts in equal bins from minimum to maximum; the last bin is closed."""
     known = df.select(F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull())

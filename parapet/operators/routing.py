@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from parapet import fixed_values as fv
 from parapet.config import DEFAULT
@@ -50,12 +50,42 @@ def recent_quarantined(
     return newest.orderBy(order)
 
 
-def run_stats(detections: DataFrame) -> DataFrame:
-    return detections.agg(
-        F.count("*").alias("total"),
+STATS = ["total", "flagged", "quarantined"]
+
+
+def _counters() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("is_injected")).alias("flagged"),
         F.count_if(F.col("quarantined")).alias("quarantined"),
-    )
+    ]
+
+
+def run_stats(detections: DataFrame) -> DataFrame:
+    return detections.agg(*_counters())
+
+
+def observed_stats(detections: DataFrame) -> tuple[DataFrame, Observation]:
+    """The detections, and the counters of ``run_stats`` as they pass.
+
+    The first action on the detections fills the counters; there is no second pass.
+    A limit above would see fewer rows: act on the whole.
+    """
+    counters = Observation()
+    return detections.observe(counters, *_counters()), counters
+
+
+def watched_stream(detections: DataFrame, name: str = "screening") -> DataFrame:
+    """The same for a running stream, whose progress reports the counters of each
+    micro-batch under ``name`` (``query.recentProgress``, ``observedMetrics``)."""
+    return detections.observe(name, *_counters())
+
+
+def stats_row(spark: SparkSession, counters: Observation) -> DataFrame:
+    """The counters of an action that is done, as one row."""
+    found = counters.get
+    return spark.createDataFrame(
+        [tuple(found[c] for c in STATS)], ", ".join(f"{c} bigint" for c in STATS))
 
 
 def alert_text(kind: Column, confidence: Column, reason: Column) -> Column:

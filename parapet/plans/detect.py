@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from parapet import fixed_values as fv
+from parapet.functions.numbers import round_to
 from parapet.functions.text import preview
 from parapet.operators.fusion import base_suspicion, fuse
 from parapet.operators.senders import cascade_context
@@ -16,6 +17,11 @@ DETECTION_COLUMNS = [
     "is_injected", "confidence", "predicted_type", "explanation", "quarantined",
 ]
 
+ROUNDED = {
+    "rule_score", "classifier_score", "drift_score", "base_suspicion", "suspicion_history",
+    "cascade_potential",
+}
+
 
 def score_texts(
     messages: DataFrame, layers: Layers | None = None, keep: list[str] | None = None
@@ -42,18 +48,23 @@ def score_texts(
 
 def detect(
     messages: DataFrame, layers: Layers | None = None, as_of: bool = True,
-    keep: list[str] | None = None, estimated: bool = False,
+    keep: list[str] | None = None, estimated: bool = False, digits: int | None = 4,
 ) -> DataFrame:
     """Scores, decision, predicted type and explanation of every message.
 
     ``messages`` has message_id, seq (unique), content, from_agent and
     to_agent.  ``estimated`` (without ``as_of``) takes reach from sketches.  Graph
     and bucket bounds are computed from the narrow columns when this is called;
-    scoring itself stays lazy.
+    scoring itself stays lazy.  Decisions are made on unrounded scores; the scores of
+    the row are rounded to ``digits``, or not at all (None), as evaluation wants them.
     """
     layers = layers or Layers()
     scored = score_texts(messages, layers, keep)
     placed = cascade_context(scored, config=layers.config, as_of=as_of, estimated=estimated)
     fused = fuse(placed, layers.config)
     passed_on = [c for c in scored.columns if c not in DETECTION_COLUMNS]
-    return fused.select(*passed_on, *DETECTION_COLUMNS)
+    row = [
+        round_to(F.col(c), digits).alias(c) if digits is not None and c in ROUNDED else F.col(c)
+        for c in DETECTION_COLUMNS
+    ]
+    return fused.select(*[F.col(c) for c in passed_on], *row)

@@ -69,7 +69,7 @@ def baseline_predictions(
             F.col("classifier_score").alias("text_score"),
         )
         marked, kept = scored, [*kept, "text_label", "text_score"]
-    detected = detect(marked, layers, as_of, keep=kept)
+    detected = detect(marked, layers, as_of, keep=kept, digits=None)
     return with_layer_labels(detected, layers.config).withColumn(
         "keyword_score", F.col("keyword_label").cast("double")
     )

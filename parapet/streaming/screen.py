@@ -28,7 +28,7 @@ from parapet.operators.fusion import fuse
 from parapet.operators.graph import agents_of, edge_aggregate, potential, reachable_pairs
 from parapet.operators.lineage import cut_lineage
 from parapet.operators.ordered import bucket_bounds, match_nulls
-from parapet.operators.routing import audit_entries
+from parapet.operators.routing import STATS, audit_entries, observed_stats, stats_row
 from parapet.operators.senders import (
     agents_so_far, recent_suspicions, sender_context, with_risk,
 )
@@ -60,7 +60,7 @@ def without_repeats(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
 class StreamScreening:
     """Sink of a screening stream, for ``start_screening`` or ``foreachBatch``.
 
-    ``folder`` gets ``detections`` and ``audit``, a subfolder per micro-batch,
+    ``folder`` gets ``detections``, ``audit`` and ``stats``, a subfolder per micro-batch,
     and ``state``.  Every message of a batch is screened, with the messages before it,
     by arrival, and in a batch by ``seq``.  Without layers the messages bring
     ``base_suspicion`` along and end with their sender context.
@@ -95,7 +95,7 @@ class StreamScreening:
         if self.layers is None:
             result = risky.withColumn("cascade_score", round_to(F.col("cascade_risk"), 4))
         else:
-            result = fuse(risky, self.config)
+            result, counters = observed_stats(fuse(risky, self.config))
         path = f"{self.folder}/detections/batch={batch_id}"
         result.write.mode("overwrite").parquet(path)
         if self.layers is not None:
@@ -103,6 +103,9 @@ class StreamScreening:
             audit_entries(stored).write.mode("overwrite").json(
                 f"{self.folder}/audit/batch={batch_id}"
             )
+            stats_row(batch.sparkSession, counters).write.mode("overwrite").parquet(
+                f"{self.folder}/stats/batch={batch_id}"
+            )
         self.save_history(state, scored, earlier)
         state.commit()
 
@@ -173,6 +176,10 @@ class StreamScreening:
         """Everything screened so far, each message once."""
         return spark.read.parquet(f"{self.folder}/detections").drop("batch")
 
+    def stats(self, spark) -> DataFrame:
+        """total, flagged and quarantined so far, counted as the detections were written."""
+        return spark.read.parquet(f"{self.folder}/stats").agg(*[F.sum(c).alias(c) for c in STATS])
+
     def audit(self, spark) -> DataFrame:
         from parapet.schemas import AUDIT
 
