@@ -18,7 +18,8 @@ from parapet import fixed_values as fv
 from parapet.config import DEFAULT
 from parapet.functions import decoding, repetition, text as tx
 from parapet.functions.numbers import round_to
-from parapet.functions.rules import rules_from_table
+from parapet.functions.literals import matching_rules
+from parapet.functions.rules import DEFAULT_RULES, rules_from_table
 from parapet.operators import (
     corpus, drift, fusion, graph, metrics, prepare, reach, routing, rule_filter, selection, senders,
     text_model,
@@ -27,8 +28,8 @@ from parapet.operators.lineage import cut_lineage, shared_dir
 from parapet.plans import evaluate
 from parapet.plans.detect import ROUNDED, detect, score_texts
 from parapet.plans.layers import (
-    Layers, classifier_from_column, classifier_from_model, constant_drift, drift_from_column,
-    drift_from_text,
+    Layers, classifier_from_batches, classifier_from_column, classifier_from_model, constant_drift,
+    drift_from_batches, drift_from_column, drift_from_text,
 )
 from parapet.schemas import AUDIT, DATASET_COLUMNS
 from parapet.operators.corpus import with_agents
@@ -1294,3 +1295,56 @@ def _(spark, sf):
     return score_texts(planted(spark, sf), layers).select(
         "message_id", round_to(F.col("classifier_score"), 4).alias("classifier_score")
     )
+
+
+def _letter_model():
+    """A logistic model of letter counts, as one that is loaded from somewhere."""
+    import numpy as np
+
+    weights = np.array([0.02, -0.01, 0.05])
+
+    def predict(content: np.ndarray) -> np.ndarray:
+        counts = np.array([[t.count("e"), t.count("a"), t.count("!")] for t in content], float).reshape(-1, 3)
+        return 1 / (1 + np.exp(-(counts @ weights - 0.5)))
+
+    return predict
+
+
+def _count_sql(letter: str) -> str:
+    return f"(length(content) - length(replace(content, '{letter}', '')))"
+
+
+@query("batch_inference", f"""
+    WITH {sql.MESSAGES}, scores AS (SELECT message_id, 1 / (1 + exp(-(0.02e0 * {_count_sql("e")}
+        - 0.01e0 * {_count_sql("a")} + 0.05e0 * {_count_sql("!")} - 0.5e0))) AS score FROM planted)
+    SELECT message_id, {sql.rounded("score", 4)} AS classifier_score, score >= 0.65e0 AS flagged FROM scores""")
+def _(spark, sf):
+    """A classifier asked batch by batch, loaded once a worker."""
+    layers = Layers(classifier=classifier_from_batches(_letter_model), drift=constant_drift())
+    return score_texts(planted(spark, sf), layers).select(
+        "message_id", round_to(F.col("classifier_score"), 4).alias("classifier_score"),
+        (F.col("classifier_score") >= DEFAULT.thresholds.classifier).alias("flagged"))
+
+
+@query("batch_vectors", f"""
+    WITH {sql.MESSAGES}, v AS (SELECT message_id, [{_count_sql("e")}, {_count_sql("a")}, {_count_sql("!")}] AS x FROM planted)
+    SELECT message_id, {sql.rounded("(1e0 - coalesce(CASE WHEN x <> [0, 0, 0] THEN list_cosine_similarity(CAST(x AS DOUBLE[]), [1e0, 2e0, 0e0]) END, 0e0)) / 2e0", 4)} AS drift_score
+    FROM v""")
+def _(spark, sf):
+    """Vectors of an encoder asked batch by batch, and their drift from an intent."""
+    def load():
+        import numpy as np
+
+        return lambda content: np.array(
+            [[t.count("e"), t.count("a"), t.count("!")] for t in content], np.float32).reshape(-1, 3)
+
+    layers = Layers(drift=drift_from_batches(load, [1.0, 2.0, 0.0]))
+    return score_texts(planted(spark, sf), layers).select("message_id", "drift_score")
+
+
+@query("many_rules", f"""
+    WITH {sql.MESSAGES} SELECT message_id, {sql.hit_names("content")} AS hits FROM planted""")
+def _(spark, sf):
+    """The catalogue as a large rule set, without its guards."""
+    hits = matching_rules(F.col("content"), DEFAULT_RULES)
+    return planted(spark, sf).select("message_id", F.array_join(hits, ",").alias("hits"))

@@ -145,13 +145,27 @@ def rule_condition(rule: Rule, content: Column, folded: Column, special: Column)
     return all_of([*guards, found])
 
 
+MANY_RULES = 200
+
+
 def hits_by_type(
     rules: list[Rule], content: Column, folded: Column, special: Column
 ) -> dict[str, Column]:
-    """For every attack type, the array of names of the rules that match."""
+    """For every attack type, the array of names of the rules that match.
+
+    Up to ``MANY_RULES`` rules are columns, each with its guard.  More are found by one
+    automaton over their literals, and need no guard.
+    """
     by_type: dict[str, list[Rule]] = {}
     for rule in rules:
         by_type.setdefault(rule.attack_type, []).append(rule)
+    if len(rules) > MANY_RULES:
+        from parapet.functions.literals import matching_rules
+
+        return {
+            kind: F.coalesce(matching_rules(content, members), F.array().cast("array<string>"))
+            for kind, members in by_type.items()
+        }
     return {
         attack_type: F.array_remove(
             F.array(*[

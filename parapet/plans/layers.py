@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType
 
 from parapet.config import DEFAULT, ScreeningConfig
 from parapet.functions.rules import DEFAULT_RULES, Rule
@@ -29,6 +32,36 @@ def classifier_from_column(probability: Column) -> Layer:
     return lambda df, config: df.withColumn("classifier_score", probability.cast("double"))
 
 
+def from_batches(
+    load: Callable[[], Callable[[np.ndarray], np.ndarray]], column: str = "content",
+    result: DataType = DoubleType(), batch_size: int = 256,
+) -> Column:
+    """A model applied to batches of texts: ``load`` is called once a worker, and gives a
+    function from an array of texts to an array of results.
+
+    A missing text is an empty one.  For a classifier a result is a probability; for an
+    encoder, an array of floats of one length.
+    """
+    return predict_batch_udf(load, return_type=result, batch_size=batch_size)(F.coalesce(F.col(column), F.lit("")))
+
+
+def classifier_from_batches(load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 256) -> Layer:
+    """A classifier of your own, loaded once a worker and asked batch by batch."""
+    return classifier_from_column(from_batches(load, batch_size=batch_size))
+
+
+def drift_from_batches(
+    load: Callable[[], Callable[[np.ndarray], np.ndarray]], intent: list[float], batch_size: int = 256
+) -> Layer:
+    """An encoder of your own; its vectors are compared with the intent's."""
+
+    def apply(df: DataFrame, config: ScreeningConfig) -> DataFrame:
+        vectors = from_batches(load, result=ArrayType(FloatType()), batch_size=batch_size)
+        return score_drift(df.withColumn("_embedding", vectors), intent, "_embedding", config).drop("_embedding")
+
+    return apply
+
+
 def classifier_from_model(model: PipelineModel) -> Layer:
     return lambda df, config: score_classifier(df, model, config)
 
