@@ -240,6 +240,15 @@ def _(spark, sf):
     return selection.split_ratio(table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
+@query("split_hashed", f"""
+    WITH placed AS (SELECT doc_id, CAST('0x' || substr({sql.hash_key("doc_id", "42")}, 1, 12) AS BIGINT)
+        / 281474976710656e0 AS place FROM documents)
+    SELECT doc_id, CASE WHEN place < 0.85e0 * 0.7e0 THEN 'train' WHEN place < 0.85e0 * (0.7e0 + 0.15e0) THEN 'validation'
+        WHEN place < 0.85e0 THEN 'unused' ELSE 'test' END AS split FROM placed""")
+def _(spark, sf):
+    return selection.split_hashed(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
 @query("dataset_statistics", f"""
     WITH {sql.MESSAGES}, counted AS (
         SELECT 'total' AS kind, 'all' AS value, count(*) AS n FROM planted
