@@ -19,6 +19,7 @@ from parapet.config import DEFAULT
 from parapet.functions import decoding, repetition, text as tx
 from parapet.functions.numbers import round_to
 from parapet.functions.literals import matching_rules
+from parapet.functions.pieces import frequent_pieces, truncate_pieces, vocabulary_from_table
 from parapet.functions.rules import DEFAULT_RULES, rules_from_table
 from parapet.operators import (
     corpus, drift, fusion, graph, metrics, prepare, reach, routing, rule_filter, selection, senders,
@@ -747,6 +748,37 @@ def _(spark, sf):
     )
 
 
+_WORDS_SQL = "list_filter(string_split_regex(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]+'), lambda x: x <> '')"
+
+
+@query("truncate_pieces", f"""
+    WITH RECURSIVE split AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+    counted AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM split) GROUP BY word),
+    parts AS (SELECT n, a, substr(word, a, k) AS part FROM (
+        SELECT word, n, unnest(range(1, length(word) + 1)) AS a FROM counted), (VALUES (1), (2), (3)) lengths(k)),
+    sums AS (SELECT CASE WHEN a = 1 THEN part ELSE '##' || part END AS piece, length(part) = 1 AS single, sum(n) AS n
+        FROM parts GROUP BY 1, 2),
+    vocabulary AS (SELECT piece FROM (SELECT piece FROM sums WHERE NOT single ORDER BY n DESC, piece LIMIT 2000)
+        UNION SELECT piece FROM sums WHERE single),
+    steps(word, pos, pieces) AS (
+        SELECT word, 0, CAST([] AS VARCHAR[]) FROM counted
+        UNION ALL
+        SELECT word, pos + k, list_append(pieces, piece) FROM (
+            SELECT word, pos, pieces, k, piece, max(k) OVER (PARTITION BY word, pos) AS most
+            FROM steps, (VALUES (1), (2), (3)) lengths(k) JOIN vocabulary
+            ON piece = (CASE WHEN pos = 0 THEN '' ELSE '##' END) || substr(word, pos + 1, k)
+            WHERE pos + k <= length(word)) WHERE k = most),
+    cut AS (SELECT word, pieces FROM steps WHERE pos = length(word)),
+    placed AS (SELECT doc_id, unnest(w[1:254]) AS word, generate_subscripts(w[1:254], 1) AS place FROM split)
+    SELECT split.doc_id, coalesce(replace(array_to_string(flatten(list(pieces ORDER BY place))[1:254], ' '), ' ##', ''), '') AS content
+    FROM split LEFT JOIN placed ON split.doc_id = placed.doc_id LEFT JOIN cut USING (word) GROUP BY split.doc_id""")
+def _(spark, sf):
+    """The first 254 word pieces, over a vocabulary of the documents themselves."""
+    docs = texts(spark, sf, "documents")
+    vocabulary = vocabulary_from_table(frequent_pieces(docs, "text", 2000))
+    return docs.select("doc_id", truncate_pieces(F.col("text"), vocabulary).alias("content"))
+
+
 def labelled_corpus(spark, sf) -> dict[str, DataFrame]:
     """Labelled documents as messages, attacks being the toxic ones, by split part."""
     rows = _documents_source(spark, sf).withColumn(  # documents come in the order of their ids
