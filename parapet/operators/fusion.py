@@ -40,29 +40,25 @@ def two_digits(value: Column) -> Column:
 def explanation(config: ScreeningConfig = DEFAULT) -> Column:
     """One part per layer over its threshold."""
     t = config.thresholds
+    matched, scored, closed = (F.lit(part) for part in fv.REASON_RULES)
+    drifted, above = (F.lit(part) for part in fv.REASON_DRIFT)
     parts = F.concat_ws(
-        " | ",
+        fv.REASON_SEPARATOR,
         F.when(
             F.col("rule_score") >= t.rule,
-            F.concat(
-                F.lit("RBF matched "), F.col("rule_type"), F.lit(" pattern (score="),
-                two_digits(F.col("rule_score")), F.lit(")"),
-            ),
+            F.concat(matched, F.col("rule_type"), scored, two_digits(F.col("rule_score")), closed),
         ),
         F.when(
             F.col("classifier_score") >= t.classifier,
-            F.concat(F.lit("Classifier confidence="), two_digits(F.col("classifier_score"))),
+            F.concat(F.lit(fv.REASON_CLASSIFIER), two_digits(F.col("classifier_score"))),
         ),
         F.when(
             F.col("drift_score") >= t.drift,
-            F.concat(
-                F.lit("Semantic drift="), two_digits(F.col("drift_score")),
-                F.lit(" (above threshold)"),
-            ),
+            F.concat(drifted, two_digits(F.col("drift_score")), above),
         ),
         F.when(
             F.col("cascade_score") >= t.cascade,
-            F.concat(F.lit("Cascade risk="), two_digits(F.col("cascade_score"))),
+            F.concat(F.lit(fv.REASON_CASCADE), two_digits(F.col("cascade_score"))),
         ),
     )
     return F.when(parts == "", F.lit(fv.NO_SIGNAL)).otherwise(parts)

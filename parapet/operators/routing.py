@@ -93,8 +93,7 @@ def alert_text(kind: Column, confidence: Column, reason: Column) -> Column:
 
     percent = F.format_string("%.2f", round_to(confidence * 100.0, 2))
     return F.concat(
-        F.lit("[ALERT] Injection blocked.\nAttack type : "), kind,
-        F.lit("\nConfidence  : "), percent, F.lit("%\nReason      : "), reason,
+        F.lit(fv.ALERT_TYPE), kind, F.lit(fv.ALERT_CONFIDENCE), percent, F.lit(fv.ALERT_REASON), reason,
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
+from parapet import fixed_values as fv
 from parapet.config import DEFAULT, ScreeningConfig
 from parapet.functions.text import contains_keyword
 from parapet.operators.metrics import metrics_by_type, system_metrics
@@ -43,12 +44,12 @@ def evaluation_by_type(detections: DataFrame, config: ScreeningConfig = DEFAULT)
 
 
 BASELINE_SYSTEMS = {
-    "B0: No Protection": ("none_label", None),
-    "B1: Keyword Filter": ("keyword_label", "keyword_score"),
-    "B2: TF-IDF + LR": ("text_label", "text_score"),
-    "B3: Rules Only": ("rule_label", "rule_score"),
-    "B4: Classifier Only": ("classifier_label", "classifier_score"),
-    "B5: Full System": ("full_label", "confidence"),
+    fv.SYSTEM_NONE: ("none_label", None),
+    fv.SYSTEM_KEYWORDS: ("keyword_label", "keyword_score"),
+    fv.SYSTEM_TEXT_MODEL: ("text_label", "text_score"),
+    fv.SYSTEM_RULES: ("rule_label", "rule_score"),
+    fv.SYSTEM_CLASSIFIER: ("classifier_label", "classifier_score"),
+    fv.SYSTEM_FULL: ("full_label", "confidence"),
 }
 
 
