@@ -8,10 +8,14 @@ likelihood of the registers' order drops pairs that can't be similar, and full
 sets confirm the rest.
 
 Copies count once.  A bucket of a band first compares its members with one of
-them.  Components that are still apart, and may be linked by their sketches, form
-families; there the members apart from the largest component meet all others, in
-blocks, with their full sets.  So a large group of near copies costs its size, and
-no link between components is lost.
+them, its hub.  Where many stay apart, for some rounds the members apart from the
+bucket's largest component are compared with a new hub, another member of that
+component: what is apart shrinks by a share each round, and a round costs its size.  Components
+still apart, and that may be linked by their sketches, form families; there the
+members apart from the largest component meet all others, in blocks, with their
+full sets, each made once.  So a large group of near copies costs its size, and no
+link between components is lost.  Texts with the same 128-bit digest of their sets
+count as copies.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ LIMIT = 2**16 - 2  # registers are 0 to LIMIT + 1
 #: threshold than at or above it.
 DOUBT = 18.0
 BLOCK = 256  # members of a bucket that meet at once
+HUB_ROUNDS = 4  # new hubs for what is apart, before blocks
 HUB_MEMBERS = 2_000  # members that are compared with one hub in one task
 BROADCAST_ROWS = 500_000  # ids and hubs, 32 bytes each; more are joined by shuffling
 
@@ -291,19 +296,20 @@ def _settled(docs: DataFrame, rows: DataFrame, rule: Rule, id_col: str, text_col
     import pyarrow as pa
 
     rows = stored(rows.select("key", "left", "right", "side", "rep", "comp"), "near-meetings")
+    met = rows.select("rep").distinct()
     if rows.count() <= BROADCAST_ROWS:
-        rows = F.broadcast(rows)
+        met = F.broadcast(met)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
 
     def sets(batches):
         for batch in batches:
             shingles, sketches = [], []
-            for whole, offsets in shingle_sets(batch.column(5), rule.words):
+            for whole, offsets in shingle_sets(batch.column(1), rule.words):
                 sketches += [r.tobytes() for r in registers(whole, offsets)]
                 shingles += [whole[offsets[i]:offsets[i + 1]].tobytes() for i in range(len(offsets) - 1)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array(sketches, pa.binary()), pa.array(shingles, pa.binary())],
-                ["key", "left", "right", "side", "comp", "sketch", "shingles"])
+                [batch.column(0), pa.array(sketches, pa.binary()), pa.array(shingles, pa.binary())],
+                ["rep", "sketch", "shingles"])
 
     def meet(batches):
         for group in _groups(batches, 3):
@@ -327,8 +333,9 @@ def _settled(docs: DataFrame, rows: DataFrame, rule: Rule, id_col: str, text_col
                 a, b = zip(*pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    made = texts.join(rows, "rep").select("key", "left", "right", "side", "comp", "text").mapInArrow(
-        sets, "key long, left long, right long, side int, comp long, sketch binary, shingles binary")
+    held = stored(texts.join(met, "rep", "left_semi").mapInArrow(
+        sets, "rep long, sketch binary, shingles binary"), "near-sets")
+    made = rows.join(held, "rep").select("key", "left", "right", "side", "comp", "sketch", "shingles")
     dealt = made.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "side")
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
@@ -420,6 +427,30 @@ def _stars(edges: DataFrame) -> bool:
     return mixed.isEmpty()
 
 
+def _apart(placed: DataFrame) -> DataFrame:
+    """The rows of ``placed`` (key, rep, n, comp) whose key has more than a block of
+    members outside its largest component, ``main``.  Others cost their size in blocks."""
+    each = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = each.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("all"))
+    wide = mixed.where(F.col("all") - F.col("x.c") > BLOCK).select("key", F.col("x.comp").alias("main"))
+    return placed.join(wide, "key")
+
+
+def _new_hubs(apart: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(rep, hub): what is apart with a member of its buckets' largest components.
+
+    The member is picked by a hash, so buckets that share members mostly share it; a
+    document takes the one it shares most buckets with.
+    """
+    pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n")).alias("x")
+    hubs = apart.where("comp = main").groupBy("key").agg(pick).select(
+        "key", F.col("x.rep").alias("hub"), F.col("x.n").alias("hub_n"))
+    near = apart.where("comp <> main").join(hubs, "key").where(
+        100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    near = near.groupBy("rep", "hub").agg(F.count("*").alias("bands"))
+    return near.groupBy("rep").agg(F.max(F.struct("bands", "hub")).alias("x")).select("rep", "x.hub")
+
+
 def _meetings(placed: DataFrame) -> DataFrame:
     """placed (key, rep, comp, ...) with left, right and side, where a key has several components.
 
@@ -470,14 +501,25 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     same = stored(same.select("id", "rep"), "near-copies")
     twice = same.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     edges = links.select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(twice)
-    comps = components(edges)
-
-    comps = stored(comps, "near-components")
+    comps = stored(components(edges), "near-components")
+
+    placed = wide = buckets.select("key", "rep", "n")
+    for turn in range(1, HUB_ROUNDS + 1):
+        named = wide.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        apart = stored(_apart(named), "near-apart")
+        if apart.isEmpty():
+            break
+        wide = apart.select("key", "rep", "n")
+        star = stored(_new_hubs(apart, turn, rule.percent), "near-star")
+        links = stored(confirmed(docs, star, rule, id_col, text_col), "near-links")
+        comps = stored(components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(
+            links.select(F.col("hub").alias("a"), F.col("rep").alias("b")))), "near-components")
 
     # buckets whose members are in several components: similar sizes are in the same
     # or neighbouring classes
     level = F.floor(F.log("n") / F.lit(-np.log(rule.percent / 100 - 1e-9)))
-    placed = buckets.select("key", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("level", F.explode(F.array(level, level + 1))).select(
         F.xxhash64("key", "level").alias("key"), "rep", F.coalesce("component", "rep").alias("comp"), "n")
     rows = _meetings(placed).join(reps.select("rep", "sketch"), "rep").select(

@@ -110,6 +110,21 @@ def test_near_components_equal_brute_force(spark, words, percent):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({*want})
 
 
+def test_new_hubs_in_one_large_group(spark, monkeypatch):
+    """Hundreds of near copies, many of them apart from the first hub, in small blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    turns = []
+    monkeypatch.setattr(near_dedup, "_new_hubs", lambda *a, real=near_dedup._new_hubs: turns.append(a[1]) or real(*a))
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    texts = [" ".join(edited(rng, base, rng.randrange(0, 4))) for _ in range(400)]
+    rng.shuffle(texts)
+    _, want = brute_components(texts, 5, 80)
+    got = near_dedup.near_duplicates(docs_of(spark, texts), near_dedup.Rule(5, 80)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+    assert turns and turns == list(range(1, len(turns) + 1))
+
+
 def test_near_odd_rows(spark):
     rows = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     got = near_dedup.near_duplicates(rows).collect()
