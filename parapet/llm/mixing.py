@@ -144,10 +144,10 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = SHARE, repeat:
         sources.append({"number": i, "source": s, "source_size": sizes[s], "target": wanted[s],
                         "blocks": blocks, "slots": min(slots, int(repeat * blocks))})
 
-    # places of documents among their source's words: order by bucket, then id
+    # places of documents among their source's words: order by bucket, then id, size and text
     buckets = max(1, -(-rows // rows_per_bucket))
     placed = sized.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
-    inside = Window.partitionBy("source", "_bucket").orderBy("doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("source", "_bucket").orderBy("doc_id", "size", "mark").rowsBetween(
         Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("source", "_bucket").agg(F.sum("size").alias("_size")).select(
