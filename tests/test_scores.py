@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from parapet import fixed_values as fv
 from parapet.config import Scale, ScreeningConfig
@@ -194,6 +194,15 @@ def test_saved_model_scores_alike(spark, trained, tmp_path):
     assert a == b and all(0 <= v <= 1 for v in a.values())
 
 
+def test_model_scores_after_an_observed_query(spark, trained):
+    train, test, _ = trained
+    model = text_model.fit_logistic(train, limit=100, max_iterations=2)
+    seen = Observation("seen")
+    assert spark.range(3).observe(seen, F.count("*").alias("n")).count() == 3 and seen.get["n"] == 3
+    scored = text_model.score_classifier(test, model)
+    assert scored.where("classifier_score BETWEEN 0 AND 1").count() == test.count()
+
+
 def test_whole_system_on_held_out_messages(spark, trained):
     _, test, model = trained
     layers = Layers(classifier=classifier_from_model(model), drift=drift_from_text())
