@@ -194,6 +194,19 @@ def test_saved_model_scores_alike(spark, trained, tmp_path):
     assert a == b and all(0 <= v <= 1 for v in a.values())
 
 
+def test_class_weights_leave_rows_in_their_tasks(spark):
+    rows = spark.range(0, 800, 1, 8).select((F.col("id") % 10 == 0).cast("int").alias("label"))
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    own = spark.conf.get(limit)
+    spark.conf.set(limit, -1)
+    try:
+        weighted = text_model.with_class_weight(rows)
+        assert weighted.select(F.spark_partition_id()).distinct().count() == 8
+        assert {(r[0], r[1]) for r in weighted.distinct().collect()} == {(1, 5.0), (0, 800 / 1440)}
+    finally:
+        spark.conf.set(limit, own)
+
+
 def test_model_scores_after_an_observed_query(spark, trained):
     train, test, _ = trained
     model = text_model.fit_logistic(train, limit=100, max_iterations=2)
