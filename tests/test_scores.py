@@ -184,6 +184,37 @@ def test_tfidf_agrees_with_the_model_features(spark, trained):
     assert shared > 100
 
 
+@pytest.mark.parametrize("limit", [3, 8, 40, 500])
+def test_top_ngrams_are_those_of_all(spark, limit):
+    rng = random.Random(limit)
+    texts = [" ".join(rng.choices(["aa", "ab", "ba", "bb", "cc"], [5, 4, 3, 2, 1], k=rng.randint(0, 9))) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "content string")
+    frame = text_model.word_ngrams(rows).select(F.explode("ngrams").alias("term"))
+    every = [r["term"] for r in text_model.top_terms(frame, limit).collect()]
+    assert text_model.top_ngrams(rows.select(F.split("content", " ").alias("_one")).select(
+        F.array_remove("_one", "").alias("_one")), limit=limit) == every
+
+
+def test_tfidf_adds_up_rows_of_one_id(spark):
+    rows = [(1, "aa bb"), (None, "aa"), (1, "bb"), (2, None), (None, "aa cc"), (3, "")]
+    found = {(r[0], r[1]): r[2] for r in text_model.tfidf(
+        spark.createDataFrame(rows, "id int, content string"), "id").collect()}
+    rare, common = np.log(7 / 2) + 1, np.log(7 / 3) + 1
+    own = {"aa": common, "bb": (np.log(2) + 1) * rare, "aa bb": rare}
+    other = {"aa": (np.log(2) + 1) * common, "cc": rare, "aa cc": rare}
+    expected = {(i, t): v / np.linalg.norm(list(all_.values())) for i, all_ in [(1, own), (None, other)] for t, v in all_.items()}
+    assert found == pytest.approx(expected)
+
+
+def test_tfidf_neither_stores_nor_shuffles_a_documents_terms(spark):
+    rows = spark.range(40).select("id", F.concat_ws(" ", F.transform(
+        F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("w"), (i * F.col("id")) % 7))).alias("content"))
+    weights = text_model.tfidf(rows, "id", limit=200)
+    plan = weights._jdf.queryExecution().optimizedPlan()
+    assert "Window" not in plan.toString() and "Aggregate" not in plan.toString()
+    assert weights.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).where("abs(n - 1) > 1e-9").isEmpty()
+
+
 def test_saved_model_scores_alike(spark, trained, tmp_path):
     _, test, model = trained
     path = str(tmp_path / "model")
