@@ -5,6 +5,8 @@ import json
 import random
 from datetime import datetime, timezone
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from parapet.functions.numbers import round_to
 from parapet.operators import graph, ordered, senders
 from parapet.sources import files
 from parapet.sources.tables import conversation_messages
-from parapet.streaming.history import keyed_history, state_store
+from parapet.streaming.history import SliceHistory, keyed_history, state_store
 from parapet.streaming.screen import StreamScreening, start_screening
 
 
@@ -194,6 +196,21 @@ def test_keyed_history(spark, few_tasks, tmp_path):
     assert got == want
 
 
+def test_a_slice_is_one_call_for_all_its_senders():
+    rng = random.Random(5)
+    rows = pd.DataFrame({"slice": 3, "message_id": [f"m{i}" for i in range(400)], "seq": rng.sample(range(3000, 4000), 400),
+                         "from_agent": [rng.choice(["busy"] * 20 + ["a", "b", None]) for _ in range(400)],
+                         "base_suspicion": [rng.random() for _ in range(400)], "arrived": pd.Timestamp(0), "at": 0})
+    out, = SliceHistory(10).handleInputRows((3,), iter([rows[:150], rows[150:]]), None)
+    done, kept = out[out["part"] == 7], out[out["part"] == 0]
+    assert len(done) + kept["head"].sum() == 400 and done["sender"].isna().all()
+    for name, own in rows.fillna({"from_agent": "none"}).sort_values("seq").groupby("from_agent"):
+        means = own["base_suspicion"].rolling(10).mean().to_numpy()
+        found = done[done["from_agent"].fillna("none") == name].set_index("message_id")["suspicion_history"]
+        assert np.allclose(found.reindex(own["message_id"][9:]), means[9:])
+        assert len(kept[kept["from_agent"].fillna("none") == name]) == min(len(own), 18)
+
+
 OPERATOR = 0  # the one with state comes first
 
 
