@@ -93,6 +93,8 @@ class DeltaState:
         rows = [(name, *x) for name, own in self.after.items() for x in own]
         self.spark.createDataFrame(rows, _HEADS).coalesce(1).write.mode("overwrite").parquet(
             f"{self.folder}/heads/version={self.batch}")
+        if self.after == self.before:  # a batch that adds nothing makes nothing superfluous
+            return
         needed = {(name, v) for held in (self.before, self.after) for name, own in held.items() for v, _ in own}
         needed |= {("heads", self.batch), ("heads", self.batch - 1)}
         for name in [*self.after, "heads"]:

@@ -35,6 +35,7 @@ from parapet.operators.senders import (
 from parapet.plans.detect import score_texts
 from parapet.plans.layers import Layers
 from parapet.streaming.deltas import DeltaState
+from parapet.streaming.history import state_store
 
 
 _BEFORE = -(2**62)  # an order value before those of a batch
@@ -76,8 +77,12 @@ class StreamScreening:
         scored = cut_lineage(scored)
         state = DeltaState(batch.sparkSession, f"{self.folder}/state", batch_id)
         bounds = bucket_bounds(scored, "seq", self.config.scale.rows_per_bucket)
-        senders = cut_lineage(scored.select("from_agent").distinct())
-        known, added = self.update_graph(state, scored)
+        if batch_id > 0 and not bounds:  # nothing came: such a batch moves the watermark on
+            state.commit()
+            return
+        edges = cut_lineage(edge_aggregate(scored).select("src", "dst", "first_seen"))
+        senders = cut_lineage(edges.select(F.col("src").alias("from_agent")).distinct())
+        known, added = self.update_graph(state, edges)
         earlier = state.newest("history", "from_agent", senders)
         timed = sender_context(scored, pairs=added, earlier=earlier, config=self.config, bounds=bounds)
         if known is not None:
@@ -86,7 +91,7 @@ class StreamScreening:
             counts = own.groupBy("src").agg(F.count("*").alias("_known"))
             timed = timed.join(counts, F.col("from_agent") == F.col("src"), "left").withColumn(
                 "reached", F.col("reached") + F.coalesce("_known", F.lit(0))).drop("src", "_known")
-        placed = self.count_agents(state, scored, timed, bounds)
+        placed = self.count_agents(state, edges, timed, bounds)
         risky = with_risk(
             placed.withColumn("cascade_potential", potential(F.col("reached"), F.col("agents")))
             .drop("reached", "agents"),
@@ -109,18 +114,17 @@ class StreamScreening:
         self.save_history(state, scored, earlier)
         state.commit()
 
-    def update_graph(self, state: DeltaState, scored: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    def update_graph(self, state: DeltaState, found: DataFrame) -> tuple[DataFrame | None, DataFrame]:
         """Pairs of earlier batches that may matter here, and pairs that this batch adds.
 
         A path that is new holds a new edge (u, v): it goes to u, by known pairs, and on
         from v, by known pairs.  So only pairs into the new edges' sources and out of
-        their targets are read, beside those of the batch's senders.
+        their targets are read, beside those of the batch's senders.  ``found``: its edges.
         """
-        found = edge_aggregate(scored).select("src", "dst", "first_seen")
         ends = found.where(F.col("src") != F.col("dst"))
         edges = state.read("edges", "src", ends.select("src"))
         new = cut_lineage(ends if edges is None else ends.join(edges.select("src", "dst"), ["src", "dst"], "left_anti"))
-        starts = scored.select(F.col("from_agent").alias("src"))
+        starts = found.select("src")
         if new.isEmpty():
             return state.read("pairs", "src", starts), new
         asked = cut_lineage(starts.unionByName(new.select("src")).unionByName(new.select(F.col("dst").alias("src"))).distinct())
@@ -144,9 +148,9 @@ class StreamScreening:
             state.add("pairs_by_target", "dst", added.select("src", "dst"))
         return known, added
 
-    def count_agents(self, state: DeltaState, scored: DataFrame, timed: DataFrame, bounds: list[float]) -> DataFrame:
+    def count_agents(self, state: DeltaState, edges: DataFrame, timed: DataFrame, bounds: list[float]) -> DataFrame:
         """Add ``agents``: how many have appeared up to the message."""
-        mine = agents_of(edge_aggregate(scored))
+        mine = agents_of(edges)
         known = state.read("agents", "agent", mine.select("agent"))
         new = mine if known is None else match_nulls(mine, known.select("agent"), ["agent"], "left_anti")
         new = cut_lineage(new)
@@ -154,10 +158,11 @@ class StreamScreening:
         row = None if total is None else total.first()
         before = 0 if row is None else row["n"]
         more = new.count()
-        if more:
-            state.add("agents", "agent", new.select("agent"))
-            state.add("counts", "name", state.spark.createDataFrame(
-                [("agents", before + more)], "name string, n bigint"), replace=True)
+        if not more:
+            return timed.withColumn("agents", F.lit(before).cast("bigint"))
+        state.add("agents", "agent", new.select("agent"))
+        state.add("counts", "name", state.spark.createDataFrame(
+            [("agents", before + more)], "name string, n bigint"), replace=True)
         return agents_so_far(timed, new, "seq", bounds).withColumn("agents", F.col("agents") + F.lit(before))
 
     def save_history(self, state: DeltaState, scored: DataFrame, earlier: DataFrame | None) -> None:
@@ -192,7 +197,8 @@ def start_screening(
 ) -> StreamingQuery:
     """Start the stream; ``available_now`` stops it once the input is read.
 
-    A message delivered again within ``repeats`` is dropped (None: none is).
+    A message delivered again within ``repeats`` is dropped (None: none is).  The ids seen
+    are kept outside the heap.
     """
     if repeats is not None:
         messages = without_repeats(messages, repeats)
@@ -203,4 +209,5 @@ def start_screening(
         writer = writer.trigger(availableNow=True)
     elif trigger:
         writer = writer.trigger(**trigger)
-    return writer.start()
+    with state_store(messages.sparkSession):
+        return writer.start()
