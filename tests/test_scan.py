@@ -76,3 +76,24 @@ def test_texts_are_not_joined_with_vectors(spark):
     wanted, got = detect(messages.join(vectors, "doc_id", "left"), near), detect(messages, apart)
     assert got.columns == wanted.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect())) and got.count() == 42
+
+
+def test_guards_are_searched_together(monkeypatch):
+    """Texts that hold no word of a guard are searched a few times, not once a guard."""
+    searched = []
+    plain = scan._holds_any
+    monkeypatch.setattr(scan, "_holds_any", lambda texts, words: searched.append(len(texts)) or plain(texts, words))
+    guards = [r.guard_groups() for r in DEFAULT_RULES]
+    texts = ["lorem ipsum dolor sit"] * 100
+    assert scan.guarded(pa.array(texts), guards).to_pylist() == [[]] * 100
+    assert sum(searched) <= 5 * len(texts) < len(guards) * len(texts)
+
+
+def test_repetition_is_hashed_only_where_characters_suggest_it(monkeypatch):
+    made = []
+    plain = repetition._Prefixes
+    monkeypatch.setattr(repetition, "_Prefixes", lambda letters: made.append(1) or plain(letters))
+    rng = random.Random(5)
+    ordinary = "".join(rng.choices("abcdefghij klmnop", k=5000))
+    assert not repetition.repeats(ordinary) and repetition.repeats(ordinary + "All nominal. " * 21) and not made
+    assert repetition.repeats("ä" + ordinary + "łódź i " * 21) and not repetition.repeats(ordinary + "All nominal. " * 20)
