@@ -5,27 +5,36 @@ n-grams of up to four bytes, which spell words that were not seen and what stand
 between words.  The word counts grow with the trusted text.  Counts never leave
 the cluster's tables: texts are dealt with in blocks, each block asks for
 the n-grams it holds, the distinct ones are joined with the counts, sharded by
-n-gram, and the answers go back to their blocks, where documents are scored.  A
+n-gram, and the answers go back to their blocks, where documents are scored.  Word
+n-grams are counted and told part by part, and a part's tables and shuffles are
+removed before the next one: all n-grams at once take many times the disk of the
+texts.  That reads the texts once a part.  A
 document is kept if its perplexity is within a quantile of what trusted documents
 of its language have.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from parapet.llm.shared import BLANKS, chunks, find_words, hash_words, mix64, stored
+from parapet.llm.shared import BLANKS, Scratch, chunks, find_words, hash_words, mix64, stored
 
 ORDER = 4
 WORDS = 3  # of the longest word n-gram
 BLOCK_BYTES = 8_000_000
+PIECE_BYTES = 250_000
+PARTS = 16  # of the word n-grams: one part at a time is counted and told to the blocks
+ROUNDS = 4  # of the blocks that meet their answers at a time
+FEW_BLOCKS = 16  # up to so many, one part and one round do
 QUANTILE = 0.99
 CALIBRATION = 0.1
 SHARD_KEYS = 250_000  # of the word counts that meet the blocks' words in one piece
+MIN_BITS = 4  # of a key that name its shard
 BROADCAST_IDS = 500_000  # 8 bytes each; more are joined by shuffling
 
 
@@ -66,6 +75,18 @@ def word_grams(data: np.ndarray, offsets: np.ndarray, lang: str, words: int) ->
     return starts, ends, of, out
 
 
+def _all_grams(data: np.ndarray, offsets: np.ndarray, lang: str, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(gram, context) of ``word_grams``, made in pieces that fit a processor's cache."""
+    pieces, first = [], 0
+    while first < len(offsets) - 1:
+        last = max(int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, "right")) - 1, first + 1)
+        own = offsets[first:last + 1]
+        pieces.append(word_grams(data[own[0]:own[-1]], own - own[0], lang, words)[-1])
+        first = last
+    none = np.zeros(0, np.int64)
+    return [tuple(np.concatenate([none, *(p[k][i] for p in pieces)]) for i in (0, 1)) for k in range(words)]
+
+
 def _by_language(batch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
     """Of a batch (id, lang, text), by chunk and language: language, rows, bytes, offsets."""
     langs = np.array([x or "" for x in batch.column(1).to_pylist()], object)
@@ -96,18 +117,22 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return _rows(docs).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("c"))
 
 
-def _discounts(counts: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3: how much counts of 1, 2, and 3 or more lose."""
-    n = [F.sum(F.when(F.col("c") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+def _least_and_most(rows: DataFrame) -> DataFrame:
+    """With d1, d2, d3, how much counts of 1, 2, and 3 or more lose; n1 to n4 are given."""
     y = F.expr("n1 / greatest(n1 + 2 * n2, 1)")
-    d = counts.groupBy("lang").agg(*n).withColumn("y", y)
     part = lambda k, expr: F.least(F.lit(k - 0.05), F.greatest(F.lit(0.05), F.coalesce(F.expr(expr), F.lit(k / 2))))
-    return d.select(F.col("lang").alias("_lang"), part(1, "1 - 2 * y * n2 / nullif(n1, 0)").alias("d1"),
-                    part(2, "2 - 3 * y * n3 / nullif(n2, 0)").alias("d2"),
-                    part(3, "3 - 4 * y * n4 / nullif(n3, 0)").alias("d3"))
+    return rows.withColumn("y", y).withColumns({
+        "d1": part(1, "1 - 2 * y * n2 / nullif(n1, 0)"), "d2": part(2, "2 - 3 * y * n3 / nullif(n2, 0)"),
+        "d3": part(3, "3 - 4 * y * n4 / nullif(n3, 0)")})
+
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """_lang, d1, d2, d3 of each language."""
+    n = [F.sum(F.when(F.col("c") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+    return _least_and_most(counts.groupBy("lang").agg(*n)).select(F.col("lang").alias("_lang"), "d1", "d2", "d3")
 
 
-def train(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+def train(trusted: DataFrame, stored=stored) -> list[tuple[DataFrame, DataFrame]]:
     """For orders 1 to 4: (lang, gram, p) of what was seen, (lang, context, rest) of contexts.
 
     The highest order counts occurrences, lower orders distinct bytes before.
@@ -135,127 +160,220 @@ def train(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     return out
 
 
-def train_words(trusted: DataFrame, words: int) -> DataFrame:
-    """key, num, total, rest: of n-grams the discounted count, of contexts the sum of
-    counts and the share that goes to the shorter n-gram.
+def count_words(trusted: DataFrame, words: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """lang, order, context, gram, c of the n-grams of this part.
 
-    The highest order counts occurrences, lower orders distinct words before.
+    The highest order counts occurrences, lower orders distinct words before.  All
+    n-grams of a context are in one part.
     """
     import pyarrow as pa
 
-    keys = [f"{kind}{k}" for k in range(1, words + 1) for kind in ("gram", "context")]
-
     def count(batches):
         for batch in batches:
             for lang, _, data, offsets in _by_language(batch):
-                *_, found = word_grams(data, offsets, lang, words)
-                _, first, n = np.unique(found[-1][0], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n), pa.string()), *(pa.array(x[first]) for pair in found for x in pair),
-                     pa.array(n.astype(np.int64))], ["lang", *keys, "n"])
-
-    schema = "lang string, " + ", ".join(f"{k} long" for k in keys) + ", n long"
-    rows = _rows(trusted).mapInArrow(count, schema)
-    parts = []
-    for k in range(words, 0, -1):
-        rows = stored(rows.groupBy("lang", *keys[:2 * k]).agg((F.sum("n") if k == words else F.count("*")).alias("c")), "kn-words")
-        own = rows.join(F.broadcast(_discounts(rows)), F.col("lang") == F.col("_lang")).withColumn(  # a row a language
-            "d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        none = F.lit(None).cast("double")
-        parts.append(own.select(F.col(f"gram{k}").alias("key"), (F.col("c") - F.col("d")).alias("num"),
-                                none.alias("total"), none.alias("rest")))
-        sums = own.groupBy(F.col(f"context{k}").alias("key")).agg(F.sum("c").cast("double").alias("total"), F.sum("d").alias("lost"))
-        parts.append(sums.select("key", none.alias("num"), "total", (F.col("lost") / F.col("total")).alias("rest")))
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    return stored(both.groupBy("key").agg(*(F.max(c).alias(c) for c in ("num", "total", "rest"))), "kn-words")
-
-
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of 8-byte values, the first of sorted numbers, in few bytes."""
+                found = _all_grams(data, offsets, lang, words)
+                for k, (gram, context) in enumerate(found, 1):
+                    own = _part(gram if k == 1 else context, parts) == part
+                    longer = gram if k == words else found[k][0]  # what is counted; it holds the n-gram
+                    sub, first, n = np.unique(longer[own], return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), pa.array(context[own][first]),
+                         pa.array(gram[own][first]), pa.array(sub if k < words else np.zeros_like(sub)), pa.array(n.astype(np.int64))],
+                        ["lang", "order", "context", "gram", "longer", "n"])
+
+    keys = ["lang", "order", "context", "gram"]
+    rows = _rows(trusted).mapInArrow(count, "lang string, order int, context long, gram long, longer long, n long")
+    return rows.groupBy(*keys, "longer").agg(F.sum("n").alias("n")).groupBy(*keys).agg(
+        F.sum(F.when(F.col("order") == words, F.col("n")).otherwise(1)).alias("c"))
+
+
+def _contexts(counts: DataFrame) -> DataFrame:
+    """lang, order, key, more, n1, n2, n3: how many n-grams of a context have a count of 1,
+    2, and 3 or more, and what counts beyond 3 add to their sum."""
+    some = lambda x: F.sum(F.when(x, 1).otherwise(0))
+    return counts.groupBy("lang", "order", F.col("context").alias("key")).agg(
+        F.sum(F.greatest(F.col("c") - 3, F.lit(0))).alias("more"), some(F.col("c") == 1).alias("n1"),
+        some(F.col("c") == 2).alias("n2"), some(F.col("c") >= 3).alias("n3"))
+
+
+def _count_sums(counts: DataFrame) -> DataFrame:
+    """lang, order, n1 to n4, more, total: how many n-grams have a count of 1 to 4, or of
+    more, and the sum of counts; to be added up over parts."""
+    n = [F.sum(F.when(F.col("c") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    return counts.groupBy("lang", "order").agg(*n, F.sum(F.when(F.col("c") > 4, 1).otherwise(0)).alias("more"), F.sum("c").alias("total"))
+
+
+def _word_discounts(sums: DataFrame) -> DataFrame:
+    """_lang, _order, d1, d2, d3 as the bytes have them; and total and rest of the context of
+    all words of the language (of order 1 only)."""
+    added = sums.groupBy("lang", "order").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "more", "total")))
+    n = [F.col(f"n{k}").cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+    d = _least_and_most(added.select("lang", "order", *n, "more", "total"))
+    lost = F.expr("n1 * d1 + n2 * d2 + (n3 + n4 + more) * d3")
+    return d.select(F.col("lang").alias("_lang"), F.col("order").alias("_order"), "d1", "d2", "d3",
+                    F.col("total").cast("double").alias("total"), (lost / F.col("total")).alias("rest"))
+
+
+def train_words(trusted: DataFrame, words: int) -> DataFrame:
+    """key, num, total, rest: of n-grams the discounted count, of contexts the sum of
+    counts and the share that goes to the shorter n-gram.  The whole model as one table.
+    """
+    counts = stored(count_words(trusted, words), "kn-words")
+    d = F.broadcast(_word_discounts(_count_sums(counts)).drop("total", "rest"))  # a row a language and order
+    known = lambda rows: rows.join(d, (F.col("lang") == F.col("_lang")) & (F.col("order") == F.col("_order")))
+    own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    none = F.lit(None).cast("double")
+    grams = known(counts).select(F.col("gram").alias("key"), (F.col("c") - own).alias("num"), none.alias("total"), none.alias("rest"))
+    contexts = known(_contexts(counts)).withColumn("total", F.expr("cast(more + n1 + 2 * n2 + 3 * n3 as double)")).select(
+        "key", none.alias("num"), "total",
+        F.expr("(n1 * d1 + n2 * d2 + n3 * d3) / total").alias("rest"))
+    return stored(grams.unionByName(contexts).groupBy("key").agg(*(F.max(c).alias(c) for c in ("num", "total", "rest"))), "kn-words")
+
+
+def _pack(*columns: np.ndarray, rising: bool = True) -> bytes:
+    """Columns of 8-byte values in few bytes; rising: the first is of sorted numbers."""
     import pyarrow as pa
 
-    first = np.diff(columns[0], prepend=np.uint64(0))
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0)) if rising else columns[0]
     planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(first), 8).T.ravel() for c in (first, *columns[1:])]
     return len(first).to_bytes(8, "little") + pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(blob: bytes, columns: int) -> np.ndarray:
+def _unpack(blob: bytes, columns: int, rising: bool = True) -> np.ndarray:
     """What was packed, as rows of unsigned numbers."""
     import pyarrow as pa
 
     n = int.from_bytes(blob[:8], "little")
+    if not n:
+        return np.zeros((columns, 0), np.uint64)
     raw = pa.decompress(blob[8:], decompressed_size=8 * n * columns, codec="zstd", asbytes=True)
     planes = np.frombuffer(raw, np.uint8).reshape(columns, 8, n).transpose(0, 2, 1)
     out = np.array(planes, order="C").view(np.uint64)[:, :, 0]
-    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    if rising:
+        out[0] = np.cumsum(out[0], dtype=np.uint64)
     return out
 
 
-def told_words(asked: DataFrame, word_model: DataFrame, bits: int) -> DataFrame:
-    """block, shard, texts: packed key, num, total, rest of the keys a block asks for that were seen.
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key, by its lowest bits; ``parts`` is a power of two."""
+    return np.ascontiguousarray(keys).view(np.uint8)[::8] & np.uint8(parts - 1)
+
+
+def _word_keys(found: list, part: int, parts: int) -> tuple[list, list]:
+    """Of this part, for n-grams and for contexts: (keys, which words they are of) of each order.
+    The context of single words is left out, its numbers are the language's."""
+    grams, contexts = [], []
+    for k, (gram, context) in enumerate(found, 1):
+        own = np.flatnonzero(_part(gram if k == 1 else context, parts) == part)
+        grams.append((gram[own].view(np.uint64), own))
+        contexts.append((context[own if k > 1 else own[:0]].view(np.uint64), own if k > 1 else own[:0]))
+    return grams, contexts
 
-    asked: shard (the first ``bits`` of its keys), block, keys (packed).
+
+def told_words(asked: DataFrame, counts: DataFrame, bits: int) -> DataFrame:
+    """block, shard, texts, contexts: of the keys a block asks for, in their order, packed: c of
+    n-grams; more, n1, n2, n3 of contexts; zeros for what was not seen.
+
+    asked: shard (the first ``bits`` of its keys), block, grams, contexts (packed).
     """
     import pyarrow as pa
 
     shard = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("shard")
     none = lambda kind: F.lit(None).cast(kind)
-    rows = word_model.select(shard, F.lit(0).alias("role"), "key", "num", "total", "rest", none("binary").alias("keys"))
-    asks = asked.select("shard", F.lit(1).alias("role"), F.col("block").alias("key"), *(
-        none("double").alias(c) for c in ("num", "total", "rest")), "keys")
-    met = rows.unionByName(asks).repartition("shard").sortWithinPartitions("shard", "role", "key")
+    blobs = [none("binary").alias(c) for c in ("grams", "contexts")]
+    numbers = ["more", "n1", "n2", "n3"]
+    rows = counts.select(F.col("gram").alias("key"), F.col("c").alias("more")).select(
+        shard, F.lit(0).alias("role"), "key", "more", *(F.lit(0).cast("long").alias(c) for c in numbers[1:]), *blobs)
+    sums = _contexts(counts.where("order > 1")).select(shard, F.lit(1).alias("role"), "key", *numbers, *blobs)
+    asks = asked.select("shard", F.lit(2).alias("role"), F.col("block").alias("key"), *(
+        F.lit(0).cast("long").alias(c) for c in numbers), "grams", "contexts")
+    met = rows.unionByName(sums).unionByName(asks).repartition("shard").sortWithinPartitions("shard", "role", "key")
+
+    def look_up(table, keys, columns):
+        out = [np.zeros(len(keys), np.int64) for _ in range(columns)]
+        if len(table[0]) and len(keys):
+            known = table[0].view(np.uint64)
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            seen = known[at] == keys
+            for x, values in zip(out, table[1:]):
+                x[seen] = values[at[seen]]
+        return _pack(*out, rising=False)
 
     def answer(batches):
-        at, held, table = None, [], None
+        at, held, tables = None, None, None
         for batch in batches:
-            shards, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            values = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6)]
+            shards, role, *values = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
             edges = np.flatnonzero((shards[1:] != shards[:-1]) | (role[1:] != role[:-1])) + 1
-            blocks, own, packed = [], [], []
+            blocks, own, packed = [], [], ([], [])
             for first, last in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
                 if first == last:
                     continue
                 if at != shards[first]:
-                    at, held, table = shards[first], [], None
-                if role[first] == 0:
-                    held.append([values[0][first:last].copy(), *(x[first:last].astype(float) for x in values[1:])])
+                    at, held, tables = shards[first], ([], []), None
+                if role[first] < 2:
+                    held[role[first]].append([x[first:last].copy() for x in values])
                     continue
-                if not held:
-                    continue
-                if table is None:
-                    table = [np.concatenate(x) for x in zip(*held)]
-                known = table[0].view(np.uint64)
+                if tables is None:
+                    tables = [[np.concatenate(x) for x in zip(*some)] if some else [np.zeros(0, np.int64)] * 5 for some in held]
                 for j in range(first, last):
-                    keys = _unpack(batch.column(6)[j].as_py(), 1)[0]
-                    where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    where = where[known[where] == keys]
-                    if len(where):
-                        blocks.append(values[0][j])
-                        own.append(at)
-                        packed.append(_pack(known[where], *(x[where] for x in table[1:])))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(own, pa.int64()), pa.array(packed, pa.binary())],
-                                             ["block", "shard", "texts"])
+                    blocks.append(values[0][j])
+                    own.append(at)
+                    for out, column, table, n in zip(packed, (7, 8), tables, (1, 4)):
+                        out.append(look_up(table, _unpack(batch.column(column)[j].as_py(), 1)[0], n))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int64()), pa.array(own, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)],
+                ["block", "shard", "texts", "contexts"])
 
-    return met.mapInArrow(answer, "block long, shard long, texts binary")
+    return met.mapInArrow(answer, "block long, shard long, texts binary, contexts binary")
 
 
-def _word_logs(found: list, spelled: np.ndarray, table: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
-    """Log probability of each word; ``spelled``: that of its bytes.  A key that has no row was not seen."""
-    num, total, rest = values
+def _word_values(found: list, told: dict[int, list[np.ndarray]], numbers: list, parts: int) -> list[list[np.ndarray]]:
+    """Of each order num, total and rest of every word, from what the block was told of each part;
+    not a number where nothing was seen.
+
+    numbers: of each order d1, d2, d3, total, rest; empty if the language has no trusted words.
+    """
+    out = [[np.full(len(found[0][0]), np.nan) for _ in range(3)] for _ in found]
+    if not numbers:
+        return out
+    out[0][1][:], out[0][2][:] = numbers[0][3:]
+    for part, answers in told.items():
+        for kind, (asked, answer) in enumerate(zip(_word_keys(found, part, parts), answers)):
+            _, place = np.unique(np.concatenate([x for x, _ in asked]), return_inverse=True)
+            ends = np.cumsum([len(x) for x, _ in asked])
+            for (_, own), end, values, (d1, d2, d3, *_) in zip(asked, ends, out, numbers):
+                x = answer[:, place[end - len(own):end]].view(np.int64)
+                total = x[0] + (x[1] + 2 * x[2] + 3 * x[3] if kind else 0)
+                own, x, total = own[total > 0], x[:, total > 0], total[total > 0]
+                if kind == 0:
+                    values[0][own] = total - np.array([0, d1, d2, d3])[np.minimum(total, 3)]
+                else:
+                    values[1][own] = total
+                    values[2][own] = (x[1] * d1 + x[2] * d2 + x[3] * d3) / total
+    return out
+
+
+def _interpolated(orders: list[list[np.ndarray]], spelled: np.ndarray) -> np.ndarray:
+    """Log probability of each word from num, total, rest of each order; ``spelled``: that of its bytes."""
     part, left = np.zeros(len(spelled)), np.ones(len(spelled))
-    for gram, context in reversed(found):
-        at = np.minimum(np.searchsorted(table, context), len(table) - 1)
-        known = (table[at] == context) & ~np.isnan(total[at])
-        own = np.minimum(np.searchsorted(table, gram), len(table) - 1)
-        seen = known & (table[own] == gram) & ~np.isnan(num[own])
-        part += np.where(seen, left * num[own] / np.where(known, total[at], 1), 0)
-        left *= np.where(known, rest[at], 1)
+    for num, total, rest in reversed(orders):
+        known = ~np.isnan(total)
+        seen = known & ~np.isnan(num)
+        part += np.where(seen, left * num / np.where(known, total, 1), 0)
+        left *= np.where(known, rest, 1)
     with np.errstate(divide="ignore"):
         return np.logaddexp(np.log(part), np.log(left) + spelled)
 
 
+def _word_logs(found: list, spelled: np.ndarray, table: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+    """``_interpolated`` by a whole table as of ``train_words``.  A key that has no row was not seen."""
+    def of(keys, x):
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[at] == keys, x[at], np.nan)
+
+    return _interpolated([[of(gram, values[0]), of(context, values[1]), of(context, values[2])] for gram, context in found], spelled)
+
+
 def probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """lang, gram, logp of distinct n-grams: joins with the counts of each order.
 
@@ -283,11 +401,8 @@ def _named(batches):
             yield int.from_bytes(h.digest(), "little", signed=True), lang, batch, rows, data, offsets
 
 
-def scores(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], word_model: DataFrame | None = None,
-           words: int = 0) -> DataFrame:
-    """doc_id, lang, n_bytes, and of every row what a byte costs (null for an empty text):
-    perplexity by the byte n-grams alone, word_perplexity with the word n-grams on top.
-    """
+def byte_answers(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], scratch: Scratch) -> DataFrame:
+    """block, logs: what the sorted distinct byte n-grams of a block cost, as bytes of doubles."""
     import pyarrow as pa
 
     def ask(batches):
@@ -297,96 +412,187 @@ def scores(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], word_model
                 [pa.array(np.full(len(codes), block)), pa.array([lang] * len(codes), pa.string()), pa.array(codes)],
                 ["block", "lang", "gram"])
 
+    def joined(batches):
+        at, codes, logs = None, [], []
+
+        def row():
+            values, first = np.unique(np.concatenate(codes), return_index=True)  # equal blocks ask twice
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at], pa.int64()), pa.array([np.concatenate(logs)[first].tobytes()], pa.binary())], ["block", "logs"])
+
+        for batch in batches:
+            block, gram, logp = (batch.column(k).to_numpy() for k in range(3))
+            edges = np.flatnonzero(block[1:] != block[:-1]) + 1
+            for first, last in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                if first == last:
+                    continue
+                if codes and at != block[first]:
+                    yield row()
+                    codes, logs = [], []
+                at = int(block[first])
+                codes.append(gram[first:last].copy())
+                logs.append(logp[first:last].copy())
+        if codes:
+            yield row()
+
+    asked = scratch.stored(_rows(docs).mapInArrow(ask, "block long, lang string, gram long"), "kn-asked")
+    known = scratch.stored(probabilities(asked.select("lang", "gram").distinct(), model), "kn-known")
+    met = asked.join(known, ["lang", "gram"]).select("block", "gram", "logp").repartition("block").sortWithinPartitions("block")
+    answers = scratch.stored(met.mapInArrow(joined, "block long, logs binary"), "kn-logs")
+    scratch.removed("kn-asked", "kn-known")
+    return answers
+
+
+def word_answers(docs: DataFrame, trusted: DataFrame, words: int, scratch: Scratch, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
+    """What ``told_words`` gives, with its part, and the discounts of each order.
+
+    One part of the n-grams at a time is counted and told; its counts are then removed.
+    """
+    import pyarrow as pa
+
+    def asking(part, bits):
+        def ask(batches):
+            for block, lang, _, _, data, offsets in _named(batches):
+                keys = [np.unique(np.concatenate([x for x, _ in some]))
+                        for some in _word_keys(_all_grams(data, offsets, lang, words), part, parts)]
+                shards = [(x >> np.uint64(64 - bits)).astype(np.int32) for x in keys]
+                own = np.unique(np.concatenate(shards))
+                packed = [[_pack(x[a:b]) for a, b in zip(np.searchsorted(y, own), np.searchsorted(y, own, "right"))]
+                          for x, y in zip(keys, shards)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), pa.array(np.full(len(own), block)), *(pa.array(x, pa.binary()) for x in packed)],
+                    ["shard", "block", "grams", "contexts"])
+        return ask
+
+    told, sums = [], []
+    for part in range(parts):
+        counts = scratch.stored(count_words(trusted, words, part, parts), "kn-words")
+        sums.append(scratch.stored(_count_sums(counts).coalesce(1), "kn-sums"))
+        bits = max(MIN_BITS, int(np.ceil(np.log2(max(1, counts.count()) / SHARD_KEYS))))
+        asked = _rows(docs).mapInArrow(asking(part, bits), "shard int, block long, grams binary, contexts binary")
+        told.append(scratch.stored(told_words(asked, counts, bits), "kn-told").withColumn("part", F.lit(part)))
+        scratch.removed("kn-words")
+    discounts = scratch.stored(_word_discounts(functools.reduce(DataFrame.unionByName, sums)), "kn-discounts")
+    scratch.removed("kn-sums")
+    return functools.reduce(DataFrame.unionByName, told), discounts
+
+
+def scores(docs: DataFrame, logs: DataFrame, told: DataFrame | None = None, discounts: DataFrame | None = None,
+           words: int = 0, parts: int = PARTS, rounds: int = 1, turn: int = 0) -> DataFrame:
+    """doc_id, lang, n_bytes, and of every row what a byte costs (null for an empty text):
+    perplexity by the byte n-grams alone, word_perplexity with the word n-grams on top.
+
+    logs, told, discounts: of ``byte_answers`` and ``word_answers``; of rounds, only the blocks of this turn.
+    """
+    import pyarrow as pa
+
     def keep(batches):
         for block, lang, batch, rows, _, _ in _named(batches):
+            if block % rounds != turn:
+                continue
             sink = pa.BufferOutputStream()
             part = batch.take(pa.array(rows))
             with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([1], pa.int32()), pa.array([0]), pa.array([0.0]),
-                 pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "role", "gram", "logp", "texts"])
+                [pa.array([block]), pa.array([lang]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "lang", "texts"])
 
-    def ask_words(batches):
-        for block, lang, _, _, data, offsets in _named(batches):
-            *_, found = word_grams(data, offsets, lang, words)
-            keys = np.unique(np.concatenate([x for pair in found for x in pair]).view(np.uint64))
-            shards = (keys >> np.uint64(64 - bits)).astype(np.int32)
-            own, first = np.unique(shards, return_index=True)
-            packed = [_pack(x) for x in np.split(keys, first[1:])] if len(keys) else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.array(np.full(len(own), block)), pa.array(packed, pa.binary())], ["shard", "block", "keys"])
-
-    asked = stored(_rows(docs).mapInArrow(ask, "block long, lang string, gram long"), "kn-asked")
-    known = probabilities(asked.select("lang", "gram").distinct(), model)
-    answers = asked.join(known, ["lang", "gram"]).select(
-        "block", F.lit(0).alias("role"), "gram", "logp", F.lit(None).cast("binary").alias("texts"))
-    texts = _rows(docs).mapInArrow(keep, "block long, role int, gram long, logp double, texts binary")
-    both = answers.unionByName(texts)
-    if word_model is not None:
-        bits = max(6, int(np.ceil(np.log2(max(1, word_model.count()) / SHARD_KEYS))))
-        told = told_words(_rows(docs).mapInArrow(ask_words, "shard int, block long, keys binary"), word_model, bits)
-        both = both.unionByName(told.select("block", F.lit(-1).alias("role"), F.col("shard").alias("gram"),
-                                            F.lit(None).cast("double").alias("logp"), "texts"))
-    met = both.repartition("block").sortWithinPartitions("block", "role", "gram")
+    none = lambda kind: F.lit(None).cast(kind)
+    numbers = "array<array<double>>"
+    texts = _rows(docs).mapInArrow(keep, "block long, lang string, texts binary")
+    wanted = F.pmod("block", F.lit(rounds)) == turn
+    logs = logs.where(wanted)
+    if told is None:
+        texts = texts.withColumn("numbers", none(numbers))
+    else:
+        own = discounts.groupBy("_lang").agg(F.transform(F.array_sort(F.collect_list(  # a row an order
+            F.struct("_order", F.array("d1", "d2", "d3", "total", "rest")))), lambda x: x["col2"]).alias("numbers"))
+        texts = texts.join(F.broadcast(own), F.col("lang") == F.col("_lang"), "left").drop("_lang")  # a row a language
+    both = logs.select("block", F.lit(0).alias("role"), F.lit(0).cast("long").alias("place"), F.col("logs").alias("texts"),
+                       none("binary").alias("contexts"), none(numbers).alias("numbers"))
+    both = both.unionByName(texts.select("block", F.lit(2).alias("role"), F.lit(0).cast("long").alias("place"), "texts",
+                                         none("binary").alias("contexts"), "numbers"))
+    if told is not None:
+        both = both.unionByName(told.where(wanted).select("block", F.lit(1).alias("role"), (F.col("part") * (1 << 40) + F.col("shard")).alias("place"),
+                                            "texts", "contexts", none(numbers).alias("numbers")))
+    met = both.repartition("block").sortWithinPartitions("block", "role", "place")
 
     def score(batches):
-        at, codes, logs, told, known = None, [], [], [], None
+        at, value, told = None, np.zeros(0), {}
         for batch in batches:
-            block, role, gram, logp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            change = np.flatnonzero((block[1:] != block[:-1]) | (role[1:] == 1) | (role[1:] != role[:-1])) + 1
-            for first, last in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
-                if first == last:
-                    continue
-                if at != block[first]:
-                    at, codes, logs, told, known = block[first], [], [], [], None
-                if role[first] == -1:
-                    told += [_unpack(batch.column(4)[j].as_py(), 4) for j in range(first, last)]
-                    continue
-                if role[first] == 0:
-                    codes.append(gram[first:last].copy())
-                    logs.append(logp[first:last].copy())
-                    continue
-                if len(codes) != 1:
-                    codes, logs = [np.concatenate([[0], *codes])[1:]], [np.concatenate([[0.0], *logs])[1:]]
-                table, value = codes[0], logs[0]
-                if words and known is None:
-                    rows = np.concatenate(told, 1) if told else np.array([[0], *[[np.nan]] * 3]).view(np.uint64)
-                    rows = rows[:, np.argsort(rows[0].view(np.int64), kind="stable")]
-                    known, told = [rows[0].view(np.int64), *(x.view(np.float64) for x in rows[1:])], []
-                with pa.ipc.open_stream(batch.column(4)[first].as_buffer()) as texts:
-                    part = texts.read_all().combine_chunks()
-                n, total, by_words, lang = [], [], [], part.column(1)[0].as_py() or ""
-                for _, _, data, offsets in chunks(part.column(2)):
-                    size = np.diff(offsets)
-                    sums, worded = np.zeros(len(size)), np.zeros(len(size))
-                    if len(data):
-                        own = value[np.searchsorted(table, grams(data, offsets))]
-                        some = np.flatnonzero(size)
-                        sums[some] = np.add.reduceat(own, offsets[:-1][some])
-                        if words:
-                            starts, ends, _, found = word_grams(data, offsets, lang, words)
-                            if len(starts):
-                                edges = np.stack([starts, ends], 1).ravel()
-                                spelled = np.add.reduceat(np.append(own, 0.0), edges)[::2]
-                                inside = np.zeros(len(own) + 1, np.int64)
-                                np.add.at(inside, starts, 1)
-                                np.add.at(inside, ends, -1)
-                                own[np.cumsum(inside[:-1]) > 0] = 0  # a word counts at its first byte
-                                own[starts] = _word_logs(found, spelled, known[0], known[1:])
-                        worded[some] = np.add.reduceat(own, offsets[:-1][some])
-                    n += size.tolist()
-                    total += sums.tolist()
-                    by_words += (worded if words else sums).tolist()
-                per, per_worded = ([float(np.exp(-t / k)) if k else None for t, k in zip(x, n)] for x in (total, by_words))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).combine_chunks(), part.column(1).combine_chunks(), pa.array(n, pa.int64()),
-                     pa.array(per, pa.float64()), pa.array(per_worded, pa.float64())],
-                    ["doc_id", "lang", "n_bytes", "perplexity", "word_perplexity"])
+            block, role, place = (batch.column(k).to_numpy() for k in range(3))
+            for j in range(batch.num_rows):
+                if at != block[j]:
+                    at, value, told = block[j], np.zeros(0), {}
+                if role[j] == 0:
+                    value = np.frombuffer(batch.column(3)[j].as_py(), np.float64)
+                elif role[j] == 1:  # equal blocks are told the same
+                    told.setdefault(int(place[j]), (batch.column(3)[j].as_py(), batch.column(4)[j].as_py()))
+                else:
+                    with pa.ipc.open_stream(batch.column(3)[j].as_buffer()) as stream:
+                        yield scored(stream.read_all().combine_chunks(), value, told, batch.column(5)[j].as_py() or [])
+
+    def scored(part, value, told, numbers):
+        lang = part.column(1)[0].as_py() or ""
+        pieces = [(data, offsets) for _, _, data, offsets in chunks(part.column(2))]
+        table = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(grams(*x)) for x in pieces)]))
+        if words:
+            own = {}
+            for place in sorted(told):
+                own.setdefault(place >> 40, []).append([_unpack(x, n, False) for x, n in zip(told[place], (1, 4))])
+            told = {k: [np.concatenate(x, 1) for x in zip(*v)] for k, v in own.items()}
+            every = [_all_grams(*x, lang, words) for x in pieces]
+            every = [tuple(np.concatenate([x[k][i] for x in every]) for i in (0, 1)) for k in range(words)]
+            orders, done = _word_values(every, told, numbers, parts), 0
+        n, total, by_words = [], [], []
+        for data, offsets in pieces:
+            size = np.diff(offsets)
+            sums, worded = np.zeros(len(size)), np.zeros(len(size))
+            if len(data):
+                own = value[np.searchsorted(table, grams(data, offsets))]
+                some = np.flatnonzero(size)
+                sums[some] = np.add.reduceat(own, offsets[:-1][some])
+                if words:
+                    starts, ends, _ = find_words(data, offsets, _BLANK)
+                    if len(starts):
+                        own_orders = [[x[done:done + len(starts)] for x in order] for order in orders]
+                        done += len(starts)
+                        edges = np.stack([starts, ends], 1).ravel()
+                        spelled = np.add.reduceat(np.append(own, 0.0), edges)[::2]
+                        inside = np.zeros(len(own) + 1, np.int64)
+                        np.add.at(inside, starts, 1)
+                        np.add.at(inside, ends, -1)
+                        own[np.cumsum(inside[:-1]) > 0] = 0  # a word counts at its first byte
+                        own[starts] = _interpolated(own_orders, spelled)
+                worded[some] = np.add.reduceat(own, offsets[:-1][some])
+            n += size.tolist()
+            total += sums.tolist()
+            by_words += (worded if words else sums).tolist()
+        per, per_worded = ([float(np.exp(-t / k)) if k else None for t, k in zip(x, n)] for x in (total, by_words))
+        return pa.RecordBatch.from_arrays(
+            [part.column(0).combine_chunks(), part.column(1).combine_chunks(), pa.array(n, pa.int64()),
+             pa.array(per, pa.float64()), pa.array(per_worded, pa.float64())],
+            ["doc_id", "lang", "n_bytes", "perplexity", "word_perplexity"])
 
     return met.mapInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double, word_perplexity double")
 
 
+def scores_in_rounds(docs: DataFrame, trusted: DataFrame, words: int, parts: int = PARTS, rounds: int = ROUNDS) -> DataFrame:
+    """``scores`` by models of the trusted texts, some blocks at a time; each table is
+    removed after its last reader.  Few blocks are dealt with at once.
+    """
+    scratch = Scratch(docs.sparkSession)
+    logs = byte_answers(docs, train(trusted, scratch.stored), scratch)
+    scratch.removed("kn-counts", "kn-rest", "kn-seen")
+    if logs.count() <= FEW_BLOCKS:
+        parts = rounds = 1
+    told, discounts = word_answers(docs, trusted, words, scratch, parts) if words else (None, None)
+    out = [scratch.stored(scores(docs, logs, told, discounts, words, parts, rounds, k), "kn-scores")
+           for k in range(rounds)]
+    scratch.removed("kn-logs", "kn-told", "kn-discounts")
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
              calibration: float = CALIBRATION, words: int = WORDS) -> DataFrame:
     """Every row with both perplexities, their thresholds in its language, and kept.
@@ -409,8 +615,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE
     known, judges = ids.where(~apart), ids.where(apart) if calibration else ids
     known, judges = (F.broadcast(x) if small else x for x in (known, judges))
     trusted = docs.join(known, docs["doc_id"] == F.col("_id"), "left_semi")
-    word_model = train_words(trusted, words) if words else None
-    scored = stored(scores(docs, train(trusted), word_model, words), "kn-scores")
+    scored = scores_in_rounds(docs, trusted, words)
     limits = scored.join(judges, F.col("doc_id") == F.col("_id"), "left_semi").groupBy(
         F.coalesce("lang", F.lit("")).alias("_lang")).agg(
             F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"),

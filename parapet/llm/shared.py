@@ -33,6 +33,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables like those of ``stored`` that are removed once nothing reads them any more.
+
+    Shuffles of the job that writes a table are freed as it ends, so that disk is
+    that of one job and of the tables that are still needed.
+    """
+
+    FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark):
+        self.spark, self.folders = spark, {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        before = self.spark.conf.get(self.FREED, None)
+        self.spark.conf.set(self.FREED, "true")
+        path = shared_folder(self.spark, name)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(self.FREED) if before is None else self.spark.conf.set(self.FREED, before)
+        self.folders.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def removed(self, *names: str) -> None:
+        """Remove the tables of these names."""
+        for name in names:
+            for folder in self.folders.pop(name, []):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(name: str, df: DataFrame) -> str:
     """A column name that the table doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parapet.llm import html_text, language, licences, packing, quality, toxicity
+from parapet.llm import html_text, language, licences, packing, quality, shared, toxicity
 
 SCHEMA = "doc_id long, text string, lang string"
 WORDS = {"en": "the and of that with this from have ing tion".split(),
@@ -285,6 +285,29 @@ def test_quality_tells_good_words_in_a_bad_order(spark):
     assert model.count() > quality.train_words(docs.where("doc_id < 3"), quality.WORDS).count()
 
 
+def test_quality_by_parts_is_the_same_and_frees_its_tables(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("ab cd ef gh kl mn op".split()) for _ in range(rng.randrange(40))) for _ in range(60)] + [None, "zz"]
+    once = spark.createDataFrame([(i, t, ["en", "de", None][i % 3]) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    docs = once.union(once)  # equal blocks
+    trusted = once.where("doc_id % 2 = 0 AND lang IS NOT NULL")
+    folders = iter(range(1_000))
+    monkeypatch.setattr(shared, "shared_folder", lambda _, name: f"{tmp_path}/{name}-{next(folders)}")
+
+    def rows(*sizes):
+        return sorted(quality.scores_in_rounds(docs, trusted, 3, *sizes).collect(), key=lambda r: (r["doc_id"], str(r["lang"])))
+
+    whole = rows(1, 1)
+    monkeypatch.setattr(quality, "FEW_BLOCKS", 0)
+    parts = rows(4, 2)
+    assert len(whole) == len(parts) == 2 * len(texts)
+    for a, b in zip(whole, parts):
+        assert a[:3] == b[:3]
+        assert a["perplexity"] == b["perplexity"]
+        assert (a["word_perplexity"] or 0) == pytest.approx(b["word_perplexity"] or 0, rel=1e-12)
+    assert {x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()} == {"kn-scores"}
+
+
 def test_word_probabilities_add_up(spark):
     """Over all words seen after a context, with the rest left to spelling."""
     text = "a b a c a b c b a c c a"
