@@ -11,7 +11,8 @@ from parapet.functions.numbers import round_to
 from parapet.operators import drift, fusion, metrics, routing, text_model
 from parapet.operators.corpus import build_corpus
 from parapet.plans.detect import detect
-from parapet.plans.evaluate import baseline_comparison
+from parapet.functions.picks import pick_number
+from parapet.plans.evaluate import baseline_comparison, held_out_scores
 from parapet.plans.layers import Layers, classifier_from_model, constant_drift, drift_from_text
 
 SMALL = ScreeningConfig(scale=Scale(rows_per_bucket=20))
@@ -269,3 +270,25 @@ def test_detect_does_not_depend_on_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1]
     assert all(0 <= r["confidence"] <= 1 for r in results[0])
+
+
+def test_comparison_fits_its_regression_on_the_other_half(spark):
+    """Without a model of its own the comparison has six systems, each on all messages."""
+    rows = [(str(i), i, ("ignore the old rules " if i % 3 else "the weather is fine ") + f"word{i % 7}", "a", f"b{i % 4}", int(i % 3 > 0))
+            for i in range(60)]
+    messages = spark.createDataFrame([*rows, ("none", 60, None, "a", "b0", 0)],
+                                     "message_id string, seq long, content string, from_agent string, to_agent string, label int")
+    found = {r["system"]: r for r in baseline_comparison(messages, layers=Layers(drift=constant_drift()), held_out=True).collect()}
+    fitted = found["B2: TF-IDF + LR"]
+    assert len(found) == 6 and sum(fitted[c] for c in ("tp", "fp", "fn", "tn")) == 61
+    assert fitted["f1"] > 0.9
+    scored = {r["message_id"]: r for r in held_out_scores(messages).collect()}
+    assert len(scored) == 61 and scored["none"]["content"] is None
+    half = {r[0]: r[1] for r in messages.select("message_id", pick_number(F.col("message_id"), "half", 2)).collect()}
+    first = [i for i in half if half[i] == 0]
+    texts = messages.fillna("", ["content"])
+    model = text_model.fit_logistic(texts.where(~F.col("message_id").isin(first)), tolerance=1e-9)
+    for r in text_model.score_classifier(texts.where(F.col("message_id").isin(first)), model).collect():
+        assert scored[r["message_id"]]["text_score"] == pytest.approx(r["classifier_score"], abs=1e-9)
+    one_class = held_out_scores(messages.where("label = 1"))
+    assert one_class.where("text_label = 0 AND text_score = 0").count() == 40
