@@ -4,8 +4,8 @@ The model has n-grams of up to three words, per language, and below them byte
 n-grams of up to four bytes, which spell words that were not seen and what stands
 between words.  The word counts grow with the trusted text.  Counts never leave
 the cluster's tables: texts are dealt with in blocks, each block asks for
-the n-grams it holds, the distinct ones are joined with the counts, sharded by
-n-gram, and the answers go back to their blocks, where documents are scored.  Word
+the n-grams it holds, in packed rows that meet what other blocks teach of the same
+n-grams, by shards, and the answers go back to their blocks, where documents are scored.  Word
 n-grams are counted and told part by part, and a part's tables and shuffles are
 removed before the next one: all n-grams at once take many times the disk of the
 texts.  That reads the texts once a part.  A
@@ -20,40 +20,84 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from parapet.llm.shared import BLANKS, Scratch, chunks, find_words, hash_words, mix64, stored
+from parapet.llm.shared import BLANKS, Scratch, chunks, find_words, mix64, stored
 
 ORDER = 4
 WORDS = 3  # of the longest word n-gram
 BLOCK_BYTES = 8_000_000
 PIECE_BYTES = 250_000
-PARTS = 16  # of the word n-grams: one part at a time is counted and told to the blocks
+PARTS = 4  # of the longest word n-grams, a power of two: one part at a time is counted and told to the blocks
 ROUNDS = 4  # of the blocks that meet their answers at a time
 FEW_BLOCKS = 16  # up to so many, one part and one round do
 QUANTILE = 0.99
 CALIBRATION = 0.1
-SHARD_KEYS = 250_000  # of the word counts that meet the blocks' words in one piece
-MIN_BITS = 4  # of a key that name its shard
-BROADCAST_IDS = 500_000  # 8 bytes each; more are joined by shuffling
+SHARD_BYTES = 32_000_000  # of what blocks ask and teach that meets in one piece
+PACKED = 2  # bytes of that for a byte of text
+ID_BITS = 42  # of a key, which tell the n-grams of one context apart
+CODE_BITS = 4  # that name the shard of a byte n-gram
+DENSE = 1 << 23  # places of a table of byte n-grams; more are searched for
+BROADCAST_IDS = 2_000_000  # 8 bytes each; more are joined by shuffling
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values, by sorting: much faster than numpy's hash table."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The code (four bytes) of the n-gram that ends at each byte; zeros stand before a text."""
-    b = data.astype(np.int64)
-    code = b.copy()
-    place = np.arange(len(b)) - np.repeat(offsets[:-1], np.diff(offsets))
+    code = data.astype(np.uint32)
     for back in range(1, ORDER):
-        earlier = np.zeros_like(b)
-        earlier[back:] = b[:-back]
-        earlier[place < back] = 0
-        code |= earlier << (8 * back)
+        code[back:] |= data[:-back].astype(np.uint32) << np.uint32(8 * back)
+    for place in range(ORDER - 1):  # a place after the end is in a later text, which clears more
+        at = offsets[:-1] + place
+        code[at[at < len(data)]] &= np.uint32((1 << 8 * (place + 1)) - 1)
     return code
 
 
+def look_up_grams(table: np.ndarray, values: np.ndarray):
+    """A function that gives the values of codes, all of which are in the sorted ``table``.
+
+    Where few pairs of bytes occur, a code is a place in a table of first and last pairs.
+    """
+    first, last = distinct(table >> np.uint32(16)), distinct(table & np.uint32(0xFFFF))
+    if len(first) * len(last) > DENSE:
+        return lambda codes: values[np.searchsorted(table, codes)]
+    row, column = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+    row[first], column[last] = np.arange(len(first)) * len(last), np.arange(len(last))
+    place = lambda codes: row[codes >> np.uint32(16)] + column[codes & np.uint32(0xFFFF)]
+    dense = np.zeros(len(first) * len(last))
+    dense[place(table)] = values
+    return lambda codes: dense[place(codes)]
+
+
+_ID = np.uint64((1 << ID_BITS) - 1)
 _BLANK = np.isin(np.arange(256), list(BLANKS))
 
 
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight of its bytes at a time."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    lengths = ends - starts
+    out = mix64((eight[starts] & _KEPT[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    done, left = 8, np.flatnonzero(lengths > 8)
+    while len(left):
+        part = eight[starts[left] + done] & _KEPT[np.minimum(lengths[left] - done, 8)]
+        out[left] = mix64(mix64(out[left] + np.uint64(done)) ^ part)
+        done, left = done + 8, left[lengths[left] > done + 8]
+    return out
+
+
 def word_grams(data: np.ndarray, offsets: np.ndarray, lang: str, words: int) -> tuple:
     """Starts, ends and text numbers of words, and (gram, context) for orders 1 to ``words``.
 
@@ -61,7 +105,7 @@ def word_grams(data: np.ndarray, offsets: np.ndarray, lang: str, words: int) ->
     the shorter one that ends at the word before; of a single word, the language.
     """
     starts, ends, of = find_words(data, offsets, _BLANK)
-    own = hash_words(data, starts, ends)
+    own = word_hashes(data, starts, ends)
     root = np.uint64(int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little"))
     begins = np.ones(len(of), bool)
     begins[1:] = of[1:] != of[:-1]
@@ -75,16 +119,18 @@ def word_grams(data: np.ndarray, offsets: np.ndarray, lang: str, words: int) ->
     return starts, ends, of, out
 
 
-def _all_grams(data: np.ndarray, offsets: np.ndarray, lang: str, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(gram, context) of ``word_grams``, made in pieces that fit a processor's cache."""
+def _all_grams(data: np.ndarray, offsets: np.ndarray, lang: str, words: int) -> tuple:
+    """What ``word_grams`` gives, made in pieces that fit a processor's cache."""
     pieces, first = [], 0
     while first < len(offsets) - 1:
         last = max(int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, "right")) - 1, first + 1)
         own = offsets[first:last + 1]
-        pieces.append(word_grams(data[own[0]:own[-1]], own - own[0], lang, words)[-1])
+        starts, ends, of, found = word_grams(data[own[0]:own[-1]], own - own[0], lang, words)
+        pieces.append((starts + own[0], ends + own[0], of + first, found))
         first = last
     none = np.zeros(0, np.int64)
-    return [tuple(np.concatenate([none, *(p[k][i] for p in pieces)]) for i in (0, 1)) for k in range(words)]
+    return *(np.concatenate([none, *(p[k] for p in pieces)]) for k in range(3)), [
+        tuple(np.concatenate([none, *(p[3][k][i] for p in pieces)]) for i in (0, 1)) for k in range(words)]
 
 
 def _by_language(batch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
@@ -103,6 +149,14 @@ def _rows(docs: DataFrame) -> DataFrame:
                        F.col("text").alias("text"))
 
 
+def _texts(docs: DataFrame, known: Column, asked: bool = True) -> DataFrame:
+    """Rows with whether they are trusted, and whether they are to be scored.  All passes over
+    the texts read these columns, so that batches and blocks are the same in each."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"),
+        known.alias("known"), F.lit(asked).alias("asked"))
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n over all texts, pre-counted in the tasks."""
     import pyarrow as pa
@@ -112,7 +166,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             for lang, _, data, offsets in _by_language(batch):
                 codes, n = np.unique(grams(data, offsets), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(codes)), pa.array(codes), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                    [pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     return _rows(docs).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("c"))
 
@@ -160,25 +214,23 @@ def train(trusted: DataFrame, stored=stored) -> list[tuple[DataFrame, DataFrame]
     return out
 
 
-def count_words(trusted: DataFrame, words: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """lang, order, context, gram, c of the n-grams of this part.
+def count_words(trusted: DataFrame, words: int) -> DataFrame:
+    """lang, order, context, gram, c of all n-grams.
 
-    The highest order counts occurrences, lower orders distinct words before.  All
-    n-grams of a context are in one part.
+    The highest order counts occurrences, lower orders distinct words before.
     """
     import pyarrow as pa
 
     def count(batches):
         for batch in batches:
             for lang, _, data, offsets in _by_language(batch):
-                found = _all_grams(data, offsets, lang, words)
+                *_, found = _all_grams(data, offsets, lang, words)
                 for k, (gram, context) in enumerate(found, 1):
-                    own = _part(gram if k == 1 else context, parts) == part
                     longer = gram if k == words else found[k][0]  # what is counted; it holds the n-gram
-                    sub, first, n = np.unique(longer[own], return_index=True, return_counts=True)
+                    sub, first, n = np.unique(longer, return_index=True, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), pa.array(context[own][first]),
-                         pa.array(gram[own][first]), pa.array(sub if k < words else np.zeros_like(sub)), pa.array(n.astype(np.int64))],
+                        [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), pa.array(context[first]),
+                         pa.array(gram[first]), pa.array(sub if k < words else np.zeros_like(sub)), pa.array(n.astype(np.int64))],
                         ["lang", "order", "context", "gram", "longer", "n"])
 
     keys = ["lang", "order", "context", "gram"]
@@ -254,102 +306,302 @@ def _unpack(blob: bytes, columns: int, rising: bool = True) -> np.ndarray:
     return out
 
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each key, by its lowest bits; ``parts`` is a power of two."""
-    return np.ascontiguousarray(keys).view(np.uint8)[::8] & np.uint8(parts - 1)
+def _mine(keys: np.ndarray, part: int, bits: int) -> np.ndarray:
+    """Whether keys are of the part, which their first ``bits`` name."""
+    return keys >> np.uint64(64 - bits) == np.uint64(part) if bits else np.ones(len(keys), bool)
+
+
+def _shards(keys: np.ndarray, part_bits: int, bits: int) -> np.ndarray:
+    """The shard of each key of a part: the next ``bits``."""
+    return ((keys << np.uint64(part_bits)) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+
+
+def _level_keys(found: list, level: int, part: int = 0, bits: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the n-grams of so many words and of the contexts of those a word longer: the sorted
+    distinct keys of this part; of each word the place of its n-gram among them, and that of the
+    context of its longer n-gram; -1 in other parts."""
+    gram = found[level - 1][0].view(np.uint64)
+    own = np.flatnonzero(_mine(gram, part, bits))
+    if level == len(found):
+        keys, place = np.unique(gram[own], return_inverse=True)
+        rank = np.full(len(gram), -1)
+        rank[own] = place
+        return keys, rank, np.full(len(gram), -1)
+    context = found[level][1].view(np.uint64)
+    begins = np.ones(len(gram), bool)
+    begins[1:] = context[1:] != gram[:-1]
+    first = distinct(context[begins])
+    first = first[_mine(first, part, bits)]
+    keys, place = np.unique(np.concatenate([gram[own], first]), return_inverse=True)
+    rank = np.full(len(gram), -1)
+    rank[own] = place[:len(own)]
+    after = np.full(len(gram), -1)
+    after[1:] = rank[:-1]
+    after[begins] = -1
+    if len(first):
+        at = np.minimum(np.searchsorted(first, context[begins]), len(first) - 1)
+        after[begins] = np.where(first[at] == context[begins], place[len(own):][at], -1)
+    return keys, rank, after
+
+
+def _distinct(rank: np.ndarray, ids: np.ndarray, ranks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct pairs of a place and an id, and which of them each pair is."""
+    if ranks <= 1 << (64 - ID_BITS):
+        pairs, place = np.unique(rank.astype(np.uint64) << np.uint64(ID_BITS) | ids, return_inverse=True)
+        return (pairs >> np.uint64(ID_BITS)).astype(np.int64), pairs & _ID, place
+    order = np.lexsort((ids, rank))
+    new = np.ones(len(order), bool)
+    new[1:] = (rank[order][1:] != rank[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return rank[order][new].astype(np.int64), ids[order][new], place
+
+
+def _followers(found: list, after: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the longest n-grams whose contexts are in this part: the distinct ones, as places of
+    contexts and ids; the words that end one, and which of them it is.
+
+    An id is the last bits of a key: it tells the n-grams of one context apart.
+    """
+    own = np.flatnonzero(after >= 0)
+    return *_distinct(after[own], found[-1][0].view(np.uint64)[own] & _ID, keys), own
 
 
-def _word_keys(found: list, part: int, parts: int) -> tuple[list, list]:
-    """Of this part, for n-grams and for contexts: (keys, which words they are of) of each order.
-    The context of single words is left out, its numbers are the language's."""
-    grams, contexts = [], []
-    for k, (gram, context) in enumerate(found, 1):
-        own = np.flatnonzero(_part(gram if k == 1 else context, parts) == part)
-        grams.append((gram[own].view(np.uint64), own))
-        contexts.append((context[own if k > 1 else own[:0]].view(np.uint64), own if k > 1 else own[:0]))
-    return grams, contexts
+ASKED = "shard int, lang string, role int, block long, asked boolean, taught boolean, keys binary, prefixes binary, followers binary, before binary"
+TOLD = "kind int, block long, place long, lang string, n int, keys binary, followers binary, sums array<long>"
 
 
-def told_words(asked: DataFrame, counts: DataFrame, bits: int) -> DataFrame:
-    """block, shard, texts, contexts: of the keys a block asks for, in their order, packed: c of
-    n-grams; more, n1, n2, n3 of contexts; zeros for what was not seen.
+def _asking(level: int, words: int, part: int, part_bits: int, bits: int):
+    """Of each block and shard what it asks for and what its known texts teach, packed.
 
-    asked: shard (the first ``bits`` of its keys), block, grams, contexts (packed).
+    keys: the n-grams of ``level`` words; how many followers each has, and how many n-grams
+    a word longer end in it in known texts.  prefixes: the contexts of those that known
+    texts hold.  followers: of the longest n-grams ids and how often known texts hold them.
+    before: ids of the longer n-grams that are counted.
     """
     import pyarrow as pa
 
-    shard = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("shard")
-    none = lambda kind: F.lit(None).cast(kind)
-    blobs = [none("binary").alias(c) for c in ("grams", "contexts")]
-    numbers = ["more", "n1", "n2", "n3"]
-    rows = counts.select(F.col("gram").alias("key"), F.col("c").alias("more")).select(
-        shard, F.lit(0).alias("role"), "key", "more", *(F.lit(0).cast("long").alias(c) for c in numbers[1:]), *blobs)
-    sums = _contexts(counts.where("order > 1")).select(shard, F.lit(1).alias("role"), "key", *numbers, *blobs)
-    asks = asked.select("shard", F.lit(2).alias("role"), F.col("block").alias("key"), *(
-        F.lit(0).cast("long").alias(c) for c in numbers), "grams", "contexts")
-    met = rows.unionByName(sums).unionByName(asks).repartition("shard").sortWithinPartitions("shard", "role", "key")
-
-    def look_up(table, keys, columns):
-        out = [np.zeros(len(keys), np.int64) for _ in range(columns)]
-        if len(table[0]) and len(keys):
-            known = table[0].view(np.uint64)
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            seen = known[at] == keys
-            for x, values in zip(out, table[1:]):
-                x[seen] = values[at[seen]]
-        return _pack(*out, rising=False)
+    names = [x.split()[0] for x in ASKED.split(", ")]
 
-    def answer(batches):
-        at, held, tables = None, None, None
+    def ask(batches):
         for batch in batches:
-            shards, role, *values = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            edges = np.flatnonzero((shards[1:] != shards[:-1]) | (role[1:] != role[:-1])) + 1
-            blocks, own, packed = [], [], ([], [])
-            for first, last in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
-                if first == last:
+            known = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            for block, lang, _, rows, data, offsets in _named([batch]):
+                _, _, of, found = _all_grams(data, offsets, lang, words)
+                keys, rank, after = _level_keys(found, level, part, part_bits)
+                if not len(keys):
                     continue
-                if at != shards[first]:
-                    at, held, tables = shards[first], ([], []), None
-                if role[first] < 2:
-                    held[role[first]].append([x[first:last].copy() for x in values])
-                    continue
-                if tables is None:
-                    tables = [[np.concatenate(x) for x in zip(*some)] if some else [np.zeros(0, np.int64)] * 5 for some in held]
-                for j in range(first, last):
-                    blocks.append(values[0][j])
-                    own.append(at)
-                    for out, column, table, n in zip(packed, (7, 8), tables, (1, 4)):
-                        out.append(look_up(table, _unpack(batch.column(column)[j].as_py(), 1)[0], n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int64()), pa.array(own, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)],
-                ["block", "shard", "texts", "contexts"])
+                taught = known[rows][of]
+                held = np.flatnonzero(taught & (rank >= 0))
+                none, nothing = np.zeros(0, np.uint64), np.zeros(len(keys), np.int64)
+                follows = follower = before = prefix = none
+                n = many = ends = nothing
+                if level == words - 1:
+                    follows, follower, place, own = _followers(found, after, len(keys))
+                    many = np.bincount(follows, minlength=len(keys))
+                    n = np.bincount(place, weights=taught[own], minlength=len(follower)).astype(np.int64)
+                if words == 1:
+                    ends = np.bincount(rank[held], minlength=len(keys))
+                elif len(held):
+                    tails, before, _ = _distinct(rank[held], found[level][0].view(np.uint64)[held] & _ID, len(keys))
+                    ends = np.bincount(tails, minlength=len(keys))
+                if level > 1:
+                    prefix = np.zeros(len(keys), np.uint64)
+                    prefix[rank[held]] = found[level - 1][1].view(np.uint64)[held]
+                shards = _shards(keys, part_bits, bits)
+                own = distinct(shards)
+                cuts = np.searchsorted(shards, [*own.tolist(), own[-1] + 1])
+                to_follower, to_before = (np.concatenate([[0], np.cumsum(x)]) for x in (many, ends))
+                out = [[], [], [], []]
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    f, g = slice(to_follower[a], to_follower[b]), slice(to_before[a], to_before[b])
+                    out[0].append(_pack(keys[a:b], many[a:b].astype(np.int64), ends[a:b].astype(np.int64)))
+                    out[1].append(_pack(prefix[a:b][ends[a:b] > 0], rising=False) if level > 1 else b"")
+                    out[2].append(_pack(follower[f], n[f], rising=False) if level == words - 1 else b"")
+                    out[3].append(_pack(before[g], rising=False) if words > 1 else b"")
+                some = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), pa.array([lang] * some), pa.array(np.ones(some, np.int32)), pa.array(np.full(some, block)),
+                     pa.array([bool(batch.column(4)[0].as_py())] * some), pa.array([bool(len(held) or n.any())] * some),
+                     *(pa.array(x, pa.binary()) for x in out)], names)
+    return ask
+
+
+def _summed(part: int, part_bits: int, bits: int):
+    """Rows of the contexts' sums that the longer n-grams gave, by part and shard."""
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in ASKED.split(", ")]
+
+    def split(batches):
+        for batch in batches:
+            for lang, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                table = _unpack(blob.as_py(), 5)
+                table = table[:, _mine(table[0], part, part_bits)]
+                shards = _shards(table[0], part_bits, bits)
+                own = distinct(shards)
+                packed = [_pack(*table[:, a:b]) for a, b in zip(np.searchsorted(shards, own), np.searchsorted(shards, own, "right"))]
+                some, empty = len(own), pa.array([b""] * len(own), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), pa.array([lang] * some, pa.string()), pa.array(np.zeros(some, np.int32)), pa.array(np.zeros(some, np.int64)),
+                     pa.array([False] * some, pa.bool_()), pa.array([False] * some, pa.bool_()), pa.array(packed, pa.binary()), empty, empty, empty], names)
+    return split
+
+
+def _classes(c: np.ndarray) -> list[int]:
+    """n1 to n4, more, total: how many counts are 1 to 4, or more, and their sum."""
+    n = np.bincount(np.minimum(c, 5), minlength=6)
+    return [*(int(x) for x in n[1:6]), int(c.sum())]
+
+
+def _by_key(keys: np.ndarray, c: np.ndarray, size: int) -> list[np.ndarray]:
+    """Of each place in ``keys``: more, n1, n2, n3 over its counts."""
+    return [np.bincount(keys, weights=x, minlength=size).astype(np.int64) for x in (np.maximum(c - 3, 0), c == 1, c == 2, c >= 3)]
 
-    return met.mapInArrow(answer, "block long, shard long, texts binary, contexts binary")
 
+def _told_shard(level: int, words: int, sums: list[bytes], blobs: list[tuple]) -> tuple[list, list, list]:
+    """A language's shard: (block, keys, followers) of the blocks that ask, packed; (n, classes);
+    and the sums of the contexts, packed.
 
-def _word_values(found: list, told: dict[int, list[np.ndarray]], numbers: list, parts: int) -> list[list[np.ndarray]]:
-    """Of each order num, total and rest of every word, from what the block was told of each part;
-    not a number where nothing was seen.
+    Told are of a key its count, and more, n1, n2, n3 of the n-grams it is the context of; of a
+    follower its count.  Zeros for what was not seen.
+    """
+    none, nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    cat = lambda x, empty: np.concatenate([empty, *x])
+    taught = [(_unpack(keys, 3), prefixes, followers, before) for _, _, known, keys, prefixes, followers, before in blobs if known]
+    table = distinct(cat((x[0] for x, *_ in taught), none))
+    at = [np.searchsorted(table, x[0]) for x, *_ in taught]
+    counts, classes, passed = np.zeros(len(table), np.int64), [], []
+    if words == 1:
+        for place, (x, *_) in zip(at, taught):
+            counts[place] += x[2].view(np.int64)
+    else:
+        tails = cat((np.repeat(place, x[2].view(np.int64)) for place, (x, *_) in zip(at, taught)), nothing)
+        tails, *_ = _distinct(tails, cat((_unpack(x[3], 1, False)[0] for x in taught), none), len(table))
+        counts = np.bincount(tails, minlength=len(table))
+    context, follows, follower, held = [np.zeros(len(table), np.int64) for _ in range(4)], nothing, none, nothing
+    if level == words - 1:
+        pairs = [_unpack(x[2], 2, False) for x in taught]
+        own = cat((np.repeat(place, x[1].view(np.int64))[y[1] > 0] for place, (x, *_), y in zip(at, taught, pairs)), nothing)
+        follows, follower, place = _distinct(own, cat((y[0][y[1] > 0] for y in pairs), none), len(table))
+        held = np.bincount(place, weights=cat((y[1][y[1] > 0].view(np.int64) for y in pairs), nothing), minlength=len(follower)).astype(np.int64)
+        context = _by_key(follows, held, len(table))
+        classes.append((words, _classes(held)))
+    classes.append((level, _classes(counts[counts > 0])))
+    if level > 1:
+        prefix = np.zeros(len(table), np.uint64)
+        for place, (x, prefixes, *_) in zip(at, taught):
+            prefix[place[x[2] > 0]] = _unpack(prefixes, 1, False)[0]
+        lower, place = np.unique(prefix[counts > 0], return_inverse=True)
+        if len(lower):
+            passed = [_pack(lower, *_by_key(place, counts[counts > 0], len(lower)))]
+    lower = [_unpack(x, 5) for x in sums]
+    above, place = np.unique(cat((x[0] for x in lower), none), return_inverse=True)
+    above_sums = [np.bincount(place, weights=cat((x[k].view(np.int64) for x in lower), nothing), minlength=len(above)).astype(np.int64) for k in range(1, 5)]
+
+    def look_up(known, keys, columns):
+        if not len(known):
+            return [np.zeros(len(keys), np.int64) for _ in columns], np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        seen = known[place] == keys
+        return [np.where(seen, x[place], 0) for x in columns], np.where(seen, place, -1)
+
+    pairs = follows.astype(np.uint64) << np.uint64(ID_BITS) | follower if len(table) <= 1 << (64 - ID_BITS) else None
+    where = np.searchsorted(follows, np.arange(len(table) + 1)) if pairs is None else None
+    told = []
+    for block, asks, _, keys, _, followers, _ in blobs:
+        if not asks:
+            continue
+        x = _unpack(keys, 3)
+        (c, *own), place = look_up(table, x[0], [counts, *context])
+        if level < words - 1:
+            own, _ = look_up(above, x[0], above_sums)
+        answer = b""
+        if level == words - 1:
+            ids = _unpack(followers, 2, False)[0]
+            of = np.repeat(place, x[1].view(np.int64))
+            c_follower = np.zeros(len(ids), np.int64)
+            some = np.flatnonzero(of >= 0)
+            if pairs is not None:
+                (c_follower[some],), _ = look_up(pairs, of[some].astype(np.uint64) << np.uint64(ID_BITS) | ids[some], [held])
+            else:
+                for k in some.tolist():
+                    a, b = where[of[k]], where[of[k] + 1]
+                    j = a + int(np.searchsorted(follower[a:b], ids[k]))
+                    c_follower[k] = held[j] if j < b and follower[j] == ids[k] else 0
+            answer = _pack(c_follower, rising=False)
+        told.append((block, _pack(c, *own, rising=False), answer))
+    return told, classes, passed
+
+
+def told_words(asked: DataFrame, level: int, words: int, part: int, shards: int) -> DataFrame:
+    """What all shards tell (kind 0), the classes of counts (1), the sums of shorter contexts (2)."""
+    import pyarrow as pa
+
+    def answer(batches):
+        at, sums, blobs = None, [], []
+
+        def rows():
+            told, classes, passed = _told_shard(level, words, sums, blobs)
+            place = (level << 56) + (part << 40) + at[0]
+            out = [(0, block, place, at[1], 0, keys, followers, None) for block, keys, followers in told]
+            out += [(1, 0, place, at[1], n, None, None, numbers) for n, numbers in classes]
+            out += [(2, 0, place, at[1], 0, blob, None, None) for blob in passed]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], [x.split()[0] for x in TOLD.split(", ")])
 
+        for batch in batches:
+            shard, lang, role = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for j in range(batch.num_rows):
+                if at != (shard[j], lang[j]):
+                    if at is not None:
+                        yield rows()
+                    at, sums, blobs = (shard[j], lang[j]), [], []
+                if role[j] == 0:
+                    sums.append(batch.column(6)[j].as_py())
+                else:
+                    blobs.append(tuple(batch.column(k)[j].as_py() for k in range(3, 10)))
+        if at is not None:
+            yield rows()
+
+    met = asked.repartition(shards, "shard", "lang").sortWithinPartitions("shard", "lang", "role")
+    return met.mapInArrow(answer, TOLD)
+
+
+def _word_values(found: list, told: dict[int, list[np.ndarray]], numbers: list) -> list[list[np.ndarray]]:
+    """Of each order num, total and rest of every word, from what the block was told of each
+    level; not a number where nothing was seen.
+
+    told: of a level the numbers of its keys, and those of the followers.
     numbers: of each order d1, d2, d3, total, rest; empty if the language has no trusted words.
     """
-    out = [[np.full(len(found[0][0]), np.nan) for _ in range(3)] for _ in found]
-    if not numbers:
+    size, words = len(found[0][0]), len(found)
+    out = [[np.full(size, np.nan) for _ in range(3)] for _ in found]
+    if not numbers or not size:
         return out
     out[0][1][:], out[0][2][:] = numbers[0][3:]
-    for part, answers in told.items():
-        for kind, (asked, answer) in enumerate(zip(_word_keys(found, part, parts), answers)):
-            _, place = np.unique(np.concatenate([x for x, _ in asked]), return_inverse=True)
-            ends = np.cumsum([len(x) for x, _ in asked])
-            for (_, own), end, values, (d1, d2, d3, *_) in zip(asked, ends, out, numbers):
-                x = answer[:, place[end - len(own):end]].view(np.int64)
-                total = x[0] + (x[1] + 2 * x[2] + 3 * x[3] if kind else 0)
-                own, x, total = own[total > 0], x[:, total > 0], total[total > 0]
-                if kind == 0:
-                    values[0][own] = total - np.array([0, d1, d2, d3])[np.minimum(total, 3)]
-                else:
-                    values[1][own] = total
-                    values[2][own] = (x[1] * d1 + x[2] * d2 + x[3] * d3) / total
+
+    def num(order, c):
+        return np.where(c > 0, c - np.array([0, *numbers[order - 1][:3]])[np.minimum(c, 3)], np.nan)
+
+    for level in range(1, max(words, 2)):
+        keys, rank, after = _level_keys(found, level)
+        answers, followers = told[level]
+        if answers.shape[1] != len(keys):
+            raise ValueError(f"a block asked for {len(keys)} n-grams and was told of {answers.shape[1]}")
+        out[level - 1][0] = num(level, answers[0])[rank]
+        if level < words:
+            d1, d2, d3, *_ = numbers[level]
+            more, n1, n2, n3 = answers[1:]
+            total = (more + n1 + 2 * n2 + 3 * n3).astype(float)
+            total[total == 0] = np.nan
+            out[level][1:] = total[after], ((n1 * d1 + n2 * d2 + n3 * d3) / total)[after]
+        if level == words - 1:
+            ids, _, place, own = _followers(found, after, len(keys))  # all words, as all contexts are asked for
+            if len(ids) != followers.shape[1] or len(own) != size:
+                raise ValueError("a block was told of other n-grams than it asked for")
+            out[level][0] = num(words, followers[0])[place]
     return out
 
 
@@ -401,84 +653,104 @@ def _named(batches):
             yield int.from_bytes(h.digest(), "little", signed=True), lang, batch, rows, data, offsets
 
 
-def byte_answers(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], scratch: Scratch) -> DataFrame:
-    """block, logs: what the sorted distinct byte n-grams of a block cost, as bytes of doubles."""
+def _code_shards(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of each byte n-gram."""
+    return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def byte_answers(texts: DataFrame, model: list[tuple[DataFrame, DataFrame]], scratch: Scratch) -> DataFrame:
+    """block, shard, logs: what the sorted distinct byte n-grams of a block cost, as bytes of
+    doubles, by shard.
+
+    Blocks ask in packed rows; a row for each n-gram is made of the distinct ones only.
+    """
     import pyarrow as pa
 
     def ask(batches):
         for block, lang, _, _, data, offsets in _named(batches):
-            codes = np.unique(grams(data, offsets))
+            codes = distinct(grams(data, offsets))
+            shards = _code_shards(codes, CODE_BITS)
+            own = distinct(shards)
+            packed = [_pack(codes[shards == x].astype(np.uint64)) for x in own.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(codes), block)), pa.array([lang] * len(codes), pa.string()), pa.array(codes)],
-                ["block", "lang", "gram"])
+                [pa.array(np.full(len(own), block)), pa.array([lang] * len(own), pa.string()), pa.array(own), pa.array(packed, pa.binary())],
+                ["block", "lang", "shard", "codes"])
 
-    def joined(batches):
-        at, codes, logs = None, [], []
+    def names(batches):
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), object)
+            for lang in sorted(set(langs)):
+                own = distinct(np.concatenate([_unpack(batch.column(1)[j].as_py(), 1)[0] for j in np.flatnonzero(langs == lang).tolist()]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64))], ["lang", "gram"])
 
-        def row():
-            values, first = np.unique(np.concatenate(codes), return_index=True)  # equal blocks ask twice
-            return pa.RecordBatch.from_arrays(
-                [pa.array([at], pa.int64()), pa.array([np.concatenate(logs)[first].tobytes()], pa.binary())], ["block", "logs"])
+    def number(batches):
+        for batch in batches:
+            shards = _code_shards(batch.column(1).to_numpy(), CODE_BITS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards)], ["lang", "gram", "logp", "shard"])
 
+    def answer(batches):
+        at, known = None, []
         for batch in batches:
-            block, gram, logp = (batch.column(k).to_numpy() for k in range(3))
-            edges = np.flatnonzero(block[1:] != block[:-1]) + 1
-            for first, last in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
-                if first == last:
+            lang, shard = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            role, gram, logp = (batch.column(k).to_numpy() for k in (2, 3, 4))
+            codes, out = batch.column(5), []
+            new = np.ones(len(role), bool)
+            new[1:] = (shard[1:] != shard[:-1]) | (role[1:] != role[:-1])
+            new[1:] |= np.array([a != b for a, b in zip(lang[1:], lang[:-1])], bool)
+            edges = np.flatnonzero(new).tolist()
+            for first, last in zip(edges, [*edges[1:], len(role)]):
+                if at != (lang[first], shard[first]):
+                    at, known = (lang[first], shard[first]), []
+                if role[first] == 0:
+                    known.append((gram[first:last].copy(), logp[first:last].copy()))
                     continue
-                if codes and at != block[first]:
-                    yield row()
-                    codes, logs = [], []
-                at = int(block[first])
-                codes.append(gram[first:last].copy())
-                logs.append(logp[first:last].copy())
-        if codes:
-            yield row()
-
-    asked = scratch.stored(_rows(docs).mapInArrow(ask, "block long, lang string, gram long"), "kn-asked")
-    known = scratch.stored(probabilities(asked.select("lang", "gram").distinct(), model), "kn-known")
-    met = asked.join(known, ["lang", "gram"]).select("block", "gram", "logp").repartition("block").sortWithinPartitions("block")
-    answers = scratch.stored(met.mapInArrow(joined, "block long, logs binary"), "kn-logs")
+                table, logs = (np.concatenate(x) for x in zip(*known))
+                for j in range(first, last):
+                    asked = _unpack(codes[j].as_py(), 1)[0].view(np.int64)
+                    out.append((gram[j], shard[j], logs[np.searchsorted(table, asked)].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["block", "shard", "logs"])
+
+    asked = scratch.stored(texts.mapInArrow(ask, "block long, lang string, shard int, codes binary"), "kn-asked")
+    wanted = asked.select("lang", "codes").mapInArrow(names, "lang string, gram long").distinct()
+    known = scratch.stored(probabilities(wanted, model).mapInArrow(number, "lang string, gram long, logp double, shard int"), "kn-known")
+    both = known.select("lang", "shard", F.lit(0).alias("role"), "gram", "logp", F.lit(None).cast("binary").alias("codes")).unionByName(
+        asked.select("lang", "shard", F.lit(1).alias("role"), F.col("block").alias("gram"), F.lit(0.0).alias("logp"), "codes"))
+    met = both.repartition("lang", "shard").sortWithinPartitions("lang", "shard", "role", "gram")
+    answers = scratch.stored(met.mapInArrow(answer, "block long, shard int, logs binary"), "kn-logs")
     scratch.removed("kn-asked", "kn-known")
     return answers
 
 
-def word_answers(docs: DataFrame, trusted: DataFrame, words: int, scratch: Scratch, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
-    """What ``told_words`` gives, with its part, and the discounts of each order.
+def word_answers(texts: DataFrame, words: int, scratch: Scratch, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
+    """What ``told_words`` tells the blocks, and the discounts of each order.
 
-    One part of the n-grams at a time is counted and told; its counts are then removed.
+    One part of the n-grams at a time is asked for, counted and told: the longest and their
+    contexts first, then what is shorter.
     """
-    import pyarrow as pa
-
-    def asking(part, bits):
-        def ask(batches):
-            for block, lang, _, _, data, offsets in _named(batches):
-                keys = [np.unique(np.concatenate([x for x, _ in some]))
-                        for some in _word_keys(_all_grams(data, offsets, lang, words), part, parts)]
-                shards = [(x >> np.uint64(64 - bits)).astype(np.int32) for x in keys]
-                own = np.unique(np.concatenate(shards))
-                packed = [[_pack(x[a:b]) for a, b in zip(np.searchsorted(y, own), np.searchsorted(y, own, "right"))]
-                          for x, y in zip(keys, shards)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array(np.full(len(own), block)), *(pa.array(x, pa.binary()) for x in packed)],
-                    ["shard", "block", "grams", "contexts"])
-        return ask
-
-    told, sums = [], []
-    for part in range(parts):
-        counts = scratch.stored(count_words(trusted, words, part, parts), "kn-words")
-        sums.append(scratch.stored(_count_sums(counts).coalesce(1), "kn-sums"))
-        bits = max(MIN_BITS, int(np.ceil(np.log2(max(1, counts.count()) / SHARD_KEYS))))
-        asked = _rows(docs).mapInArrow(asking(part, bits), "shard int, block long, grams binary, contexts binary")
-        told.append(scratch.stored(told_words(asked, counts, bits), "kn-told").withColumn("part", F.lit(part)))
-        scratch.removed("kn-words")
-    discounts = scratch.stored(_word_discounts(functools.reduce(DataFrame.unionByName, sums)), "kn-discounts")
-    scratch.removed("kn-sums")
-    return functools.reduce(DataFrame.unionByName, told), discounts
-
-
-def scores(docs: DataFrame, logs: DataFrame, told: DataFrame | None = None, discounts: DataFrame | None = None,
-           words: int = 0, parts: int = PARTS, rounds: int = 1, turn: int = 0) -> DataFrame:
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    told, passed = [], []
+    for level in range(max(words - 1, 1), 0, -1):
+        own = parts if level > 1 or words < 3 else max(1, parts // 4)
+        part_bits, sums, passed = own.bit_length() - 1, passed, []
+        shards = max(1, int(np.ceil(size * PACKED / own / SHARD_BYTES)))
+        bits = (shards - 1).bit_length()
+        for part in range(own):
+            asked = texts.mapInArrow(_asking(level, words, part, part_bits, bits), ASKED)
+            for lower in sums:
+                asked = asked.unionByName(lower.mapInArrow(_summed(part, part_bits, bits), ASKED))
+            told.append(scratch.stored(told_words(asked, level, words, part, 1 << bits), "kn-told"))
+            passed.append(told[-1].where("kind = 2").select("lang", "keys"))
+    every = functools.reduce(DataFrame.unionByName, told)
+    sums = every.where("kind = 1").select("lang", F.col("n").alias("order"), *(
+        F.col("sums")[k].alias(c) for k, c in enumerate(("n1", "n2", "n3", "n4", "more", "total"))))
+    discounts = scratch.stored(_word_discounts(sums).where("total > 0"), "kn-discounts")
+    return every.where("kind = 0").select("block", "place", "keys", "followers"), discounts
+
+
+def scores(texts: DataFrame, logs: DataFrame, told: DataFrame | None = None, discounts: DataFrame | None = None,
+           words: int = 0, rounds: int = 1, turn: int = 0) -> DataFrame:
     """doc_id, lang, n_bytes, and of every row what a byte costs (null for an empty text):
     perplexity by the byte n-grams alone, word_perplexity with the word n-grams on top.
 
@@ -491,7 +763,7 @@ def scores(docs: DataFrame, logs: DataFrame, told: DataFrame | None = None, disc
             if block % rounds != turn:
                 continue
             sink = pa.BufferOutputStream()
-            part = batch.take(pa.array(rows))
+            part = batch.select([0, 1, 2]).take(pa.array(rows))
             with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(part)
             yield pa.RecordBatch.from_arrays(
@@ -499,7 +771,7 @@ def scores(docs: DataFrame, logs: DataFrame, told: DataFrame | None = None, disc
 
     none = lambda kind: F.lit(None).cast(kind)
     numbers = "array<array<double>>"
-    texts = _rows(docs).mapInArrow(keep, "block long, lang string, texts binary")
+    texts = texts.mapInArrow(keep, "block long, lang string, texts binary")
     wanted = F.pmod("block", F.lit(rounds)) == turn
     logs = logs.where(wanted)
     if told is None:
@@ -508,24 +780,24 @@ def scores(docs: DataFrame, logs: DataFrame, told: DataFrame | None = None, disc
         own = discounts.groupBy("_lang").agg(F.transform(F.array_sort(F.collect_list(  # a row an order
             F.struct("_order", F.array("d1", "d2", "d3", "total", "rest")))), lambda x: x["col2"]).alias("numbers"))
         texts = texts.join(F.broadcast(own), F.col("lang") == F.col("_lang"), "left").drop("_lang")  # a row a language
-    both = logs.select("block", F.lit(0).alias("role"), F.lit(0).cast("long").alias("place"), F.col("logs").alias("texts"),
+    both = logs.select("block", F.lit(0).alias("role"), F.col("shard").cast("long").alias("place"), F.col("logs").alias("texts"),
                        none("binary").alias("contexts"), none(numbers).alias("numbers"))
     both = both.unionByName(texts.select("block", F.lit(2).alias("role"), F.lit(0).cast("long").alias("place"), "texts",
                                          none("binary").alias("contexts"), "numbers"))
     if told is not None:
-        both = both.unionByName(told.where(wanted).select("block", F.lit(1).alias("role"), (F.col("part") * (1 << 40) + F.col("shard")).alias("place"),
-                                            "texts", "contexts", none(numbers).alias("numbers")))
+        both = both.unionByName(told.where(wanted).select("block", F.lit(1).alias("role"), "place", F.col("keys").alias("texts"),
+                                                         F.col("followers").alias("contexts"), none(numbers).alias("numbers")))
     met = both.repartition("block").sortWithinPartitions("block", "role", "place")
 
     def score(batches):
-        at, value, told = None, np.zeros(0), {}
+        at, value, told = None, {}, {}
         for batch in batches:
             block, role, place = (batch.column(k).to_numpy() for k in range(3))
             for j in range(batch.num_rows):
                 if at != block[j]:
-                    at, value, told = block[j], np.zeros(0), {}
+                    at, value, told = block[j], {}, {}
                 if role[j] == 0:
-                    value = np.frombuffer(batch.column(3)[j].as_py(), np.float64)
+                    value[int(place[j])] = np.frombuffer(batch.column(3)[j].as_py(), np.float64)
                 elif role[j] == 1:  # equal blocks are told the same
                     told.setdefault(int(place[j]), (batch.column(3)[j].as_py(), batch.column(4)[j].as_py()))
                 else:
@@ -535,34 +807,38 @@ def scores(docs: DataFrame, logs: DataFrame, told: DataFrame | None = None, disc
     def scored(part, value, told, numbers):
         lang = part.column(1)[0].as_py() or ""
         pieces = [(data, offsets) for _, _, data, offsets in chunks(part.column(2))]
-        table = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(grams(*x)) for x in pieces)]))
+        codes = [grams(*x) for x in pieces]
+        table = distinct(np.concatenate([np.zeros(0, np.uint32), *(distinct(x) for x in codes)]))
+        shards, logs = _code_shards(table, CODE_BITS), np.zeros(len(table))
+        for k, x in value.items():
+            logs[shards == k] = x
+        cost = look_up_grams(table, logs)
         if words:
-            own = {}
+            levels = {}
             for place in sorted(told):
-                own.setdefault(place >> 40, []).append([_unpack(x, n, False) for x, n in zip(told[place], (1, 4))])
-            told = {k: [np.concatenate(x, 1) for x in zip(*v)] for k, v in own.items()}
+                keys, followers = told[place]
+                levels.setdefault(place >> 56, []).append(
+                    (_unpack(keys, 5, False).view(np.int64), _unpack(followers or bytes(8), 1, False).view(np.int64)))
+            told = {k: [np.concatenate(x, 1) for x in zip(*v)] for k, v in levels.items()}
             every = [_all_grams(*x, lang, words) for x in pieces]
-            every = [tuple(np.concatenate([x[k][i] for x in every]) for i in (0, 1)) for k in range(words)]
-            orders, done = _word_values(every, told, numbers, parts), 0
+            found = [tuple(np.concatenate([x[3][k][i] for x in every]) for i in (0, 1)) for k in range(words)]
+            orders, done = _word_values(found, told, numbers), 0
         n, total, by_words = [], [], []
-        for data, offsets in pieces:
+        for j, ((data, offsets), own_codes) in enumerate(zip(pieces, codes)):
             size = np.diff(offsets)
             sums, worded = np.zeros(len(size)), np.zeros(len(size))
             if len(data):
-                own = value[np.searchsorted(table, grams(data, offsets))]
+                own = cost(own_codes)
                 some = np.flatnonzero(size)
                 sums[some] = np.add.reduceat(own, offsets[:-1][some])
                 if words:
-                    starts, ends, _ = find_words(data, offsets, _BLANK)
+                    starts, ends, *_ = every[j]
                     if len(starts):
                         own_orders = [[x[done:done + len(starts)] for x in order] for order in orders]
                         done += len(starts)
                         edges = np.stack([starts, ends], 1).ravel()
                         spelled = np.add.reduceat(np.append(own, 0.0), edges)[::2]
-                        inside = np.zeros(len(own) + 1, np.int64)
-                        np.add.at(inside, starts, 1)
-                        np.add.at(inside, ends, -1)
-                        own[np.cumsum(inside[:-1]) > 0] = 0  # a word counts at its first byte
+                        own[~_BLANK[data]] = 0  # a word counts at its first byte
                         own[starts] = _interpolated(own_orders, spelled)
                 worded[some] = np.add.reduceat(own, offsets[:-1][some])
             n += size.tolist()
@@ -577,18 +853,23 @@ def scores(docs: DataFrame, logs: DataFrame, told: DataFrame | None = None, disc
     return met.mapInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double, word_perplexity double")
 
 
-def scores_in_rounds(docs: DataFrame, trusted: DataFrame, words: int, parts: int = PARTS, rounds: int = ROUNDS) -> DataFrame:
+def scores_in_rounds(docs: DataFrame, trusted: DataFrame, words: int, parts: int = PARTS, rounds: int = ROUNDS,
+                     known: str | None = None) -> DataFrame:
     """``scores`` by models of the trusted texts, some blocks at a time; each table is
     removed after its last reader.  Few blocks are dealt with at once.
+
+    known: the column of ``docs`` that marks the trusted ones, if there is one; else these are
+    read beside them.
     """
     scratch = Scratch(docs.sparkSession)
-    logs = byte_answers(docs, train(trusted, scratch.stored), scratch)
+    texts = _texts(docs, F.col(known) if known else F.lit(False))
+    logs = byte_answers(texts, train(trusted, scratch.stored), scratch)
     scratch.removed("kn-counts", "kn-rest", "kn-seen")
-    if logs.count() <= FEW_BLOCKS:
+    if logs.select("block").distinct().count() <= FEW_BLOCKS:
         parts = rounds = 1
-    told, discounts = word_answers(docs, trusted, words, scratch, parts) if words else (None, None)
-    out = [scratch.stored(scores(docs, logs, told, discounts, words, parts, rounds, k), "kn-scores")
-           for k in range(rounds)]
+    taught = texts if known else texts.unionByName(_texts(trusted, F.lit(True), False))
+    told, discounts = word_answers(taught, words, scratch, parts) if words else (None, None)
+    out = [scratch.stored(scores(texts, logs, told, discounts, words, rounds, k), "kn-scores") for k in range(rounds)]
     scratch.removed("kn-logs", "kn-told", "kn-discounts")
     return functools.reduce(DataFrame.unionByName, out)
 
@@ -615,7 +896,11 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE
     known, judges = ids.where(~apart), ids.where(apart) if calibration else ids
     known, judges = (F.broadcast(x) if small else x for x in (known, judges))
     trusted = docs.join(known, docs["doc_id"] == F.col("_id"), "left_semi")
-    scored = scores_in_rounds(docs, trusted, words)
+    if small:
+        marked = docs.join(known, docs["doc_id"] == F.col("_id"), "left").select(*docs.columns, F.col("_id").isNotNull().alias("_known"))
+        scored = scores_in_rounds(marked, trusted, words, known="_known")
+    else:  # a join would shuffle the texts
+        scored = scores_in_rounds(docs, trusted, words)
     limits = scored.join(judges, F.col("doc_id") == F.col("_id"), "left_semi").groupBy(
         F.coalesce("lang", F.lit("")).alias("_lang")).agg(
             F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"),
