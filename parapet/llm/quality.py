@@ -22,15 +22,15 @@ from hashlib import blake2b
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parapet.llm.shared import BLANKS, Scratch, chunks, find_words, mix64, stored
+from parapet.llm.shared import BLANKS, Scratch, chunks, mix64, stored
 
 ORDER = 4
 WORDS = 3  # of the longest word n-gram
 BLOCK_BYTES = 8_000_000
 PIECE_BYTES = 250_000
 PARTS = 4  # of the longest word n-grams, a power of two: one part at a time is counted and told to the blocks
-ROUNDS = 4  # of the blocks that meet their answers at a time
-FEW_BLOCKS = 16  # up to so many, one part and one round do
+ROUNDS = 3  # of the blocks that meet their answers at a time
+FEW_BLOCKS = 4  # up to the bytes of so many, one part and one round do
 QUANTILE = 0.99
 CALIBRATION = 0.1
 SHARD_BYTES = 32_000_000  # of what blocks ask and teach that meets in one piece
@@ -80,6 +80,23 @@ _ID = np.uint64((1 << ID_BITS) - 1)
 _BLANK = np.isin(np.arange(256), list(BLANKS))
 
 
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the words: ``find_words`` for words between ``BLANKS``."""
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    inside = (data != 0x20) & (data - np.uint8(9) > 4)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    turns = edge[1:-1] | (inside[1:] != inside[:-1])  # where a word or a gap ends
+    begins, finishes = inside.copy(), inside.copy()
+    begins[1:] &= turns
+    finishes[:-1] &= turns
+    starts = np.flatnonzero(begins)
+    places = np.searchsorted(starts, offsets)
+    return starts, np.flatnonzero(finishes) + 1, np.repeat(np.arange(len(offsets) - 1), np.diff(places))
+
+
 _KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
@@ -104,7 +121,7 @@ def word_grams(data: np.ndarray, offsets: np.ndarray, lang: str, words: int) ->
     Keys are 64-bit hashes with the language in them.  The context of an n-gram is
     the shorter one that ends at the word before; of a single word, the language.
     """
-    starts, ends, of = find_words(data, offsets, _BLANK)
+    starts, ends, of = words_of(data, offsets)
     own = word_hashes(data, starts, ends)
     root = np.uint64(int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little"))
     begins = np.ones(len(of), bool)
@@ -387,7 +404,7 @@ def _asking(level: int, words: int, part: int, part_bits: int, bits: int):
         for batch in batches:
             known = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
             for block, lang, _, rows, data, offsets in _named([batch]):
-                _, _, of, found = _all_grams(data, offsets, lang, words)
+                _, _, of, found = _all_grams(data, offsets, lang, min(level + 1, words))
                 keys, rank, after = _level_keys(found, level, part, part_bits)
                 if not len(keys):
                     continue
@@ -723,24 +740,23 @@ def byte_answers(texts: DataFrame, model: list[tuple[DataFrame, DataFrame]], scr
     return answers
 
 
-def word_answers(texts: DataFrame, words: int, scratch: Scratch, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
+def word_answers(texts: list[DataFrame], words: int, size: int, scratch: Scratch, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
     """What ``told_words`` tells the blocks, and the discounts of each order.
 
     One part of the n-grams at a time is asked for, counted and told: the longest and their
-    contexts first, then what is shorter.
+    contexts first, then what is shorter.  size: bytes of the texts.  Tables of texts are
+    read one by one: a union may join their partitions, and so their blocks.
     """
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     told, passed = [], []
     for level in range(max(words - 1, 1), 0, -1):
-        own = parts if level > 1 or words < 3 else max(1, parts // 4)
+        own = parts if level > 1 or words < 3 else max(1, parts // 2)
         part_bits, sums, passed = own.bit_length() - 1, passed, []
         shards = max(1, int(np.ceil(size * PACKED / own / SHARD_BYTES)))
         bits = (shards - 1).bit_length()
         for part in range(own):
-            asked = texts.mapInArrow(_asking(level, words, part, part_bits, bits), ASKED)
-            for lower in sums:
-                asked = asked.unionByName(lower.mapInArrow(_summed(part, part_bits, bits), ASKED))
-            told.append(scratch.stored(told_words(asked, level, words, part, 1 << bits), "kn-told"))
+            asked = [x.mapInArrow(_asking(level, words, part, part_bits, bits), ASKED) for x in texts]
+            asked += [x.mapInArrow(_summed(part, part_bits, bits), ASKED) for x in sums]
+            told.append(scratch.stored(told_words(functools.reduce(DataFrame.unionByName, asked), level, words, part, 1 << bits), "kn-told"))
             passed.append(told[-1].where("kind = 2").select("lang", "keys"))
     every = functools.reduce(DataFrame.unionByName, told)
     sums = every.where("kind = 1").select("lang", F.col("n").alias("order"), *(
@@ -863,12 +879,13 @@ def scores_in_rounds(docs: DataFrame, trusted: DataFrame, words: int, parts: int
     """
     scratch = Scratch(docs.sparkSession)
     texts = _texts(docs, F.col(known) if known else F.lit(False))
-    logs = byte_answers(texts, train(trusted, scratch.stored), scratch)
-    scratch.removed("kn-counts", "kn-rest", "kn-seen")
-    if logs.select("block").distinct().count() <= FEW_BLOCKS:
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size <= FEW_BLOCKS * BLOCK_BYTES:
         parts = rounds = 1
-    taught = texts if known else texts.unionByName(_texts(trusted, F.lit(True), False))
-    told, discounts = word_answers(taught, words, scratch, parts) if words else (None, None)
+    taught = [texts] if known else [texts, _texts(trusted, F.lit(True), False)]
+    told, discounts = word_answers(taught, words, size, scratch, parts) if words else (None, None)
+    logs = byte_answers(texts, train(trusted, scratch.stored), scratch)  # last, as the parts need the disk
+    scratch.removed("kn-counts", "kn-rest", "kn-seen")
     out = [scratch.stored(scores(texts, logs, told, discounts, words, rounds, k), "kn-scores") for k in range(rounds)]
     scratch.removed("kn-logs", "kn-told", "kn-discounts")
     return functools.reduce(DataFrame.unionByName, out)

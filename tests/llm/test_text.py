@@ -338,3 +338,28 @@ def test_html_templates_of_a_large_host_and_lone_blocks(spark):
         assert len(got) == 403
         assert all(got[i] == f"Story {i}\nown text of page {i} {('word ' * 40).strip()}" for i in range(400))
         assert got[900].startswith("Section news\nMore of it") and got[900].endswith("All rights reserved by us")
+
+
+def test_quality_tells_the_counts_of_the_whole_model(spark):
+    """What blocks are told, part by part and in packed rows, is what rows of n-grams give; no
+    job makes a row for each n-gram."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("ab cd ef gh kl longer-than-eight mn op".split()) for _ in range(30)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    *_, found = quality._all_grams(data, offsets, "en", 3)
+    scratch = shared.Scratch(spark)
+    told, discounts = quality.word_answers([quality._texts(docs, F.lit(True))], 3, len(data), scratch, 4)
+    levels = {}
+    for r in told.orderBy("place").collect():
+        levels.setdefault(r["place"] >> 56, []).append((
+            quality._unpack(r["keys"], 5, False).view(np.int64), quality._unpack(r["followers"] or bytes(8), 1, False).view(np.int64)))
+    levels = {k: [np.concatenate(x, 1) for x in zip(*v)] for k, v in levels.items()}
+    numbers = [[r[c] for c in ("d1", "d2", "d3", "total", "rest")] for r in discounts.orderBy("_order").collect()]
+    model = quality.train_words(docs, 3).toPandas().set_index("key")
+    for k, (num, total, rest) in enumerate(quality._word_values(found, levels, numbers)):
+        gram, context = found[k]
+        assert num == pytest.approx(model.loc[gram, "num"].to_numpy())
+        assert total == pytest.approx(model.loc[context, "total"].to_numpy())
+        assert rest == pytest.approx(model.loc[context, "rest"].to_numpy())
